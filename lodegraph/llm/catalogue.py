@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import canonical
+from lodegraph.llm import canonical, parsing
 from lodegraph.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.invalid_files(table(spark, d, "files"))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.invalid_rates(table(spark, d, "files"), table(spark, d, "nodes"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_look_pairs(table(spark, d, "documents"))
 
 
-QUERIES = {"p8_found": p8_found}
+def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return table(spark, d, "documents").select("doc_id", canonical.canonical_text(F.col("text")).alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p8_found, p8_canonical)}
 ORACLES: dict[str, str] = {}
