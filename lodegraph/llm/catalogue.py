@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import canonical, parsing
+from lodegraph.llm import canonical, language, parsing
 from lodegraph.session import table
 
 
@@ -16,6 +16,14 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return parsing.invalid_rates(table(spark, d, "files"), table(spark, d, "nodes"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages_in_code(table(spark, d, "files"), table(spark, d, "documents"))
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    return language.language_shares(table(spark, d, "files"), table(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_look_pairs(table(spark, d, "documents"))
 
@@ -26,5 +34,5 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", canonical.canonical_text(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p5_found, p5_shares, p8_found, p8_canonical)}
 ORACLES: dict[str, str] = {}
