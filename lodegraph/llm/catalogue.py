@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import canonical, language, parsing
+from lodegraph.llm import canonical, language, parsing, secrets
 from lodegraph.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.found(table(spark, d, "files"))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redacted(table(spark, d, "files")).select("file_id", "repo_id", "path", "content")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return parsing.invalid_files(table(spark, d, "files"))
 
@@ -34,5 +42,5 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", canonical.canonical_text(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p5_found, p5_shares, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p5_found, p5_shares, p8_found, p8_canonical)}
 ORACLES: dict[str, str] = {}

@@ -27,6 +27,8 @@ LANGS = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "ru", "tr", "ja", "zh",
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 150, 1500, 32_000
 #: A passage's encoding may be at most this part of the one with the code dictionary, and of the one with none.
 CODE_MARGIN, PLAIN_MARGIN = 0.78, 0.9
+#: For a line on its own within a passage: the part of code's and of the next language's encoding.
+STRICT_MARGIN = 0.72
 MIN_WORDS, MIN_CHARS = 5, 10
 #: Remembered passages of a worker.
 MEMO = 200_000
@@ -156,7 +158,7 @@ def labelled_sample(docs: DataFrame) -> dict[str, list[str]]:
 _WORD = re.compile(r"[(\"'¿¡«\[*„“‘-]*[^\W\d_]+(?:['’\-.][^\W\d_]+)*['’]?[)\"'.,;:!?…»\]*”“’-]*\Z")
 _CAMEL = re.compile(r"[a-zß-ÿ][A-Z]")
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힣]")
-_ESC = re.compile(r"\\u\{?([0-9a-fA-F]{4,6})\}?|\\x([0-9a-fA-F]{2})|\\([ntr])")
+_ESC = re.compile(r"\\u\{([0-9a-fA-F]{1,6})\}|\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([ntr])")
 _TAG = re.compile(r"^\W*(?:TODO|FIXME|HACK|NOTE|XXX)\b:?", re.M)
 _END = re.compile(r"(?<=[.!?;])\s+|[。！？]\s*")
 
@@ -166,9 +168,9 @@ def unescape(text: str) -> str:
         return text
 
     def one(m: re.Match) -> str:
-        if m[3]:
+        if m[4]:
             return " "
-        n = int(m[1] or m[2], 16)
+        n = int(m[1] or m[2] or m[3], 16)
         return chr(n) if n < 0x110000 else m[0]
 
     out = _ESC.sub(one, text)
@@ -189,54 +191,62 @@ class Identifier:
 
         self.by = {k: make(v) for k, v in dicts.items() if v}
         self.plain = zstd.ZstdCompressor(level=1, write_checksum=False, write_content_size=False).compress
-        self.memo: dict[str, str | None] = {}
+        self.memo: dict[tuple[str, bool], str | None] = {}
 
     def sizes(self, text: str, langs) -> dict[str, int]:
         data = text.lower().encode()
         return {k: len(self.by[k](data)) - 6 for k in langs if k in self.by}
 
-    def phrase(self, text: str) -> str | None:
-        """The language of one phrase, or None where it looks like code."""
-        if text in self.memo:
-            return self.memo[text]
+    def phrase(self, text: str, strict: bool = False) -> str | None:
+        """The language of one phrase, or None where it looks like code; strict asks for a wide margin over the next language too."""
+        key = (text, strict)
+        if key in self.memo:
+            return self.memo[key]
         if len(self.memo) > MEMO:
             self.memo.clear()
         langs = _candidates(text)
         got = self.sizes(text, (*langs, "code"))
         code = got.pop("code", 10**6)
-        best = min(got, key=got.get, default=None)
+        order = sorted(got, key=got.get)
+        best = order[0] if order else None
         plain = len(self.plain(text.lower().encode())) - 6
-        if best is not None and (got[best] > CODE_MARGIN * code or got[best] > PLAIN_MARGIN * plain):
+        if best is not None and (got[best] > (STRICT_MARGIN if strict else CODE_MARGIN) * code or got[best] > PLAIN_MARGIN * plain):
             best = None
-        self.memo[text] = best
+        if strict and len(order) > 1 and best is not None and got[best] > STRICT_MARGIN * got[order[1]]:
+            best = None
+        self.memo[key] = best
         return best
 
     def natural(self, passage: str) -> list[tuple[str, int]]:
-        """(language, characters) of the phrases of a passage."""
+        """(language, characters) of the phrases of a passage; a line that is surely in another language than its passage counts for itself."""
         text = unescape(passage)
         wide = len(_CJK.findall(text)) >= MIN_CHARS
         if not wide and text.count(" ") + text.count("\n") < MIN_WORDS - 1:
             return []
+        text = _TAG.sub("", text)
+        out = []
+        for part in _END.split(text):
+            out += self._runs(part, wide)
+        if "\n" in text:
+            known = {k for k, _ in out}
+            for row in text.split("\n"):
+                out += [x for x in self._runs(row, wide, True) if x[0] not in known]
+        return out
+
+    def _runs(self, part: str, wide: bool, strict: bool = False) -> list[tuple[str, int]]:
         out = []
-        for part in _END.split(_TAG.sub("", text)):
-            if wide:
-                n = len(_CJK.findall(part))
-                if n >= MIN_CHARS:
-                    words = [w for w in part.split() if _CJK.search(w)]
-                    if (lang := self.phrase(" ".join(words))) in ("ja", "zh"):
-                        out.append((lang, n))
-                        continue
-            run: list[str] = []
-            best: list[str] = []
-            for w in part.split():
-                if _WORD.match(w) and not _CAMEL.search(w):
-                    run.append(w.strip("\"'()[]*«»„“”.,;:!?"))
-                    if len(run) > len(best):
-                        best = run
-                elif len(w) > 1 or w.isalnum():
-                    run = []
-            if len(best) >= MIN_WORDS and (lang := self.phrase(" ".join(best))) and lang not in ("ja", "zh"):
-                out.append((lang, sum(map(len, best)) + len(best) - 1))
+        if wide and (n := len(_CJK.findall(part))) >= MIN_CHARS:
+            lang = self.phrase(" ".join(w for w in part.split() if _CJK.search(w)), strict)
+            if lang in ("ja", "zh"):
+                return [(lang, n)]
+        run: list[str] = []
+        for w in [*part.split(), "0"]:
+            if _WORD.match(w) and not _CAMEL.search(w):
+                run.append(w.strip("\"'()[]*«»„“”.,;:!?"))
+            elif len(w) > 1 or w.isalnum():
+                if len(run) >= MIN_WORDS and (lang := self.phrase(" ".join(run), strict)) and lang not in ("ja", "zh"):
+                    out.append((lang, sum(map(len, run)) + len(run) - 1))
+                run = []
         return out
 
 
