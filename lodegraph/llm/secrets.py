@@ -400,7 +400,7 @@ def found(files: DataFrame) -> DataFrame:
     """(file_id, line_no) of every line with a credential. Null content has none; redelivered rows count once."""
     own = files.where("file_id is not null and path is not null and content is not null")
     own = own.select("file_id", per_text(_lines, "string", extension(F.col("path")), F.col("content")).alias("s")).where("s is not null")
-    return own.select("file_id", F.explode(F.split("s", " ")).cast("bigint").alias("line_no")).distinct()
+    return own.select("file_id", F.explode(F.split("s", " ").cast("array<bigint>")).alias("line_no")).distinct()
 
 
 def redacted(files: DataFrame) -> DataFrame:
