@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import canonical, language, parsing, secrets
+from lodegraph.llm import canonical, language, origin, parsing, secrets
 from lodegraph.session import table
 
 
@@ -24,6 +24,14 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return parsing.invalid_rates(table(spark, d, "files"), table(spark, d, "nodes"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return origin.found(table(spark, d, "files"))
+
+
+def p3_origins(spark: SparkSession, d: str) -> DataFrame:
+    return origin.origins(table(spark, d, "files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return language.languages_in_code(table(spark, d, "files"), table(spark, d, "documents"))
 
@@ -42,5 +50,5 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", canonical.canonical_text(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p5_found, p5_shares, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_origins, p5_found, p5_shares, p8_found, p8_canonical)}
 ORACLES: dict[str, str] = {}
