@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.llm import canonical, language, origin, parsing, secrets
+from lodegraph.llm import canonical, language, mixing, origin, packing, parsing, secrets
 from lodegraph.session import table
 
 
@@ -40,6 +40,26 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return language.language_shares(table(spark, d, "files"), table(spark, d, "documents"))
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
+def p6_fills(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fills(p6_packing(spark, d))
+
+
+def p6_summary(spark: SparkSession, d: str) -> DataFrame:
+    return packing.summary(p6_packing(spark, d))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_look_pairs(table(spark, d, "documents"))
 
@@ -50,5 +70,5 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", canonical.canonical_text(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_origins, p5_found, p5_shares, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_origins, p5_found, p5_shares, p6_packing, p6_fills, p6_summary, p7_mix, p7_shares, p8_found, p8_canonical)}
 ORACLES: dict[str, str] = {}

@@ -234,7 +234,7 @@ def origins(files: DataFrame) -> DataFrame:
     own = own.select("file_id", "repo_id", "path", "ext", per_text(_judged(grams), "string", F.col("ext"), F.col("path"), F.col("content")).alias("v"))
     own = own.select("file_id", "repo_id", "path", "ext", F.nullif(parts[0], F.lit("")).alias("kind"), parts[1].alias("reason"), parts[2].alias("style")).dropDuplicates(["file_id"])
     # a foreign naming style: the repository writes this language otherwise, and the file has a licence line of its own
-    s = F.split("style", " ").cast("array<double>")
+    s = F.split("style", " ").try_cast("array<double>")
     styled = own.where("style <> ''").select("repo_id", "ext", (s[0] / (s[0] + s[1] + s[2])).alias("snake"), (s[1] / (s[0] + s[1] + s[2])).alias("camel"))
     usual = styled.groupBy("repo_id", "ext").agg(F.avg("snake").alias("u_snake"), F.avg("camel").alias("u_camel"), F.count("*").alias("n"))
     own = own.join(usual, ["repo_id", "ext"], "left")
