@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodegraph.plans import snapshots
+from lodegraph.plans import code, graphs, snapshots
 
-_PARTS = (snapshots,)
+_PARTS = (code, graphs, snapshots)
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLES = {k: s for part in _PARTS for k, s in part.ORACLES.items()}
