@@ -167,6 +167,8 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tu
             for m in recipe:
                 r = _rates(p, cap[m], history[m])
                 on = r > 0
+                if not on.any():
+                    continue
                 u = np.array([zlib.crc32(f"{m} {d}".encode()) / 2**32 for d in b["doc_id"][on]])
                 yield pd.DataFrame({"mix_name": m, "doc_id": b["doc_id"][on], "source": [names[i] for i in best[on]], "tokens": b["tokens"][on], "rate": r[on], "u": u})
 
