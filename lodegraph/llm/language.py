@@ -158,7 +158,7 @@ def labelled_sample(docs: DataFrame) -> dict[str, list[str]]:
 _WORD = re.compile(r"[(\"'¿¡«\[*„“‘-]*[^\W\d_]+(?:['’\-.][^\W\d_]+)*['’]?[)\"'.,;:!?…»\]*”“’-]*\Z")
 _CAMEL = re.compile(r"[a-zß-ÿ][A-Z]")
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힣]")
-_ESC = re.compile(r"\\u\{([0-9a-fA-F]{1,6})\}|\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([ntr])")
+_ESC = re.compile(r"\\u\{([0-9a-fA-F]{1,6})\}|\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([ntr])|\\([\"'`\\])")
 _TAG = re.compile(r"^\W*(?:TODO|FIXME|HACK|NOTE|XXX)\b:?", re.M)
 _END = re.compile(r"(?<=[.!?;])\s+|[。！？]\s*")
 
@@ -170,6 +170,8 @@ def unescape(text: str) -> str:
     def one(m: re.Match) -> str:
         if m[4]:
             return " "
+        if m[5]:
+            return m[5]
         n = int(m[1] or m[2] or m[3], 16)
         return chr(n) if n < 0x110000 else m[0]
 

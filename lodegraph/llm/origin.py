@@ -79,6 +79,25 @@ def header(text: str) -> str:
     return "\n".join(out)
 
 
+def footer(text: str) -> str:
+    """The comment lines after the last line of code, at most twenty."""
+    out: list[str] = []
+    block = False
+    for row in reversed(text[-4000:].rstrip().split("\n")[-20:]):
+        s = row.strip()
+        if block:
+            out.append(s)
+            block = not s.startswith("/*")
+        elif s.endswith("*/") and not s.startswith("/*"):
+            out.append(s)
+            block = True
+        elif s.startswith(("//", "#", "/*", "--")) or (not s and out) or s == "```":
+            out.append(s)
+        else:
+            break
+    return "" if block else "\n".join(reversed(out))
+
+
 def bare(ext: str, text: str) -> str:
     """The text without comments and literals."""
     return _pattern(ext).sub(" ", text)
@@ -145,12 +164,12 @@ def _style(name: str) -> str:
     return "snake" if "_" in n and n.islower() else "camel" if n[0].islower() and not n.islower() and "_" not in n else "pascal" if n[0].isupper() and not n.isupper() and "_" not in n else ""
 
 
-_LITS = re.compile(r"\[[^\[\]{}()]*\]|\{[^\[\]{}()]*\}|\([^\[\]{}()]*\)")
+_REMARKS = re.compile(r"(?m)^[ \t]*(?://|#(?!include))[^\n]*$|(?s:/\*.*?\*/)")
 
 
 def _is_data(ext: str, text: str) -> bool:
     """One large literal or table and nothing else."""
-    body = re.sub(r"(?m)^\s*(?://|#(?!include)).*$|/\*.*?\*/", "", text, flags=re.S) if "*/" in text or "//" in text or "#" in text else text
+    body = _REMARKS.sub("", re.sub(r"\A```\w*\s*\n|\n```\s*\Z", "", text))
     body = body.strip()
     if len(body) < DATA_CHARS:
         return False
@@ -169,6 +188,12 @@ def judge(ext: str, path: str, text: str | None, model: NameModel | None) -> tup
                 return "generated", "header"
             if UPSTREAM.search(head) or (VERSION.search(head) and LICENSE.search(head)):
                 return ("minified", "banner") if ext in ("js", "mjs", "cjs") and max(map(len, text.split("\n"))) > LONG_LINE * 2 else ("vendored", "header")
+        foot = footer(text)
+        if foot and not NEGATED.search(foot):
+            if GENERATED.search(foot):
+                return "generated", "footer"
+            if UPSTREAM.search(foot):
+                return "vendored", "footer"
     if VENDOR_DIRS.search(path):
         return "vendored", "path"
     if TOOL_PATHS.search(path):

@@ -49,8 +49,8 @@ FORMATS = re.compile(
     r"(?<![A-Za-z0-9_])(?:gh[pousr]_(?P<a>[A-Za-z0-9]{30,})|github_pat_(?P<b>\w{40,})|glpat-(?P<c>[\w-]{16,})|xox[abeoprs]-(?P<d>[\w-]{20,})|[rs]k_(?:live|test)_(?P<e>[A-Za-z0-9]{16,})|(?:AKIA|ASIA|ABIA|ACCA)(?P<f>[A-Z0-9]{16})(?![A-Z0-9])"
     r"|AIza(?P<g>[\w-]{35})|npm_(?P<h>[A-Za-z0-9]{30,})|SG\.(?P<i>[\w-]{16,}\.[\w-]{16,})|eyJ(?P<j>[\w-]{8,}\.[\w-]{8,}\.[\w-]{16,})|pypi-(?P<k>[\w-]{40,})|hf_(?P<l>[A-Za-z0-9]{30,})|sk-(?P<m>[\w-]{32,})|dop_v1_(?P<n>[a-f0-9]{60,})|shpat_(?P<o>[a-f0-9]{30,})|ya29\.(?P<p>[\w-]{20,})|AccountKey=(?P<q>[A-Za-z0-9+/=]{40,}))"
 )
-URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,20}://(?P<u>[^\s:/@'\"`<>|]*):(?P<v>[^\s@/'\"`|]{1,200})@[\w.\[-]")
-USERHOST = re.compile(r"(?:^|[\s'\"`=])(?P<u>[\w.-]{2,40}):(?P<v>[^\s@:/'\"`|<>]{6,100})@[\w-]+(?:\.[\w-]+)+")
+URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,20}://(?P<u>[^\s:/@'\"`<>|]*):(?P<v>[^\s/'\"`|]{1,200})@[\w.\[-]")
+USERHOST = re.compile(r"(?:^|[\s'\"`=])(?P<u>[\w.-]{2,40}):(?P<v>[^\s:/'\"`|<>]{6,100})@[\w-]+(?:\.[\w-]+)+")
 QUERY = re.compile(r"[?&](?:api_?key|access_?token|auth_?token|token|key|secret|client_secret|password|pwd|sig|signature|apikey)=(?P<v>[^&\s'\"`|<>]{6,})", re.I)
 CONN = re.compile(r"(?:^|[;\s'\"`])(?:password|pwd|passwd|AccountKey|SharedAccessKey|secret)=(?P<v>[^;'\"`\s()][^;'\"`()]{2,})(?=;)", re.I)
 HEADER = re.compile(r"\b(?:Bearer|token)\s+(?P<v>[\w.~+/=-]{16,})|\bBasic\s+(?P<b>[A-Za-z0-9+/]{8,}={0,2})|\b(?:X-)?(?:Api-?Key|Auth-?Token|Access-?Token|Vault-Token|Secret|Goog-Api-Key)\s*:\s*(?P<w>[\w.~+/=-]{12,})", re.I)
@@ -62,7 +62,7 @@ PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----")
 CALL = re.compile(r"(?:\b|_|-)(?:connect|login|log_in|signin|sign_in|authenticate|auth|open_session|set_credentials|credentials|basic_auth|bind|createConnection|getConnection)\s*(?:\(|\s(?=['\"]))\s*(?P<args>.*)", re.I)
 REFERENCE = re.compile(
-    r"^(?:\$|%[A-Za-z_]\w*%|\{\{|<|op://|vault[:/]|env[:(]|ref\+|arn:|secretsmanager|ssm:|kv[:/]|!|@Microsoft|ENC\[|file:|/(?:run|etc|var|home|opt|usr|tmp|mnt|secrets|root|app|srv)\b|\.{1,2}/|~/|process\.|os\.|getenv|System\.|config\.|keyring:|aws-sm|gcp-sm|akv:|doppler|\(|\[|\{)|\$\{|\{\{|#\{|\$\(|<[\w -]+>?$|%\(|\{\w*\}|^(?:true|false|null|none|nil|yes|no|on|off)$",
+    r"^(?:\$|%[A-Za-z_]\w*%|\{\{|<|op://|vault[:/]|env[:(]|ref\+|arn:|secretsmanager|ssm:|kv[:/]|!(?:vault|Ref|Sub|GetAtt|ImportValue|secret|env)\b|@Microsoft|ENC\[|file:|/(?:run|etc|var|home|opt|usr|tmp|mnt|secrets|root|app|srv)\b|\.{1,2}/|~/|process\.|os\.|getenv|System\.|config\.|keyring:|aws-sm|gcp-sm|akv:|doppler|\(|\[|\{)|\$\{|\{\{|#\{|\$\(|<[\w -]+>?$|%\(|\{\w*\}|^(?:true|false|null|none|nil|yes|no|on|off)$",
     re.I,
 )
 HASHES = re.compile(r"^(?:sha(?:1|256|384|512)[-:=]|md5[-:=]|\$2[aby]\$|\$argon2|\$[156]\$|pbkdf2|scrypt:|data:|urn:|\{SSHA\})", re.I)
@@ -204,7 +204,8 @@ def is_value(value: str, name: str, level: int) -> bool:
     if level >= 3:
         return left >= 4
     if level == 2:
-        return left >= 8 or UUID.match(v) is not None
+        mixed = any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
+        return left >= (5 if mixed else 8) or UUID.match(v) is not None
     if level == 1:
         return left >= 16 and _random(v) and not UUID.match(v)
     return False

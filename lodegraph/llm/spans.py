@@ -56,9 +56,9 @@ def spans(ext: str, text: str) -> list[Span]:
     return out
 
 
-_GAP = re.compile(r"[ \t]*\n[ \t]*\Z")
-_JOIN = re.compile(r"\s*[+.\\]?\s*\Z")
-_STAR = re.compile(r"\n[ \t]*\*?[ \t]*")
+# a patch stored as a file has a sign before each line
+_GAP = re.compile(r"[ \t\r]*\n[+-]?[ \t]*\Z")
+_STAR = re.compile(r"\n[+-]?[ \t]*\*?[ \t]*")
 
 
 def passages(ext: str, text: str) -> list[tuple[str, str]]:
@@ -69,7 +69,7 @@ def passages(ext: str, text: str) -> list[tuple[str, str]]:
     for s in spans(ext, text):
         body = text[s.body : s.until]
         begin = text.rfind("\n", 0, s.start) + 1
-        own_line = not text[begin : s.start].strip()
+        own_line = not text[begin : s.start].strip(" \t+-")
         if last is not None and last.kind == s.kind:
             gap = text[last.end : s.start]
             if s.kind == "c" and alone and own_line and _GAP.match(gap):
