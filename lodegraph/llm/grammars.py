@@ -34,7 +34,8 @@ FnDecl: 'async'? 'function' '*'? Id TParams? '(' Params ')' Ann? (Block | TsEnd)
 FnExpr: 'async'? 'function' '*'? Id? TParams? '(' Params ')' Ann? Block
 Params: (Param % ',' ','?)?
 Param: Decorator* Mods* ('...'? Binding | 'this') '?'? Ann? ('=' Assign)?
-Binding: Id | '[' (','* ('...'? Binding ('=' Assign)? (',' | ','))* ('...'? Binding ('=' Assign)?)?) ']' | '{' (BindProp % ',' ','?)? '}'
+Binding: Id | '[' BElem? (',' BElem?)* ']' | '{' (BindProp % ',' ','?)? '}'
+BElem: '...'? Binding ('=' Assign)?
 BindProp: '...' Binding | Id ('=' Assign)? | PropName ':' Binding ('=' Assign)?
 Decorator: '@' Primary Postfix*
 ClassDecl: Decorator* 'abstract'? 'class' Id? ClassTail

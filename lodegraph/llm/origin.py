@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lodegraph.llm.code import code_files, per_text
 from lodegraph.llm.spans import _pattern
 from lodegraph.llm.syntax import LANGUAGES
+from lodegraph.session import cut
 
 #: Parameters. A mangled file's names cost so many bits a character more than its language's mean; a template leaves so few distinct names.
 MANGLED_BITS, TEMPLATE_SHARE, TEMPLATE_NAMES = 0.25, 0.2, 8
@@ -37,7 +38,7 @@ TOOL_PATHS = re.compile(
 )
 MINIFIED_PATHS = re.compile(r"[.-]min\.[cm]?js$|\.bundle\.[cm]?js$|\.chunk\.[cm]?js$|(?:^|/)dist/.*\.[cm]?js$|[-.][0-9a-f]{8,20}\.[cm]?js$", re.I)
 GENERATED = re.compile(
-    r"@generated\b|<auto-generated|\bauto-?generated\b|\bautomatically (?:generated|created|produced)|\bcode generated (?:by|from)\b|\b(?:this )?(?:file|code|module) (?:is|was|has been) (?:auto\w*[ -])?(?:generated|produced|created) (?:by|from|with)\b|^\W*generated(?: by| from|:)|\bDO NOT (?:EDIT|MODIFY)\b"
+    r"@generated\b|<auto-generated|\bauto-?generated\b|\bautomatically (?:generated|created|produced)|\bcode generated (?:by|from)\b|\b(?:this )?(?:file|code|module) (?:is|was|has been) (?:auto\w*[ -])?(?:generated|produced|created) (?:by|from|with)\b|^\W*generated(?: by| from|:)|(?-i:\bDO NOT (?:EDIT|MODIFY)\b)"
     r"|\bdo not (?:edit|modify|change) (?:this|it|by hand|manually|the file)|changes .{0,40}will be (?:lost|overwritten)|^\W*source: \S+\.(?:proto|thrift|graphql|avsc|fbs|idl|yaml|json)\b"
     r"|automatisch (?:erzeugt|generiert|erstellt|gegenereerd)|(?:produit|généré|genere|créé)e? (?:automatiquement|par un outil)|(?:gerado|generado) (?:automaticamente|automáticamente|por una? )|generato (?:automaticamente|da uno strumento)|wygenerowan\w* automatycznie|automatycznie wygenerowan|создан\w* автоматически|автоматически (?:создан|сгенерирован)|сгенерирован\w* автоматически"
     r"|otomatik olarak (?:oluşturul|üretil)|自動生成|自动生成|自動產生|자동(?:으로)? 생성",
@@ -258,14 +259,16 @@ def origins(files: DataFrame) -> DataFrame:
     parts = F.split("v", "\t")
     own = own.select("file_id", "repo_id", "path", "ext", per_text(_judged(grams), "string", F.col("ext"), F.col("path"), F.col("content")).alias("v"))
     own = own.select("file_id", "repo_id", "path", "ext", F.nullif(parts[0], F.lit("")).alias("kind"), parts[1].alias("reason"), parts[2].alias("style")).dropDuplicates(["file_id"])
+    own = cut(own)  # the texts are judged once
     # a foreign naming style: the repository writes this language otherwise, and the file has a licence line of its own
-    s = F.split("style", " ").try_cast("array<double>")
-    styled = own.where("style <> ''").select("repo_id", "ext", (s[0] / (s[0] + s[1] + s[2])).alias("snake"), (s[1] / (s[0] + s[1] + s[2])).alias("camel"))
-    usual = styled.groupBy("repo_id", "ext").agg(F.avg("snake").alias("u_snake"), F.avg("camel").alias("u_camel"), F.count("*").alias("n"))
+    own = own.withColumn("s", F.split("style", " ").try_cast("array<double>"))
+    snake, camel, pascal, licensed = (F.get("s", F.lit(i)) for i in range(4))
+    total = snake + camel + pascal
+    styled = own.where("style <> ''").select("repo_id", "ext", (snake / total).alias("snake"), (camel / total).alias("camel"))
+    usual = styled.groupBy("repo_id", "ext").agg(F.avg("snake").alias("u_snake"), F.avg("camel").alias("u_camel"), F.count("*").alias("files"))
     own = own.join(usual, ["repo_id", "ext"], "left")
-    total = s[0] + s[1] + s[2]
-    far = (F.col("n") >= 8) & (s[3] == 1) & (F.abs(s[0] / total - F.col("u_snake")) + F.abs(s[1] / total - F.col("u_camel")) > 1.2)
-    foreign = F.col("kind").isNull() & (F.col("style") != "") & F.coalesce(far, F.lit(False))
+    far = (F.col("files") >= 8) & (licensed == 1) & (F.abs(snake / total - F.col("u_snake")) + F.abs(camel / total - F.col("u_camel")) > 1.2)
+    foreign = F.col("kind").isNull() & F.coalesce(far, F.lit(False))
     return own.select(
         "file_id", "repo_id", "path", F.when(foreign, "vendored").otherwise(F.col("kind")).alias("kind"), F.when(foreign, "foreign style").otherwise(F.nullif("reason", F.lit(""))).alias("reason")
     )

@@ -720,6 +720,8 @@ class Bash(Machine):
                 return empty, (text[at:pos],)
             if t == ")" and top == "(" and stack and stack[-1] == '"':
                 start = False
+            elif t == "W" and not start and d(state, "{") is not empty:  # the name of a function
+                start = True
         if heres:
             extra = "body"
         if top == "x" or top != '"':
