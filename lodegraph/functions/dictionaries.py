@@ -98,6 +98,12 @@ CALLS: dict[str, list[str]] = {
     "kt": [_W, r"this\.([a-zA-Z_][\w]*)\s*\("],
     "scala": [_W, r"this\.([a-zA-Z_][\w]*)\s*\("],
 }
+# Comments and short literals of brace languages; definitions; and names before a parenthesis with their dot.
+REMARK = r"""(?s)/\*.*?\*/|//[^\n]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
+DEFINITION = r"(?:function|func|fn|def)\s+[A-Za-z_$][\w$]*\s*\("
+CALLED = r"(\.?[A-Za-z_$][\w$]*)\s*\("
+BRACES = "ts tsx js jsx mjs cjs java go rs c cpp".split()
+
 # Words before a parenthesis that are no calls.
 NO_CALLS = (
     "if else for while do switch case return new delete typeof instanceof void throw try catch finally with var let const function class import export from as default break continue debugger public private protected static final "

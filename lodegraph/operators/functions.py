@@ -78,6 +78,18 @@ def extract_calls(files: DataFrame) -> DataFrame:
     return own.where(~F.col("callee").isin(*D.NO_CALLS) & (F.col("callee") != "")).distinct()
 
 
+def syntax_calls(files: DataFrame) -> DataFrame:
+    """(repo_id, path, callee, is_method, calls): each call once by its last name, outside comments and literals.
+
+    Names after `function`, `func`, `fn` or `def` are definitions. For languages with braces and their variants.
+    """
+    own = files.where(extension(F.col("path")).isin(*D.BRACES) & F.col("content").isNotNull())
+    code = F.regexp_replace(F.regexp_replace("content", D.REMARK, " "), D.DEFINITION, " (")
+    rows = own.select("repo_id", "path", F.regexp_extract_all(code, F.lit(D.CALLED), F.lit(1)).alias("f")).distinct().select("repo_id", "path", F.explode("f").alias("f"))
+    rows = rows.select("repo_id", "path", F.ltrim(F.col("f"), F.lit(".")).alias("callee"), F.col("f").startswith(".").alias("is_method"))
+    return rows.where(~F.col("callee").isin(*D.NO_CALLS)).groupBy("repo_id", "path", "callee", "is_method").agg(F.count("*").alias("calls"))
+
+
 def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """(repo_id, path, callee, calls, func_path, line): for each file and callee the functions of the best tier and the number of calls.
 

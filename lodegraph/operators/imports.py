@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lodegraph.functions import dictionaries as D
-from lodegraph.functions.paths import basename, directory, extension, external_package, normalise
+from lodegraph.functions.paths import basename, directory, extension, external_package, is_relative_spec, normalise
 
 _IMPORT = "array<struct<pattern_no:int,pos:int,raw:string>>"
 
@@ -58,6 +58,13 @@ def extract_imports(files: DataFrame) -> DataFrame:
     return own.select("repo_id", "path", "pattern_no", "pos", "raw", relative.alias("is_relative")).distinct()
 
 
+def first_imports(imports: DataFrame) -> DataFrame:
+    """(repo_id, path, raw, is_relative, no): each spec of a file once, numbered by its first place, relative by its form alone."""
+    one = imports.groupBy("repo_id", "path", "raw").agg(F.min(F.struct("pattern_no", "pos")).alias("at"))
+    no = F.row_number().over(W.partitionBy("repo_id", "path").orderBy("at")) - 1
+    return one.select("repo_id", "path", "raw", is_relative_spec(F.col("raw")).alias("is_relative"), no.alias("no"))
+
+
 def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports with target: the first of the candidate paths that is a file of the repository, null without one."""
     base = normalise(F.concat_ws("/", directory(F.col("path")), F.col("raw")))

@@ -107,6 +107,28 @@ def extract_imports(spark, d):
     return own.select("repo_id", "path", F.col("pattern_no").cast("bigint").alias("pattern_no"), F.col("pos").cast("bigint").alias("pos"), "raw", "is_relative")
 
 
+def first_imports(spark, d):
+    own = im.first_imports(im.extract_imports(_files(spark, d)))
+    return own.select("repo_id", "path", "raw", "is_relative", F.col("no").cast("bigint").alias("no"))
+
+
+def syntax_calls(spark, d):
+    return fn.syntax_calls(_files(spark, d))
+
+
+def analysis_json(spark, d):
+    from lodegraph.api import analyze, response
+
+    return response(analyze(_files(spark, d)))
+
+
+def analysis_status(spark, d):
+    from lodegraph.api import status_of
+
+    a = table(spark, d, "analyses").select("analysis_id", "quality").distinct()
+    return a.select("analysis_id", status_of(F.col("quality")).alias("status"))
+
+
 def resolve_imports(spark, d):
     f = _files(spark, d)
     return im.resolve_imports(im.extract_imports(f), f).select("repo_id", "src", "dst", F.col("pattern_no").cast("bigint").alias("pattern_no"), F.col("pos").cast("bigint").alias("pos"))
@@ -232,7 +254,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         detect_language, file_kind_filter, line_count, complexity_estimate, entrypoint_flag, file_nodes, module_assign, workspace_roots, path_normalize, file_read, file_cap_topk, local_dir_filter, upload_filter, language_histogram_files,
-        extract_imports, resolve_imports, external_packages, extract_functions, function_nodes, extract_calls, resolve_calls, call_graph, membership_edges, graph_nodes, graph_edges, monorepo_detect, target_url_classify, repo_url_split,
+        extract_imports, first_imports, resolve_imports, external_packages, extract_functions, function_nodes, extract_calls, syntax_calls, resolve_calls, call_graph, membership_edges, graph_nodes, graph_edges, analysis_json, analysis_status, monorepo_detect, target_url_classify, repo_url_split,
         fnv1a_hash, html_asset_refs, page_asset_links, tsconfig_aliases, resolve_alias,
     )
 }
@@ -313,6 +335,9 @@ ORACLES = {
     "language_histogram_files": f"SELECT language, count(*) AS files FROM (SELECT DISTINCT file_id, path, {_LANG} AS language FROM files) WHERE language IS NOT NULL GROUP BY 1",
     "extract_imports": f"WITH {_C}, {_I} SELECT * FROM i",
     "resolve_imports": f"WITH {_C}, {_I}, b AS (SELECT *, {_FOLD.format(f'(({_DIR}) || {chr(39)}/{chr(39)} || raw)')} AS base FROM i WHERE is_relative AND (raw LIKE '.%' OR raw LIKE '/%')), k AS ({_CANDS}) SELECT repo_id, path AS src, dst, pattern_no, pos FROM (SELECT k.repo_id, k.path, k.pattern_no, k.pos, arg_min(candidate, cand_no) AS dst FROM k JOIN (SELECT DISTINCT repo_id, path AS fp FROM files) p ON p.repo_id = k.repo_id AND p.fp = k.candidate GROUP BY ALL) WHERE dst <> path",
+    "first_imports": f"WITH {_C}, {_I} SELECT repo_id, path, raw, raw LIKE './%' OR raw LIKE '../%' OR raw LIKE '/%' AS is_relative, row_number() OVER (PARTITION BY repo_id, path ORDER BY o) - 1 AS no FROM (SELECT repo_id, path, raw, min(pattern_no * 1000000 + pos) AS o FROM i GROUP BY ALL)",
+    "syntax_calls": f"WITH k AS (SELECT DISTINCT repo_id, path, regexp_extract_all(regexp_replace(regexp_replace(content, '{_q(D.REMARK)}', ' ', 'g'), '{_q(D.DEFINITION)}', ' (', 'g'), '{_q(D.CALLED)}', 1) AS x FROM files WHERE content IS NOT NULL AND {_EXT} IN ({_in(D.BRACES)})), u AS (SELECT repo_id, path, unnest(x) AS y FROM k) SELECT repo_id, path, ltrim(y, '.') AS callee, starts_with(y, '.') AS is_method, count(*) AS calls FROM u WHERE ltrim(y, '.') NOT IN ({_in(D.NO_CALLS)}) GROUP BY ALL",
+    "analysis_status": "SELECT DISTINCT analysis_id, CASE WHEN quality = 'full' THEN 'success' WHEN quality IS NULL THEN 'error' ELSE 'partial' END AS status FROM analyses",
     "external_packages": f"WITH {_C}, {_I}, e AS (SELECT repo_id, CASE WHEN raw LIKE '@%' THEN array_to_string(string_split(raw, '/')[1:2], '/') ELSE string_split(raw, '/')[1] END AS package FROM i WHERE NOT is_relative) SELECT repo_id, package, count(*) AS refs FROM e WHERE package <> '' GROUP BY ALL",
     "extract_functions": f"WITH {_C}, {_FN} SELECT repo_id, path, name, line, params, is_method, language FROM fn",
     "function_nodes": f"WITH {_C}, {_FN} SELECT repo_id, 'func:' || path || ':' || name || ':' || line AS id, name AS label, {_DIR} AS grp, CAST(1 AS BIGINT) AS loc FROM fn",
