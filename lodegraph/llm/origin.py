@@ -25,6 +25,8 @@ from lodegraph.session import cut
 
 #: Parameters. A mangled file's names cost so many bits a character more than its language's mean; a template leaves so few distinct names.
 MANGLED_BITS, TEMPLATE_SHARE, TEMPLATE_NAMES = 0.25, 0.2, 8
+#: Names that a task holds before it turns them into trigrams.
+NAMES_HELD = 200_000
 #: A data file's literals hold this part of its characters, and so many at least.
 DATA_SHARE, DATA_CHARS = 0.88, 300
 #: Text without layout: characters of the longest line, white space a character.
@@ -108,23 +110,33 @@ def names_of(ext: str, text: str) -> list[str]:
     return _IDENT.findall(bare(ext, text))
 
 
-def _grams(name: str) -> list[str]:
+@lru_cache(20_000)
+def _grams(name: str) -> tuple[str, ...]:
     n = "^^" + _DIGITS.sub("0", name.lower()) + "$"
-    n = "".join(c if c < "\x80" else "~" for c in n)
-    return [n[i : i + 3] for i in range(len(n) - 2)]
+    if not n.isascii():
+        n = "".join(c if c < "\x80" else "~" for c in n)
+    return tuple(n[i : i + 3] for i in range(len(n) - 2))
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Trigrams of the distinct names of each file, added up before they leave the task."""
-    c: Counter = Counter()
+    seen: dict[str, Counter] = defaultdict(Counter)  # names first: most are in many files
+    out: dict[str, Counter] = defaultdict(Counter)
+
+    def settle() -> None:
+        for lang, names in seen.items():
+            for name, n in names.items():
+                for g in _grams(name):
+                    out[lang][g] += n
+        seen.clear()
+
     for b in batches:
         for ext, text in zip(b["ext"], b["content"]):
-            lang = LANGUAGES[ext]
-            for name in set(names_of(ext, text)):
-                if len(name) < 64:
-                    for g in _grams(name):
-                        c[lang, g] += 1
-    yield pd.DataFrame([(k, g, n) for (k, g), n in c.items()], columns=["lang", "gram", "n"])
+            seen[LANGUAGES[ext]].update({x for x in names_of(ext, text) if len(x) < 64})
+        if sum(map(len, seen.values())) > NAMES_HELD:
+            settle()
+    settle()
+    yield pd.DataFrame([(k, g, n) for k, c in out.items() for g, n in c.items()], columns=["lang", "gram", "n"])
 
 
 def models(files: DataFrame) -> dict[str, dict[str, int]]:
@@ -148,7 +160,7 @@ class NameModel:
             self.context[g[:2]] += n
         total = sum(grams.values()) or 1
         self.mean = sum(n * self.bits(g) for g, n in grams.items()) / total
-        self.of = lru_cache(100_000)(self._of)
+        self.of = lru_cache(20_000)(self._of)
 
     def bits(self, g: str) -> float:
         return -log2((self.grams.get(g, 0) + 0.1) / (self.context[g[:2]] + 4.0))
@@ -158,6 +170,7 @@ class NameModel:
         return sum(map(self.bits, g)) / len(g)
 
 
+@lru_cache(20_000)
 def _style(name: str) -> str:
     n = name.strip("_$")
     if len(n) < 4:
@@ -182,27 +195,32 @@ def _is_data(ext: str, text: str) -> bool:
 
 def judge(ext: str, path: str, text: str | None, model: NameModel | None) -> tuple[str | None, str]:
     """(kind, reason); kind is generated, minified, vendored, data or None."""
+    return judge_names(ext, path, text, model)[:2]
+
+
+def judge_names(ext: str, path: str, text: str | None, model: NameModel | None) -> tuple[str | None, str, list[str]]:
+    """judge() with the names of a file that nothing was found against, for its style."""
     if text:
         head = header(text)
         if head and not NEGATED.search(head):
             if GENERATED.search(head):
-                return "generated", "header"
+                return "generated", "header", []
             if UPSTREAM.search(head) or (VERSION.search(head) and LICENSE.search(head)):
-                return ("minified", "banner") if ext in ("js", "mjs", "cjs") and max(map(len, text.split("\n"))) > LONG_LINE * 2 else ("vendored", "header")
+                return ("minified", "banner", []) if ext in ("js", "mjs", "cjs") and max(map(len, text.split("\n"))) > LONG_LINE * 2 else ("vendored", "header", [])
         foot = footer(text)
         if foot and not NEGATED.search(foot):
             if GENERATED.search(foot):
-                return "generated", "footer"
+                return "generated", "footer", []
             if UPSTREAM.search(foot):
-                return "vendored", "footer"
+                return "vendored", "footer", []
     if VENDOR_DIRS.search(path):
-        return "vendored", "path"
+        return "vendored", "path", []
     if TOOL_PATHS.search(path):
-        return "generated", "path"
+        return "generated", "path", []
     if MINIFIED_PATHS.search(path):
-        return "minified", "path"
+        return "minified", "path", []
     if not text or model is None:
-        return None, ""
+        return None, "", []
     longest = max(map(len, text.split("\n")))
     names: list[str] | None = None
     if longest > LONG_LINE:
@@ -214,9 +232,9 @@ def judge(ext: str, path: str, text: str | None, model: NameModel | None) -> tup
             bits = sum(map(model.of, own)) / max(1, len(own))
             short = sum(1 for n in own if len(_DIGITS.sub("", n)) <= 2) / max(1, len(own))
             if len(own) >= 8 and (bits > model.mean + MANGLED_BITS or short > 0.6):
-                return "minified", "mangled names"
+                return "minified", "mangled names", []
     if _is_data(ext, text):
-        return "data", "literal"
+        return "data", "literal", []
     if text.count("\n") > 2 * TEMPLATE_NAMES and _DIGITS.search(text):
         if names is None:
             names = names_of(ext, text)
@@ -226,8 +244,8 @@ def judge(ext: str, path: str, text: str | None, model: NameModel | None) -> tup
             top, n = kinds.most_common(1)[0]
             numbered = len({x for x in own if _DIGITS.sub("0", x) == top})
             if numbered >= TEMPLATE_NAMES and len(kinds) <= TEMPLATE_SHARE * len(own) + 2 and numbered >= 0.6 * len(own):
-                return "generated", "template names"
-    return None, ""
+                return "generated", "template names", []
+    return None, "", names_of(ext, text) if names is None else names
 
 
 def _judged(grams: dict[str, dict[str, int]]):
@@ -237,10 +255,10 @@ def _judged(grams: dict[str, dict[str, int]]):
         lang = LANGUAGES[ext]
         if lang not in made:
             made[lang] = NameModel(grams.get(lang, {}))
-        kind, why = judge(ext, path, text or None, made[lang])
+        kind, why, names = judge_names(ext, path, text or None, made[lang])
         style = ""
         if kind is None and text:
-            c = Counter(map(_style, set(names_of(ext, text))))
+            c = Counter(map(_style, set(names)))
             c.pop("", None)
             if sum(c.values()) >= 8:
                 style = f"{c['snake']} {c['camel']} {c['pascal']} {int(LICENSE.search(header(text)) is not None)}"
