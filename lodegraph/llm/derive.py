@@ -14,7 +14,7 @@ import re
 
 EMPTY_KIND, EPS_KIND, TOK, SEQ, ALT, STAR, REF = range(7)
 #: Interned expressions of a grammar above which its memo is dropped.
-MEMO_BOUND = 400_000
+MEMO_BOUND = 100_000
 
 
 class Node:

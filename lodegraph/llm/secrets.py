@@ -110,6 +110,10 @@ def _hinted(text: str) -> list[int]:
     return sorted(set(starts))
 
 
+#: Characters before a literal in which its name is looked for.
+WINDOW = 400
+
+
 @lru_cache(50_000)
 def words_of(name: str) -> tuple[str, ...]:
     """The lower-cased words of an identifier."""
@@ -241,9 +245,9 @@ def _content(line: str) -> list[tuple[int, int, str]]:
 
 _DEFAULT = re.compile(r"(?:get|getenv|env|var|property|default|or)\w*!?\(\s*(?:[\"'`](?P<k>[^\"'`]*)[\"'`]|[\w.]+)\s*,\s*$|\.(?:unwrap_or|or_else|orElse|getOrDefault|unwrap_or_else)\w*\([^()]*$", re.I)
 _DIRECT = re.compile(r"(?:(?<![=!<>])=|:=|:|\|\||\?\?|\bor\b|=>|\breturn\b|\?)\s*(?:[bBrRuUfF]{1,2}|(?:String::from|Buffer\.from|SecretStr|Secret|new \w+|Some|str|strdup|String|b64decode|base64\.b64decode|atob)\(|[(\[&]|\bL)*\s*$")
-_NAME = re.compile(r"([A-Za-zÀ-ӿ_$][\w$.-]*)[\"'`]?\]?\s*(?:\[\d*\]\s*)?(?::\s*[&\w<>\[\]' .|*?]+?)?\s*(?::=|=>|(?<![=!<>])=(?!=)|:)")
+_NAME = re.compile(r"(?<![\w$.-])([A-Za-zÀ-ӿ_$][\w$.-]{0,200})(?![\w$.-])[\"'`]?\]?\s*(?:\[\d*\]\s*)?(?::\s*[&\w<>\[\]' .|*?]+?)?\s*(?::=|=>|(?<![=!<>])=(?!=)|:)")
 _CONFIG = re.compile(
-    r"^\s*(?:export\s+|set\s+|ENV\s+|ARG\s+|[-*]\s+)?(?:[`\"']?(?P<k>[\w.\-/:]*[A-Za-zÀ-ӿ_][\w.\-]*)[`\"']?\s*(?:=|:)\s*(?P<v>.*?)|\|\s*`?(?P<k2>[\w.\- ]+?)`?\s*\|\s*`?(?P<v2>[^|]*?)`?\s*\||<(?P<k3>[\w.\-]+)[^>]*>(?P<v3>[^<]*)</.*)\s*,?\s*(?:\r)?$"
+    r"^\s*(?:export\s+|set\s+|ENV\s+|ARG\s+|[-*]\s+)?(?:[`\"']?(?P<k>[\w.\-/:]{1,200}?)[`\"']?\s*(?:=|:)\s*(?P<v>.*?)|\|\s*`?(?P<k2>[\w.\- ]+?)`?\s*\|\s*`?(?P<v2>[^|]*?)`?\s*\||<(?P<k3>[\w.\-]+)[^>]*>(?P<v3>[^<]*)</.*)\s*,?\s*(?:\r)?$"
 )
 
 
@@ -263,7 +267,7 @@ def _assigned(line: str, code: bool) -> list[tuple[int, int, str]]:
     for v, sp, st in joined:
         if not v:
             continue
-        before = line[:st]
+        before = line[max(0, st - WINDOW) : st]
         name = ""
         if d := _DEFAULT.search(before):
             name = (d["k"] if "k" in d.re.groupindex and d["k"] else "") or (first[1] if first else "")
@@ -355,28 +359,27 @@ def find(ext: str, text: str) -> list[Secret]:
                 pem_until = until
                 continue
         flat = line
-        if len(line) < 20_000:
-            hits += _content(flat)
-            if "data:image" not in line:
-                for m in B64.finditer(line):
-                    if (clear := _decoded(m[0])) is not None and _content(clear):
-                        hits.append((m.start(), m.end(), "encoded"))
-            if not hits:
-                hits += _assigned(line, code)
-            if not hits:
-                hits += _commented(line)
-            if not hits and (not code or ext == "sh"):
-                c = _CONFIG.match(line)
-                if c:
-                    g = "" if c["k"] is not None else "2" if c["k2"] is not None else "3"
-                    v = c["v" + g].strip()
-                    at = c.start("v" + g) + c["v" + g].find(v)
-                    if v[:1] in "\"'`" and v[-1:] == v[:1] and len(v) > 1:
-                        v, at = v[1:-1], at + 1
-                    k = c["k" + g]
-                    level = strength(k)
-                    if level and not (ext == "sh" and re.search(r"[\s$`(]", v)) and is_value(v, k, level):
-                        hits.append((at, at + len(v), "assignment"))
+        hits += _content(flat)
+        if "data:image" not in line:
+            for m in B64.finditer(line):
+                if (clear := _decoded(m[0])) is not None and _content(clear):
+                    hits.append((m.start(), m.end(), "encoded"))
+        if not hits:
+            hits += _assigned(line, code)
+        if not hits:
+            hits += _commented(line)
+        if not hits and (not code or ext == "sh"):
+            c = _CONFIG.match(line)
+            if c:
+                g = "" if c["k"] is not None else "2" if c["k2"] is not None else "3"
+                v = c["v" + g].strip()
+                at = c.start("v" + g) + c["v" + g].find(v)
+                if v[:1] in "\"'`" and v[-1:] == v[:1] and len(v) > 1:
+                    v, at = v[1:-1], at + 1
+                k = c["k" + g]
+                level = strength(k)
+                if level and not (ext == "sh" and re.search(r"[\s$`(]", v)) and is_value(v, k, level):
+                    hits.append((at, at + len(v), "assignment"))
         out += [Secret(no, pos + a, pos + b, kind) for a, b, kind in hits]
     return out
 

@@ -66,10 +66,11 @@ def passages(ext: str, text: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     last: Span | None = None
     alone = False
+    begin = at = 0
     for s in spans(ext, text):
         body = text[s.body : s.until]
-        begin = text.rfind("\n", 0, s.start) + 1
-        own_line = not text[begin : s.start].strip(" \t+-")
+        begin, at = max(begin, text.rfind("\n", at, s.start) + 1), s.start
+        own_line = s.start - begin < 400 and not text[begin : s.start].strip(" \t+-")
         if last is not None and last.kind == s.kind:
             gap = text[last.end : s.start]
             if s.kind == "c" and alone and own_line and _GAP.match(gap):

@@ -18,7 +18,9 @@ from lodegraph.llm import grammars as G
 from lodegraph.llm.derive import Grammar, Node
 
 #: Remembered lines above which the memo of a language is dropped.
-LINE_BOUND = 300_000
+LINE_BOUND = 60_000
+#: Longer lines, as of minified files, hardly come again.
+LINE_CHARS = 200
 
 
 class Verdict(NamedTuple):
@@ -55,7 +57,9 @@ class Machine:
         empty, memo, state, mode = self.g.empty, self.memo, self.g.start, self.begin()
         text = re.sub("[0-9]+", "0", self.prepare(text.removeprefix("﻿")))
         for i, x in enumerate(text.replace("\r\n", "\n").split("\n")):
-            if (got := memo.get((state, mode, x))) is None:
+            if len(x) > LINE_CHARS:
+                got = self.line(state, mode, x)
+            elif (got := memo.get((state, mode, x))) is None:
                 got = memo[state, mode, x] = self.line(state, mode, x)
             state, mode = got
             if state is empty:
