@@ -55,7 +55,7 @@ QUERY = re.compile(r"[?&](?:api_?key|access_?token|auth_?token|token|key|secret|
 CONN = re.compile(r"(?:^|[;\s'\"`])(?:password|pwd|passwd|AccountKey|SharedAccessKey|secret)=(?P<v>[^;'\"`\s()][^;'\"`()]{2,})(?=;)", re.I)
 HEADER = re.compile(r"\b(?:Bearer|token)\s+(?P<v>[\w.~+/=-]{16,})|\bBasic\s+(?P<b>[A-Za-z0-9+/]{8,}={0,2})|\b(?:X-)?(?:Api-?Key|Auth-?Token|Access-?Token|Vault-Token|Secret|Goog-Api-Key)\s*:\s*(?P<w>[\w.~+/=-]{12,})", re.I)
 COMMAND = re.compile(
-    r"\bcurl\b[^\n]*?\s(?:-u|--user)[ =]?['\"]?(?P<u>[\w.-]+):(?P<a>[^\s'\"`]+)|\b(?:mysql|mysqldump|mariadb|mycli)\b[^\n]*?\s-p(?P<b>[^\s'\"`]{3,})|\bsshpass\s+-p\s*['\"]?(?P<c>[^\s'\"`]+)|\s--?(?:password|passwd|pass|token|api-key|secret|access-token)[= ]['\"]?(?P<d>[^\s'\"`$-][^\s'\"`]{3,})|\bredis-cli\b[^\n]*?\s-a\s+(?P<e>[^\s'\"`]+)|\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<f>\S+)"
+    r"\bcurl\b[^\n]{0,200}?\s(?:-u|--user)[ =]?['\"]?(?P<u>[\w.-]+):(?P<a>[^\s'\"`]+)|\b(?:mysql|mysqldump|mariadb|mycli)\b[^\n]{0,200}?\s-p(?P<b>[^\s'\"`]{3,})|\bsshpass\s+-p\s*['\"]?(?P<c>[^\s'\"`]+)|\s--?(?:password|passwd|pass|token|api-key|secret|access-token)[= ]['\"]?(?P<d>[^\s'\"`$-][^\s'\"`]{3,})|\bredis-cli\b[^\n]{0,200}?\s-a\s+(?P<e>[^\s'\"`]+)|\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<f>\S+)"
 )
 COMMENT = re.compile(r"\b(?:(?P<n>[\w-]*(?:passw(?:or)?[dt]|passwd|pass|pwd|pw|passphrase|secret|token|key|cred(?:ential)?s?|senha|kennwort|mot de passe|apikey))\s*(?:[:=]|\bis\b)\s*(?P<v>[^\s].*)|(?:login|credentials|account|user)\s+(?P<u>[\w.@-]+)\s*/\s*(?P<w>[^\s].*))$", re.I)
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")

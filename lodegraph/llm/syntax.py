@@ -780,5 +780,8 @@ def machine(ext: str) -> Machine:
 
 
 def check(ext: str, text: str) -> Verdict:
-    """Whether text is syntactically valid in the language of an extension. Empty text is valid."""
-    return machine(ext).check(text) if text.strip() else Verdict(True, None, None, None)
+    """Whether text is syntactically valid in the language of an extension. Empty text is valid; nesting beyond thousands of levels is not."""
+    try:
+        return machine(ext).check(text) if text.strip() else Verdict(True, None, None, None)
+    except RecursionError:
+        return Verdict(False, "unexpected", None, "nesting")
