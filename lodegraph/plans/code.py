@@ -16,7 +16,9 @@ from lodegraph.sources import files as src
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "files")
+    """The files, spread over the cores where they come as fewer splits than that: a small file of one row group is one task else."""
+    f, n = table(spark, d, "files"), spark.sparkContext.defaultParallelism
+    return f if f.rdd.getNumPartitions() >= n else f.repartition(n)
 
 
 def _q(s: str) -> str:
