@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -57,10 +58,15 @@ HEADER = re.compile(r"\b(?:Bearer|token)\s+(?P<v>[\w.~+/=-]{16,})|\bBasic\s+(?P<
 COMMAND = re.compile(
     r"\bcurl\b[^\n]{0,200}?\s(?:-u|--user)[ =]?['\"]?(?P<u>[\w.-]+):(?P<a>[^\s'\"`]+)|\b(?:mysql|mysqldump|mariadb|mycli)\b[^\n]{0,200}?\s-p(?P<b>[^\s'\"`]{3,})|\bsshpass\s+-p\s*['\"]?(?P<c>[^\s'\"`]+)|\s--?(?:password|passwd|pass|token|api-key|secret|access-token)[= ]['\"]?(?P<d>[^\s'\"`$-][^\s'\"`]{3,})|\bredis-cli\b[^\n]{0,200}?\s-a\s+(?P<e>[^\s'\"`]+)|\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<f>\S+)"
 )
-COMMENT = re.compile(r"\b(?:(?P<n>[\w-]*(?:passw(?:or)?[dt]|passwd|pass|pwd|pw|passphrase|secret|token|key|cred(?:ential)?s?|senha|kennwort|mot de passe|apikey))\s*(?:[:=]|\bis\b)\s*(?P<v>[^\s].*)|(?:login|credentials|account|user)\s+(?P<u>[\w.@-]+)\s*/\s*(?P<w>[^\s].*))$", re.I)
+COMMENT = re.compile(r"(?:(?<![\w-])(?P<n>[\w-]*(?:passw(?:or)?[dt]|passwd|pass|pwd|pw|passphrase|secret|token|key|cred(?:ential)?s?|senha|kennwort|mot de passe|apikey))\s*(?:[:=]|\bis\b)\s*(?=\S)|\b(?:login|credentials|account|user)\s+(?P<u>[\w.@-]+)\s*/\s*(?=\S))", re.I)
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----")
-CALL = re.compile(r"(?:\b|_|-)(?:connect|login|log_in|signin|sign_in|authenticate|auth|open_session|set_credentials|credentials|basic_auth|bind|createConnection|getConnection)\s*(?:\(|\s(?=['\"]))\s*(?P<args>.*)", re.I)
+PEM_END = re.compile(r"-----(?:BEGIN|(?P<end>END)) [A-Z0-9 ]+-----")
+# What lines of a key consist of: base64, what may stand around it, and header lines.
+KEY_RUN = re.compile(r"[A-Za-z0-9+/=]+")
+KEY_TAIL = re.compile(r"[\s\"'`+#*/\\>.,;|()-]*?(?:\b[brBR]{1,2}(?=[\"']))?[\"'`]?(?P<v>[A-Za-z0-9+/]+={0,2})(?:\\[nr]|[\s\"'`+,;.\\)])*")
+KEY_BLANK = re.compile(r"(?:[\s\"'`+#*/\\>,;.|-]|\\[nr])*(?:[A-Z][\w-]*: .*)?")
+KEY_FIRST = re.compile(r"(?:[A-Za-z0-9+/=]|\\[nr]|[\"'`]\s*[+.]?\s*[\"'`]|[ \t](?=[A-Za-z0-9+/=]{16}))*")
+CALL = re.compile(r"(?:\b|_|-)(?:connect|login|log_in|signin|sign_in|authenticate|auth|open_session|set_credentials|credentials|basic_auth|bind|createConnection|getConnection)\s*(?:\(|\s(?=['\"]))\s*", re.I)
 REFERENCE = re.compile(
     r"^(?:\$|%[A-Za-z_]\w*%|\{\{|<|op://|vault[:/]|env[:(]|ref\+|arn:|secretsmanager|ssm:|kv[:/]|!(?:vault|Ref|Sub|GetAtt|ImportValue|secret|env)\b|@Microsoft|ENC\[|file:|/(?:run|etc|var|home|opt|usr|tmp|mnt|secrets|root|app|srv)\b|\.{1,2}/|~/|process\.|os\.|getenv|System\.|config\.|keyring:|aws-sm|gcp-sm|akv:|doppler|\(|\[|\{)|\$\{|\{\{|#\{|\$\(|<[\w -]+>?$|%\(|\{\w*\}|^(?:true|false|null|none|nil|yes|no|on|off)$",
     re.I,
@@ -251,6 +257,31 @@ _CONFIG = re.compile(
 )
 
 
+def _closing(line: str, lits: list[re.Match]) -> dict[int, int]:
+    """The closing parenthesis of each opening one, outside literals."""
+    out, open_, k = {}, [], 0
+    for m in re.finditer(r"[()]", line):
+        while k < len(lits) and lits[k].end() <= m.start():
+            k += 1
+        if k < len(lits) and lits[k].start() < m.start():
+            continue
+        if m[0] == "(":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.start()
+    return out
+
+
+def _called(word: str, text: str, args: list, n: int) -> list[tuple[int, int, str]]:
+    """The credential among the first literals of a call; n: how many it has."""
+    if n < 2 or (n < 3 and not re.search(r"login|auth|credential|sign", word, re.I)):
+        return []
+    (u, _, _), (v, sp, _) = args[-2:]
+    if (n > 2 and not re.fullmatch(r"[\w.-]+(:\d+)?", args[0][0])) or not re.fullmatch(r"[\w.@-]+", u) or not is_value(v, "", 3):
+        return []
+    return [] if re.search(r"getenv|environ", text) else [(a, b, "call") for a, b in sp]
+
+
 def _assigned(line: str, code: bool) -> list[tuple[int, int, str]]:
     out = []
     lits = list(LITERAL.finditer(line))
@@ -272,6 +303,11 @@ def _assigned(line: str, code: bool) -> list[tuple[int, int, str]]:
         if d := _DEFAULT.search(before):
             name = (d["k"] if "k" in d.re.groupindex and d["k"] else "") or (first[1] if first else "")
             level = max(strength(name), strength(first[1]) if first else 0)
+            near = None
+            for near in _NAME.finditer(before):  # of the statement at hand, where a line has several
+                pass
+            if near and strength(near[1]) > level:
+                name, level = near[1], strength(near[1])
         elif _DIRECT.search(before):
             near = None
             for near in _NAME.finditer(before):
@@ -290,17 +326,19 @@ def _assigned(line: str, code: bool) -> list[tuple[int, int, str]]:
     for v, sp, st in joined:
         if len(sp) > 1 and (FORMATS.search(v) or URL.search(v)) and _content(v):
             out += [(a, b, "joined") for a, b in sp]
-    if c := CALL.search(line):
-        at = c.start("args")
-        args = [x for x in joined if x[2] >= at]
-        if len(args) >= 3 and not re.search(r"getenv|environ", line[at:]):
-            (h, _, _), (u, _, _), (v, sp, _) = args[:3]
-            if re.fullmatch(r"[\w.-]+(:\d+)?", h) and re.fullmatch(r"[\w.@-]+", u) and is_value(v, "", 3):
-                out += [(a, b, "call") for a, b in sp]
-        elif len(args) == 2 and re.search(r"login|auth|credential|sign", c[0][: at - c.start()], re.I):
-            (u, _, _), (v, sp, _) = args
-            if re.fullmatch(r"[\w.@-]+", u) and is_value(v, "", 3) and not re.search(r"getenv|environ", line[at:]):
-                out += [(a, b, "call") for a, b in sp]
+    starts = [x[2] for x in joined]
+    closing: dict[int, int] | None = None
+    for c in CALL.finditer(line) if len(joined) > 1 else ():
+        at = c.end()
+        i = bisect_left(starts, at)
+        if len(joined) - i < 2:
+            break
+        if closing is None:
+            closing = _closing(line, lits)
+        end = closing.get(line.rfind("(", c.start(), at), len(line))
+        # the literals within the parentheses, else all that follow
+        k = bisect_left(starts, end)
+        out += _called(c[0], line[at:end], joined[i : min(k, i + 3)], k - i) or _called(c[0], line[at:], joined[i : i + 3], len(joined) - i)
     return out
 
 
@@ -313,22 +351,77 @@ def _commented(line: str) -> list[tuple[int, int, str]]:
         return []
     g = "c" if m["c"] is not None else "d"
     body = m[g].removesuffix("*/").removesuffix("-->").rstrip()
-    c = COMMENT.search(body)
+    found = list(COMMENT.finditer(body))
+    out = []
+    for c, then in zip(found, [*found[1:], None]):
+        # a value ends where the next name begins, if something parts them
+        rest = body[c.end() : then.start() if then and body[then.start() - 1] in " \t,;|&" and then.start() > c.end() else len(body)]
+        v = rest.strip().strip("\"'`,;.")
+        at = m.start(g) + c.end() + rest.find(v)
+        name = c["n"] or "password"
+        level = strength(name)
+        # words alone are a sentence here, unless they are few and end in a number
+        if " " in v and not re.fullmatch(r"(?:[a-z]+ ){1,3}\d{1,4}", v):
+            v = v.split()[0].rstrip("\"'`,;")
+            if not _random(v) and not (any(x.isdigit() for x in v) and any(x.isalpha() for x in v) and len(v) > 7):
+                continue
+        if not any(x.isdigit() for x in v) and not _random(v):
+            continue
+        if is_value(v, name, max(level, 2)):
+            out.append((at, at + len(v), "comment"))
+    return out
+
+
+def _configured(ext: str, line: str) -> list[tuple[int, int, str]]:
+    c = _CONFIG.match(line)
     if not c:
         return []
-    h = "v" if c["v"] else "w"
-    v = c[h].strip().strip("\"'`,;.")
-    at = m.start(g) + c.start(h) + c[h].find(v)
-    name = c["n"] or "password"
-    level = strength(name)
-    # words alone are a sentence here, unless they are few and end in a number
-    if " " in v and not re.fullmatch(r"(?:[a-z]+ ){1,3}\d{1,4}", v):
-        v = v.split()[0]
-        if not _random(v) and not (any(x.isdigit() for x in v) and any(x.isalpha() for x in v) and len(v) > 7):
-            return []
-    if not any(x.isdigit() for x in v) and not _random(v):
-        return []
-    return [(at, at + len(v), "comment")] if (is_value(v, name, max(level, 2)) if level != 3 else is_value(v, name, 3)) else []
+    g = "" if c["k"] is not None else "2" if c["k2"] is not None else "3"
+    v = c["v" + g].strip()
+    at = c.start("v" + g) + c["v" + g].find(v)
+    if v[:1] in "\"'`" and v[-1:] == v[:1] and len(v) > 1:
+        v, at = v[1:-1], at + 1
+    k = c["k" + g]
+    level = strength(k)
+    return [(at, at + len(v), "assignment")] if level and not (ext == "sh" and re.search(r"[\s$`(]", v)) and is_value(v, k, level) else []
+
+
+def _key_end(text: str, at: int) -> int:
+    """Where the private key that begins before at ends: at its END line, else with its base64 text. 0 if no key follows."""
+    m = PEM_END.search(text, at)
+    if m and m["end"]:
+        until = m.start()
+    else:
+        stop = m.start() if m else len(text)
+        until = pos = KEY_FIRST.match(text, at, stop).end()
+        while (pos := text.find("\n", pos, stop)) >= 0:
+            pos += 1
+            e = text.find("\n", pos, stop)
+            row = text[pos : stop if e < 0 else e]
+            run = max(KEY_RUN.finditer(row), key=lambda r: r.end() - r.start(), default=None)
+            if run and len(run[0]) >= 20 and 2 * len(run[0]) >= len(row.strip()):
+                until = pos + run.end()
+            elif (t := KEY_TAIL.fullmatch(row)) and (len(t["v"]) % 4 == 0 or e < 0):
+                until = pos + t.end("v")
+                break
+            elif not KEY_BLANK.fullmatch(row):
+                break
+    clear = re.sub(r"\\[nr]|[\s\"'+#*/\\]", "", text[at:until])
+    return until if len(re.findall(r"[A-Za-z0-9+/=]", clear)) >= 40 and len(set(clear)) > 12 else 0
+
+
+_SCHEME = re.compile(r"(?:Bearer|Basic|Token)\s+", re.I)
+
+
+def _union(line: str, hits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The hits without overlaps; the word before a header's value isn't part of it."""
+    out: list[tuple[int, int, str]] = []
+    for a, b, kind in sorted(((m.end() if (m := _SCHEME.match(line, a, b)) else a, b, kind) for a, b, kind in hits), key=lambda h: (h[0], -h[1])):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2])
+        elif a < b:
+            out.append((a, b, kind))
+    return out
 
 
 def find(ext: str, text: str) -> list[Secret]:
@@ -339,8 +432,6 @@ def find(ext: str, text: str) -> list[Secret]:
     out: list[Secret] = []
     no, counted, pem_until, n = 1, 0, -1, len(text)
     for pos in _hinted(text):
-        if pos < pem_until:
-            continue
         no += text.count("\n", counted, pos)
         counted = pos
         e = text.find("\n", pos)
@@ -348,39 +439,23 @@ def find(ext: str, text: str) -> list[Secret]:
         line = line.removesuffix("\r")
         if len(line) < 6:
             continue
-        hits: list[tuple[int, int, str]] = []
-        if m := PEM.search(line):
-            end = PEM_END.search(text, pos + m.end())
-            until = end.start() if end else min(n, pos + m.end() + 8000)
-            body = text[pos + m.end() : until]
-            clear = re.sub(r"\\[nr]|[\s\"'+#*/\\]", "", body)
-            if len(re.findall(r"[A-Za-z0-9+/=]", clear)) >= 40 and len(set(clear)) > 12:
+        if pos + len(line) <= pem_until:
+            continue
+        keys = [(0, pem_until - pos)]  # what key blocks cover of the line
+        for m in PEM.finditer(line):
+            if pos + m.start() >= pem_until and (until := _key_end(text, pos + m.end())):
                 out.append(Secret(no, pos + m.end(), until, "private key"))
+                keys.append((m.start(), until - pos))
                 pem_until = until
-                continue
-        flat = line
-        hits += _content(flat)
+        hits = _content(line)
         if "data:image" not in line:
             for m in B64.finditer(line):
                 if (clear := _decoded(m[0])) is not None and _content(clear):
                     hits.append((m.start(), m.end(), "encoded"))
-        if not hits:
-            hits += _assigned(line, code)
-        if not hits:
-            hits += _commented(line)
-        if not hits and (not code or ext == "sh"):
-            c = _CONFIG.match(line)
-            if c:
-                g = "" if c["k"] is not None else "2" if c["k2"] is not None else "3"
-                v = c["v" + g].strip()
-                at = c.start("v" + g) + c["v" + g].find(v)
-                if v[:1] in "\"'`" and v[-1:] == v[:1] and len(v) > 1:
-                    v, at = v[1:-1], at + 1
-                k = c["k" + g]
-                level = strength(k)
-                if level and not (ext == "sh" and re.search(r"[\s$`(]", v)) and is_value(v, k, level):
-                    hits.append((at, at + len(v), "assignment"))
-        out += [Secret(no, pos + a, pos + b, kind) for a, b, kind in hits]
+        hits += _assigned(line, code) + _commented(line)
+        if not code or ext == "sh":
+            hits += _configured(ext, line)
+        out += [Secret(no, pos + a, pos + b, kind) for a, b, kind in _union(line, hits) if not any(a < y and x < b for x, y in keys)]
     return out
 
 
