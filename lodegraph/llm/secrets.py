@@ -76,11 +76,16 @@ UUID = re.compile(r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$", re.I)
 B64 = re.compile(r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=])")
 LITERAL = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|`((?:[^`\\]|\\.)*)`")
 CONCAT = re.compile(r"([\"'`])\s*\+\s*\1|(?<=[\"'])\s+\.\s+(?=[\"'])")
-# A line without any of these, in lower case, and without a long run of base64 can't hold a credential that is looked for.
-HINTS = (
-    "pass secret token key cred auth pwd pw senha kennwort clave wachtwoord haslo hasło sifre şifre parola пароль 密码 パスワード 비밀번호 salt jwt basic bearer login connect signin sign_in credentials bind :// @ akia asia abia acca aiza ghp_ gho_ ghu_ ghs_ ghr_ "
-    "github_pat glpat xox k_live k_test npm_ sg. eyj sk- hf_ pypi- dop_v1 shpat ya29 curl mysql mariadb mycli accountkey sharedaccesskey -----begin contrasena contraseña"
-).split()
+# A line without any of these, in lower case, and without a run of base64 that decodes can't hold a credential that is looked
+# for. The words of names and, for each pattern above, a part of every alternative.
+HINTS = sorted(
+    PASSWORDS
+    | SECRETS
+    | set(
+        "key gho_ ghp_ ghu_ ghs_ ghr_ github_pat glpat xox k_live k_test akia asia abia acca aiza npm_ sg. eyj pypi- hf_ sk- dop_v1 shpat ya29 :// @ sig sharedaccesskey bearer basic curl mysql mariadb mycli redis-cli machine "
+        "login account user -----begin connect log_in signin sign_in authenticate open_session bind createconnection getconnection".split()
+    )
+)
 
 
 @lru_cache(1)
@@ -108,7 +113,7 @@ def _hinted(text: str) -> list[int]:
                 break
     until = -1
     for m in B64.finditer(text):
-        if m.start() > until and m.end() - m.start() >= 24:
+        if m.start() > until and (m.end() - m.start() >= 24 or _decoded(m[0])):
             starts.append(text.rfind("\n", 0, m.start() + 1) + 1)
             until = text.find("\n", m.start())
             if until < 0:
@@ -251,7 +256,7 @@ def _content(line: str) -> list[tuple[int, int, str]]:
 
 _DEFAULT = re.compile(r"(?:get|getenv|env|var|property|default|or)\w*!?\(\s*(?:[\"'`](?P<k>[^\"'`]*)[\"'`]|[\w.]+)\s*,\s*$|\.(?:unwrap_or|or_else|orElse|getOrDefault|unwrap_or_else)\w*\([^()]*$", re.I)
 _DIRECT = re.compile(r"(?:(?<![=!<>])=|:=|:|\|\||\?\?|\bor\b|=>|\breturn\b|\?)\s*(?:[bBrRuUfF]{1,2}|(?:String::from|Buffer\.from|SecretStr|Secret|new \w+|Some|str|strdup|String|b64decode|base64\.b64decode|atob)\(|[(\[&]|\bL)*\s*$")
-_NAME = re.compile(r"(?<![\w$.-])([A-Za-zÀ-ӿ_$][\w$.-]{0,200})(?![\w$.-])[\"'`]?\]?\s*(?:\[\d*\]\s*)?(?::\s*[&\w<>\[\]' .|*?]+?)?\s*(?::=|=>|(?<![=!<>])=(?!=)|:)")
+_NAME = re.compile(r"(?<![\w$.-])((?:[^\W\d]|\$)[\w$.-]{0,200})(?![\w$.-])[\"'`]?\]?\s*(?:\[\d*\]\s*)?(?::\s*[&\w<>\[\]' .|*?]+?)?\s*(?::=|=>|(?<![=!<>])=(?!=)|:)")
 _CONFIG = re.compile(
     r"^\s*(?:export\s+|set\s+|ENV\s+|ARG\s+|[-*]\s+)?(?:[`\"']?(?P<k>[\w.\-/:]{1,200}?)[`\"']?\s*(?:=|:)\s*(?P<v>.*?)|\|\s*`?(?P<k2>[\w.\- ]+?)`?\s*\|\s*`?(?P<v2>[^|]*?)`?\s*\||<(?P<k3>[\w.\-]+)[^>]*>(?P<v3>[^<]*)</.*)\s*,?\s*(?:\r)?$"
 )
