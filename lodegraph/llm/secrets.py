@@ -377,18 +377,57 @@ def _commented(line: str) -> list[tuple[int, int, str]]:
     return out
 
 
+# Kinds of files where an unquoted word is a value, and not a name of the program.
+PLAIN = set("sh bash zsh env dockerfile properties ini cfg conf cnf config toml yml yaml".split()) | {""}
+#: name=value up to white space, or to the next pair; name: value within braces or behind white space.
+_PAIR = re.compile(
+    r"(?:^|(?<=[\s;&|({\[,\"'`?]))(?:-[eD](?=\w))?(?P<k>[\w.\-]+)(?:=(?P<v>(?:(?![,;&|][\w.\-]*=|;?</)[^\s\"'`])+)|[\"'`]?\s*:\s+(?P<w>(?:(?!,\s|,$)[^\s\"'`{}\[\]])+))",
+)
+_ELEMENT = re.compile(r"<(?P<k>[\w.\-]+)(?:\s[^<>]*)?>(?P<v>[^<]+)</")
+_SHELL_END = re.compile(r"[;&|<>()]")
+
+
 def _configured(ext: str, line: str) -> list[tuple[int, int, str]]:
+    """Credentials in unquoted values: of the line as a whole, of each name=value or name: value in it, of each element."""
+    out = []
     c = _CONFIG.match(line)
-    if not c:
-        return []
-    g = "" if c["k"] is not None else "2" if c["k2"] is not None else "3"
-    v = c["v" + g].strip()
-    at = c.start("v" + g) + c["v" + g].find(v)
-    if v[:1] in "\"'`" and v[-1:] == v[:1] and len(v) > 1:
-        v, at = v[1:-1], at + 1
-    k = c["k" + g]
-    level = strength(k)
-    return [(at, at + len(v), "assignment")] if level and not (ext == "sh" and re.search(r"[\s$`(]", v)) and is_value(v, k, level) else []
+    if c:
+        g = "" if c["k"] is not None else "2" if c["k2"] is not None else "3"
+        v = c["v" + g].strip()
+        at = c.start("v" + g) + c["v" + g].find(v)
+        if v[:1] in "\"'`" and v[-1:] == v[:1] and len(v) > 1:
+            v, at = v[1:-1], at + 1
+        k = c["k" + g]
+        level = strength(k)
+        if level and not (ext == "sh" and re.search(r"[\s$`(;&|<>]", v)) and is_value(v, k, level):
+            return [(at, at + len(v), "assignment")]
+    inside, seen = False, 0
+    for m in _PAIR.finditer(line):
+        if not (level := strength(m["k"])):
+            continue
+        g = "v" if m["v"] is not None else "w"
+        v = m[g]
+        if ext == "sh":
+            v = _SHELL_END.split(v, maxsplit=1)[0]
+            if re.search(r"\$[\w{(]", v):
+                continue
+        v = v.rstrip(";,)}]" if g == "v" else ";,)")
+        # in prose and programs a value without digits is a word or a name, unless it looks generated
+        if (o := line.rfind("{", seen, m.start())) != (c := line.rfind("}", seen, m.start())):
+            inside = o > c
+        seen = m.start()
+        sure = ext in PLAIN and (g == "v" or inside)
+        if not sure and not any(x.isdigit() for x in v) and not _random(v):
+            continue
+        if re.fullmatch(r"[A-Za-z_][\w.]*[(\[].*", v) or not is_value(v, m["k"], level):
+            continue
+        out.append((m.start(g), m.start(g) + len(v), "assignment"))
+    for m in _ELEMENT.finditer(line):
+        v = m["v"].strip()
+        if (level := strength(m["k"])) and is_value(v, m["k"], level):
+            at = m.start("v") + m["v"].find(v)
+            out.append((at, at + len(v), "assignment"))
+    return out
 
 
 def _key_end(text: str, at: int) -> int:

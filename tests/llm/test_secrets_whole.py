@@ -66,3 +66,24 @@ LONG = "Kx92mvQ1Tr55wqL9Zk81pdN3"
 def test_every_alternative_is_reached(ext, line):
     red = S.redact(ext, line)
     assert red != line and not [x for x in (VALUE, LONG, "YWI6Ly91Okt4OW12UUBo") if x in red]
+
+
+@pytest.mark.parametrize(
+    "ext,line,secret",
+    [
+        ("sh", "PGPASSWORD=Kx92mvQ1 psql -h db", ["Kx92mvQ1"]), ("sh", "MYSQL_PWD=Kx92mvQ1 mysqldump x", ["Kx92mvQ1"]), ("sh", "export A=1 DB_PASSWORD=Kx92mvQ1 TOKEN=Zk81mvQ4Lt92", ["Kx92mvQ1", "Zk81mvQ4Lt92"]), ("sh", "PGPASSWORD=Kx92mvQ1; psql", ["Kx92mvQ1"]),
+        ("sh", "cd /x && PGPASSWORD=Kx92mvQ1 psql -h db | tee log", ["Kx92mvQ1"]), ("sh", "docker run -e DB_USER=app -e DB_PASSWORD=Kx92mvQ1 image", ["Kx92mvQ1"]), ("sh", 'ssh h "PGPASSWORD=Kx92mvQ1 psql -h db"', ["Kx92mvQ1"]), ("", "ENV DB_USER=app DB_PASSWORD=Kx92mvQ1", ["Kx92mvQ1"]),
+        ("", "ENV A=1 DB_PASSWORD=Kx,92mvQ1 API_TOKEN=Zk81mvQ4Lt92", ["Kx,92mvQ1", "Zk81mvQ4Lt92"]), ("yaml", "db: {user: a, password: Kx92mvQ1}", ["Kx92mvQ1"]), ("yml", "- {password: Kx92mvQ1, user: a, token: Zk81mvQ4Lt92}", ["Kx92mvQ1", "Zk81mvQ4Lt92"]), ("yml", "db: {user: a, password: Tundramaple}", ["Tundramaple"]),
+        ("properties", "opts=user=app,password=Kx92mvQ1,ssl=true", ["Kx92mvQ1"]), ("xml", "<db><user>a</user><password>Kx92mvQ1</password><token>Zk81mvQ4Lt92</token></db>", ["Kx92mvQ1", "Zk81mvQ4Lt92"]), ("log", "user: app password: Kx92mvQ1 host: db", ["Kx92mvQ1"]),
+    ],
+)
+def test_all_pairs_of_a_line(ext, line, secret):
+    red = S.redact(ext, line)
+    for x in secret:
+        line = line.replace(x, "*" * len(x))
+    assert red == line and not S.find(ext, red)
+
+
+@pytest.mark.parametrize("ext,line", [("sh", "PGPASSWORD=$PW psql -h db"), ("sh", "export A=1 DB_PASSWORD=${PW} TOKEN=$(cat f)"), ("sh", "PW=`cat f` psql"), ("", "ENV DB_USER=app DB_PASSWORD=changeme"), ("yaml", "{user: a, password: ${PW}}"), ("md", "Set the token: navigate to the settings page first"), ("rb", "connect(user=name, password=conn_pw, token=make_token(x1))"), ("yml", "{password: !secret db_pw9}")])
+def test_no_value_in_pairs(ext, line):
+    assert S.find(ext, line) == []
