@@ -50,14 +50,20 @@ FORMATS = re.compile(
     r"(?<![A-Za-z0-9_])(?:gh[pousr]_(?P<a>[A-Za-z0-9]{30,})|github_pat_(?P<b>\w{40,})|glpat-(?P<c>[\w-]{16,})|xox[abeoprs]-(?P<d>[\w-]{20,})|[rs]k_(?:live|test)_(?P<e>[A-Za-z0-9]{16,})|(?:AKIA|ASIA|ABIA|ACCA)(?P<f>[A-Z0-9]{16})(?![A-Z0-9])"
     r"|AIza(?P<g>[\w-]{35})|npm_(?P<h>[A-Za-z0-9]{30,})|SG\.(?P<i>[\w-]{16,}\.[\w-]{16,})|eyJ(?P<j>[\w-]{8,}\.[\w-]{8,}\.[\w-]{16,})|pypi-(?P<k>[\w-]{40,})|hf_(?P<l>[A-Za-z0-9]{30,})|sk-(?P<m>[\w-]{32,})|dop_v1_(?P<n>[a-f0-9]{60,})|shpat_(?P<o>[a-f0-9]{30,})|ya29\.(?P<p>[\w-]{20,})|AccountKey=(?P<q>[A-Za-z0-9+/=]{40,}))"
 )
-URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,20}://(?P<u>[^\s:/@'\"`<>|]*):(?P<v>[^\s/'\"`|]{1,200})@[\w.\[-]")
-USERHOST = re.compile(r"(?:^|[\s'\"`=])(?P<u>[\w.-]{2,40}):(?P<v>[^\s:/'\"`|<>]{6,100})@[\w-]+(?:\.[\w-]+)+")
+URL = re.compile(r"(?<=[a-zA-Z0-9+.-]{2})://(?P<u>[^\s:/@'\"`<>|]*):(?P<v>[^\s/'\"`|]+)@[\w.\[-]")
+USERHOST = re.compile(r"(?:^|[\s'\"`=])(?P<u>[\w.-]{2,}):(?P<v>[^\s:/'\"`|<>]{6,})@[\w-]+(?:\.[\w-]+)+")
 QUERY = re.compile(r"[?&](?:api_?key|access_?token|auth_?token|token|key|secret|client_secret|password|pwd|sig|signature|apikey)=(?P<v>[^&\s'\"`|<>]{6,})", re.I)
 CONN = re.compile(r"(?:^|[;\s'\"`])(?:password|pwd|passwd|AccountKey|SharedAccessKey|secret)=(?P<v>[^;'\"`\s()][^;'\"`()]{2,})(?=;)", re.I)
 HEADER = re.compile(r"\b(?:Bearer|token)\s+(?P<v>[\w.~+/=-]{16,})|\bBasic\s+(?P<b>[A-Za-z0-9+/]{8,}={0,2})|\b(?:X-)?(?:Api-?Key|Auth-?Token|Access-?Token|Vault-Token|Secret|Goog-Api-Key)\s*:\s*(?P<w>[\w.~+/=-]{12,})", re.I)
 COMMAND = re.compile(
-    r"\bcurl\b[^\n]{0,200}?\s(?:-u|--user)[ =]?['\"]?(?P<u>[\w.-]+):(?P<a>[^\s'\"`]+)|\b(?:mysql|mysqldump|mariadb|mycli)\b[^\n]{0,200}?\s-p(?P<b>[^\s'\"`]{3,})|\bsshpass\s+-p\s*['\"]?(?P<c>[^\s'\"`]+)|\s--?(?:password|passwd|pass|token|api-key|secret|access-token)[= ]['\"]?(?P<d>[^\s'\"`$-][^\s'\"`]{3,})|\bredis-cli\b[^\n]{0,200}?\s-a\s+(?P<e>[^\s'\"`]+)|\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<f>\S+)"
+    r"\bsshpass\s+-p\s*['\"]?(?P<c>[^\s'\"`]+)|\s--?(?:password|passwd|pass|token|api-key|secret|access-token)[= ]['\"]?(?P<d>[^\s'\"`$-][^\s'\"`]{3,})|\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<f>\S+)"
 )
+#: Commands and their options, which may stand anywhere behind them.
+OPTIONS = [
+    (re.compile(r"\bcurl\b"), re.compile(r"\s(?:-u|--user)[ =]?['\"]?[\w.-]+:(?P<v>[^\s'\"`]+)")),
+    (re.compile(r"\b(?:mysql|mysqldump|mariadb|mycli)\b"), re.compile(r"\s-p(?P<v>[^\s'\"`]{3,})")),
+    (re.compile(r"\bredis-cli\b"), re.compile(r"\s-a\s+(?P<v>[^\s'\"`]+)")),
+]
 COMMENT = re.compile(r"(?:(?<![\w-])(?P<n>[\w-]*(?:passw(?:or)?[dt]|passwd|pass|pwd|pw|passphrase|secret|token|key|cred(?:ential)?s?|senha|kennwort|mot de passe|apikey))\s*(?:[:=]|\bis\b)\s*(?=\S)|\b(?:login|credentials|account|user)\s+(?P<u>[\w.@-]+)\s*/\s*(?=\S))", re.I)
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_END = re.compile(r"-----(?:BEGIN|(?P<end>END)) [A-Z0-9 ]+-----")
@@ -247,10 +253,14 @@ def _content(line: str) -> list[tuple[int, int, str]]:
                 out.append((m.start(g), m.end(g), "header"))
         elif residual(v) >= 10 and (_random(v) or FORMATS.search(v)) and not REFERENCE.search(v):
             out.append((m.start(g), m.end(g), "header"))
-    for m in COMMAND.finditer(line):
-        for g in "abcdef":
-            if m[g] and not REFERENCE.search(m[g]) and len(set(m[g])) > 3 and residual(m[g]) >= 4:
-                out.append((m.start(g), m.end(g), "command"))
+    given = [m.span(m.lastgroup) for m in COMMAND.finditer(line)]
+    for word, option in OPTIONS:
+        if c := word.search(line):
+            given += [m.span("v") for m in option.finditer(line, c.end())]
+    for a, b in given:
+        v = line[a:b]
+        if not REFERENCE.search(v) and len(set(v)) > 3 and residual(v) >= 4:
+            out.append((a, b, "command"))
     return out
 
 

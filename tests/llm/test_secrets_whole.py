@@ -87,3 +87,23 @@ def test_all_pairs_of_a_line(ext, line, secret):
 @pytest.mark.parametrize("ext,line", [("sh", "PGPASSWORD=$PW psql -h db"), ("sh", "export A=1 DB_PASSWORD=${PW} TOKEN=$(cat f)"), ("sh", "PW=`cat f` psql"), ("", "ENV DB_USER=app DB_PASSWORD=changeme"), ("yaml", "{user: a, password: ${PW}}"), ("md", "Set the token: navigate to the settings page first"), ("rb", "connect(user=name, password=conn_pw, token=make_token(x1))"), ("yml", "{password: !secret db_pw9}")])
 def test_no_value_in_pairs(ext, line):
     assert S.find(ext, line) == []
+
+
+@pytest.mark.parametrize(
+    "ext,line",
+    [
+        ("sh", "curl -s " + "-H 'Accept: text/html' " * 20 + f"-u deploy:{VALUE} https://x.example/s"), ("sh", "curl https://x.example/" + "a/b-" * 90 + f" --user deploy:{VALUE}"), ("sh", "mysql " + "--ssl-mode=required " * 20 + f"-p{VALUE}"), ("sh", "redis-cli " + "-h cache " * 40 + f"-a {VALUE}"),
+        ("md", f"https://app:{VALUE * 40}@h.example/x"), ("md", f"{'a' * 30}+{'b' * 30}://app:{VALUE}@h.example/x"), ("yaml", f"mirror: ci_runner:{VALUE * 20}@h.example"), ("yaml", f"mirror: {'u' * 60}:{VALUE}@h.example"), ("sh", f"curl -u a:{VALUE} x | mysql -p{VALUE} ; curl -u b:{VALUE} y"),
+    ],
+)
+def test_no_distance_or_length(ext, line):
+    assert VALUE not in S.redact(ext, line) and S.find(ext, line)
+
+
+def test_long_lines_are_linear():
+    import time
+
+    for text in ("curl mysql redis-cli " * 20_000, "curl -u x " * 40_000, "a://b:c" * 60_000, "=a:bcdefgh" * 40_000, "a:bcdefgh@" * 40_000, "password=Kx92mvQ1," * 10_000, "login('a'," * 20_000, "-----BEGIN PRIVATE KEY-----\n" * 20_000):
+        began = time.process_time()
+        S.find("sh", text)
+        assert time.process_time() - began < 20, text[:20]
