@@ -40,26 +40,45 @@ TOOL_PATHS = re.compile(
 )
 MINIFIED_PATHS = re.compile(r"[.-]min\.[cm]?js$|\.bundle\.[cm]?js$|\.chunk\.[cm]?js$|(?:^|/)dist/.*\.[cm]?js$|[-.][0-9a-f]{8,20}\.[cm]?js$", re.I)
 GENERATED = re.compile(
-    r"@generated\b|<auto-generated|\bauto-?generated\b|\bautomatically (?:generated|created|produced)|\bcode generated (?:by|from)\b|\b(?:this )?(?:file|code|module) (?:is|was|has been) (?:auto\w*[ -])?(?:generated|produced|created) (?:by|from|with)\b|^\W*generated(?: by| from|:)|(?-i:\bDO NOT (?:EDIT|MODIFY)\b)"
-    r"|\bdo not (?:edit|modify|change) (?:this|it|by hand|manually|the file)|changes .{0,40}will be (?:lost|overwritten)|^\W*source: \S+\.(?:proto|thrift|graphql|avsc|fbs|idl|yaml|json)\b"
+    r"@generated\b|<auto-generated|\bauto-?generated\b|\bautomatically (?:generated|created|produced)|\bcode generated (?:by|from)\b|\b(?:this )?(?:file|code|module) (?:is|was|has been) (?:auto\w*[ -])?(?:generated|produced|created) (?:by|from|with)\b|^[^\w\n]*generated(?: by| from|:)|(?-i:\bDO NOT (?:EDIT|MODIFY)\b)"
+    r"|\bdo not (?:edit|modify|change) (?:this|it|by hand|manually|the file)|changes .{0,40}will be (?:lost|overwritten)|^[^\w\n]*source: \S+\.(?:proto|thrift|graphql|avsc|fbs|idl|yaml|json)\b"
     r"|automatisch (?:erzeugt|generiert|erstellt|gegenereerd)|(?:produit|généré|genere|créé)e? (?:automatiquement|par un outil)|(?:gerado|generado) (?:automaticamente|automáticamente|por una? )|generato (?:automaticamente|da uno strumento)|wygenerowan\w* automatycznie|automatycznie wygenerowan|создан\w* автоматически|автоматически (?:создан|сгенерирован)|сгенерирован\w* автоматически"
     r"|otomatik olarak (?:oluşturul|üretil)|自動生成|自动生成|自動產生|자동(?:으로)? 생성",
     re.I | re.M,
 )
 UPSTREAM = re.compile(r"\bupstream (?:distribution|release|copy|version|source)|\bthird[- ]party (?:code|copy|library)\b.*\blicen[sc]e|\bvendored (?:from|copy)|\bcopied from https?://", re.I)
-VERSION = re.compile(r"^\W*(?:[\w.-]+(?: [\w.-]+)?,? )v?\d+\.\d+(?:\.\d+)?\b", re.M)
+VERSION = re.compile(r"^[^\w\n]*(?!(?i:version) \d[\d.]*(?:, \w+ \d{4}\b| of the\b))(?:[\w.-]+(?: [\w.-]+)?,? )v?\d+\.\d+(?:\.\d+)?\b", re.M)
 LICENSE = re.compile(r"\blicen[sc]ed?\b|\(c\)|©|\bcopyright\b|\bMIT\b|\bBSD\b|\bApache\b|\bMPL\b|\bISC\b", re.I)
 NEGATED = re.compile(r"\bnot (?:auto)?generated|hand[- ]written|written by hand|\bno longer generated", re.I)
 
 _IDENT = re.compile(r"[^\W\d]\w*|\$\w+")
 _NOISE = re.compile(r"^(?:```.*|@@ .*|---.*|\+\+\+.*|diff .*|index .*|#!.*|set -\w+|['\"]use strict['\"];?|<\?.*|!\w.*|>>> .*|[a-z_]+: [\w .-]*|<{7}.*|={7}|>{7}.*)$")
 _DIGITS = re.compile(r"\d+")
+_DIRECTIVES = ("#include", "#define", "#if", "#pragma", "#[", "#!")
+
+
+def _rows(text: str) -> Iterator[str]:
+    """The lines from the start, one by one."""
+    at = 0
+    while (e := text.find("\n", at)) >= 0:
+        yield text[at:e]
+        at = e + 1
+    yield text[at:]
+
+
+def _rows_back(text: str) -> Iterator[str]:
+    """The lines from the end, one by one."""
+    e = len(text.rstrip())
+    while (at := text.rfind("\n", 0, e)) >= 0:
+        yield text[at + 1 : e]
+        e = at
+    yield text[:e]
 
 
 def header(text: str) -> str:
-    """The comment lines before the first line of code, among the first forty."""
+    """The comment lines before the first line of code, however many."""
     out, inside = [], ""
-    for row in text[:6000].split("\n")[:40]:
+    for row in _rows(text):
         s = row.strip().lstrip("﻿")
         if s[:1] == "+" and not inside:
             s = s[1:].lstrip()
@@ -70,7 +89,7 @@ def header(text: str) -> str:
             continue
         if not s or _NOISE.match(s):
             continue
-        if s.startswith(("//", "#", "--", ";;")) and not s.startswith(("#include", "#define", "#if", "#pragma", "#[", "#!")):
+        if s.startswith(("//", "#", "--", ";;")) and not s.startswith(_DIRECTIVES):
             out.append(s)
         elif s.startswith(("/*", "<!--")):
             out.append(s)
@@ -83,18 +102,26 @@ def header(text: str) -> str:
 
 
 def footer(text: str) -> str:
-    """The comment lines after the last line of code, at most twenty."""
+    """The comment lines after the last line of code, however many."""
     out: list[str] = []
     block = False
-    for row in reversed(text[-4000:].rstrip().split("\n")[-20:]):
+    for row in _rows_back(text):
         s = row.strip()
         if block:
+            if "*/" in s:  # no comment that began further up
+                return ""
             out.append(s)
             block = not s.startswith("/*")
+            if block and not s.startswith("*") and "/*" in s:  # begins behind code
+                out[-1] = s[s.index("/*") :]
+                block = False
+                break
         elif s.endswith("*/") and not s.startswith("/*"):
+            if "/*" in s:
+                break
             out.append(s)
             block = True
-        elif s.startswith(("//", "#", "/*", "--")) or (not s and out) or s == "```":
+        elif s.startswith(("//", "#", "/*", "--")) and not s.startswith(_DIRECTIVES) or (not s and out) or s == "```":
             out.append(s)
         else:
             break
