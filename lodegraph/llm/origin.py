@@ -32,6 +32,10 @@ DATA_SHARE, DATA_CHARS = 0.88, 300
 #: Text without layout: characters of the longest line, white space a character.
 LONG_LINE, SPACE_SHARE = 300, 0.13
 
+#: A share of short names that tells, and how much more counts as much as MANGLED_BITS; the weight of missing layout; the sum from which names are
+#: mangled: two full signs and a bit, or short names nearly all. Distinct names that are needed, and where there is layout.
+SHORT_SHARE, SHORT_SPAN, LAYOUT_WEIGHT, MANGLED_SCORE, NAMES_LEAST, NAMES_LAID_OUT = 0.6, 0.18, 1.25, 2.3, 8, 20
+
 # Directories and names that tools and package managers use.
 VENDOR_DIRS = re.compile(r"(?:^|/)(?:vendor|vendors|vendored|_vendor|third[_-]?party|node_modules|bower_components|jspm_packages|site-packages|dist-packages|Pods|Carthage|Godeps)/|(?:^|/)(?:external|externals|extern|deps)/[^/]+/", re.I)
 TOOL_PATHS = re.compile(
@@ -220,6 +224,26 @@ def _is_data(ext: str, text: str) -> bool:
     return values / len(body) >= DATA_SHARE
 
 
+def _mangled(text: str, code: str, own: set[str], model: NameModel) -> bool:
+    """Whether a tool shortened the names: their cross-entropy, the share of short ones, and missing layout, each by its weight."""
+    if len(own) < NAMES_LEAST:
+        return False
+    bits = sum(map(model.of, own)) / len(own) - model.mean
+    short = sum(1 for n in own if len(_DIGITS.sub("", n)) <= 2) / len(own)
+    if bits <= 0 and short <= SHORT_SHARE:
+        return False
+    lines = code.split("\n")
+    if max(map(len, text.split("\n"))) > LONG_LINE:
+        dense = "".join(x for x in lines if len(x) > 80) or code
+        if len(code) > 0.5 * len(text) * SPACE_SHARE and sum(map(str.isspace, dense)) / max(1, len(dense)) < SPACE_SHARE and len(dense) > LONG_LINE // 2 and (bits > MANGLED_BITS or short > SHORT_SHARE):
+            return True
+    flat = sum(map(str.isspace, code)) < SPACE_SHARE * len(code)
+    if not flat and len(own) < NAMES_LAID_OUT:
+        return False
+    score = max(0.0, min(1.0, bits / MANGLED_BITS)) + max(0.0, min(1.5, (short - SHORT_SHARE) / SHORT_SPAN)) + LAYOUT_WEIGHT * flat
+    return score >= MANGLED_SCORE
+
+
 def judge(ext: str, path: str, text: str | None, model: NameModel | None) -> tuple[str | None, str]:
     """(kind, reason); kind is generated, minified, vendored, data or None."""
     return judge_names(ext, path, text, model)[:2]
@@ -248,23 +272,13 @@ def judge_names(ext: str, path: str, text: str | None, model: NameModel | None)
         return "minified", "path", []
     if not text or model is None:
         return None, "", []
-    longest = max(map(len, text.split("\n")))
-    names: list[str] | None = None
-    if longest > LONG_LINE:
-        code = bare(ext, text)
-        dense = "".join(x for x in code.split("\n") if len(x) > 80) or code
-        if len(code) > 0.5 * len(text) * SPACE_SHARE and sum(map(str.isspace, dense)) / max(1, len(dense)) < SPACE_SHARE and len(dense) > LONG_LINE // 2:
-            names = _IDENT.findall(code)
-            own = set(names)
-            bits = sum(map(model.of, own)) / max(1, len(own))
-            short = sum(1 for n in own if len(_DIGITS.sub("", n)) <= 2) / max(1, len(own))
-            if len(own) >= 8 and (bits > model.mean + MANGLED_BITS or short > 0.6):
-                return "minified", "mangled names", []
-    if _is_data(ext, text):
+    code = bare(ext, text)
+    names = _IDENT.findall(code)
+    if _is_data(ext, text):  # before the names: hexadecimal numbers look like short ones
         return "data", "literal", []
+    if _mangled(text, code, set(names), model):
+        return "minified", "mangled names", []
     if text.count("\n") > 2 * TEMPLATE_NAMES and _DIGITS.search(text):
-        if names is None:
-            names = names_of(ext, text)
         own = {n for n in names if len(n) > 4}
         kinds = Counter(_DIGITS.sub("0", n) for n in own)
         if kinds:
@@ -272,7 +286,7 @@ def judge_names(ext: str, path: str, text: str | None, model: NameModel | None)
             numbered = len({x for x in own if _DIGITS.sub("0", x) == top})
             if numbered >= TEMPLATE_NAMES and len(kinds) <= TEMPLATE_SHARE * len(own) + 2 and numbered >= 0.6 * len(own):
                 return "generated", "template names", []
-    return None, "", names_of(ext, text) if names is None else names
+    return None, "", names
 
 
 def _judged(grams: dict[str, dict[str, int]]):

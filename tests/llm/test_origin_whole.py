@@ -29,3 +29,23 @@ def test_long_comments_are_linear():
         began = time.process_time()
         O.judge("c", "a.c", text, None)
         assert time.process_time() - began < 20
+
+
+def _names(k: int) -> list[str]:
+    return [chr(97 + i % 26) + ("" if i < 26 else str(i // 26)) for i in range(k)]
+
+
+def _mangled(end: str, k: int = 30) -> str:
+    n = _names(k)
+    return "".join(f"function {n[i]}({n[i - 1]},{n[i - 2]}){{{end}return {n[i - 1]}+{n[i - 2]}*{i}}}{end}" for i in range(k))
+
+
+WRAPPED = "\n".join(_mangled("")[i : i + 120] for i in range(0, len(_mangled("")), 120))
+RESTORED = "\n".join(f"function {a}({b}, {c}) {{\n    var {d} = {b} + {c};\n    return {d} * {a}({c}, {b});\n}}\n" for a, b, c, d in zip(_names(30), _names(30)[1:], _names(30)[2:], _names(30)[3:]))
+HAND = "\n".join(f"function total{w}(index, count) {{\n    for (var i = 0; i < count; i++) {{\n        result{w}[i] = index + i;\n    }}\n    return result{w};\n}}\n" for w in "Order Window Buffer Length Number".split())
+MODEL = O.NameModel({g: 9 for n in "function value index count total result order window buffer length number return var for".split() for g in O._grams(n)})
+
+
+@pytest.mark.parametrize("text,kind", [(WRAPPED, "minified"), (_mangled("", 7), "minified"), (RESTORED, "minified"), (HAND, None), (HAND.replace("    ", "").replace("\n", ""), None)])
+def test_names_are_asked_in_any_layout(text, kind):
+    assert O.judge("js", "a.js", text, MODEL)[0] == kind
