@@ -2,8 +2,8 @@
 
 A machine turns one line into tokens and feeds them to the grammar's derivative. What it carries from line to line (an open
 comment or literal, the indentation, an open template) is small and hashable, so whole lines are remembered as well: the same
-line in the same context isn't read twice, in whatever file. Runs of digits are one digit before that, as no grammar here
-tells numbers apart. The memos are bounded and hold no result that they would change.
+line in the same context isn't read twice, in whatever file. Runs of digits are shortened before that to what the form of a number
+depends on: a leading zero and the largest digit; in shell, where they are parts of words, they stay. The memos are bounded and hold no result that they would change.
 
 An empty derivative marks the failing token; an end whose derivative isn't nullable, or an open literal, means truncation.
 """
@@ -11,6 +11,7 @@ An empty derivative marks the failing token; an end whose derivative isn't nulla
 from __future__ import annotations
 
 import re
+import sys
 from functools import cache
 from typing import NamedTuple
 
@@ -21,6 +22,8 @@ from lodegraph.llm.derive import Grammar, Node
 LINE_BOUND = 60_000
 #: Longer lines, as of minified files, hardly come again.
 LINE_CHARS = 200
+#: Frames of nested derivatives. They take no C stack.
+DEEPEST = 1_000_000
 
 
 class Verdict(NamedTuple):
@@ -30,9 +33,23 @@ class Verdict(NamedTuple):
     token: str | None
 
 
+def _short(m: re.Match) -> str:
+    """Another run of digits of the same form: led by a zero or not, and binary, octal or decimal."""
+    x = m[0]
+    if x == "0":
+        return x
+    most = max(x)
+    return ("0" if x[0] == "0" else "") + ("9" if most > "7" else "7" if most > "1" else most)
+
+
 class Machine:
     """What the languages share; the subclasses read lines."""
 
+    #: whether digits play no part but in numbers
+    digits = True
+    #: numbers that aren't well formed
+    bad = re.compile("(?!)")
+
     def __init__(self, grammar: str, sets: dict[str, list[str]]):
         self.g = Grammar(grammar, sets)
         self.memo: dict[tuple, tuple] = {}
@@ -55,7 +72,9 @@ class Machine:
             self.g.forget()
             self.memo.clear()
         empty, memo, state, mode = self.g.empty, self.memo, self.g.start, self.begin()
-        text = re.sub("[0-9]+", "0", self.prepare(text.removeprefix("﻿")))
+        text = self.prepare(text.removeprefix("﻿"))
+        if self.digits:
+            text = re.sub("[0-9]+", _short, text)
         for i, x in enumerate(text.replace("\r\n", "\n").split("\n")):
             if len(x) > LINE_CHARS:
                 got = self.line(state, mode, x)
@@ -149,7 +168,7 @@ class Curly(Machine):
             elif what == "num":
                 t = "NUM"
                 flag = self.go
-                if not self.number_ok(text, pos):
+                if not self.number_ok(text, pos) or self.bad.fullmatch(m[0]):
                     return empty, (m[0],)
             elif what == "str":
                 t = "CHAR" if m[0].endswith("'") and not self.asi else "STR"
@@ -193,6 +212,8 @@ class Curly(Machine):
 class Go(Curly):
     go = True
 
+    bad = re.compile(r"0[0-9_]*[89][0-9_]*")
+
     def __init__(self):
         super().__init__(
             G.GO, {}, G.GO_KEYWORDS, _NUM + "i?", _STR + "|" + _CHAR,
@@ -206,6 +227,8 @@ class Go(Curly):
 
 
 class Java(Curly):
+    bad = re.compile(r"0[0-9_]*[89][0-9_]*[lL]?")
+
     def __init__(self):
         soft = {"Id": ["ID", *G.JAVA_SOFT]}
         super().__init__(
@@ -240,6 +263,8 @@ class Rust(Curly):
 class C(Curly):
     """mode's stack holds the open conditionals: (state before, state of the first branch, skipping, outer skipping)."""
 
+    bad = re.compile(r"0[0-9']*[89][0-9']*[uUlL]*")
+
     def __init__(self):
         super().__init__(
             G.C, {}, G.C_KEYWORDS, rf"(?:{_NUM})[uUlLfFjJ]*", r"(?:u8|[uUL])?" + _STR + r"|[uUL]?" + _CHAR,
@@ -433,6 +458,8 @@ class Script(Curly):
 class Python(Machine):
     """mode: (kind, quote, indents, depth, flag); indents are pairs of columns with tabs of eight and of one."""
 
+    bad = re.compile(r"0[0-9_]*[1-9][0-9_]*|0[bB][01_]*[2-9].*|0[oO][0-7_]*[89].*")
+
     def __init__(self):
         super().__init__(G.PYTHON, {"Id": ["ID", *G.PY_SOFT]})
         self.keywords = frozenset([*G.PY_KEYWORDS, *G.PY_SOFT])
@@ -502,6 +529,8 @@ class Python(Machine):
                 t = m[0] if m[0] in self.keywords else "ID"
             elif what == "num":
                 t = "NUM"
+                if self.bad.fullmatch(m[0]):
+                    return empty, (m[0],)
                 if pos < n and (text[pos].isalnum() or text[pos] == "_") and not re.match(r"(?:and|else|for|if|in|is|or|not)\b", text[pos:]):
                     return empty, (m[0],)
             elif m["q"]:
@@ -584,6 +613,8 @@ class Bash(Machine):
 
     opens = frozenset("if then else elif while until do { ! time".split())
 
+    digits = False
+
     def __init__(self):
         super().__init__(G.BASH, {"KW": []})
         self.keywords = frozenset(G.BASH_KEYWORDS)
@@ -780,8 +811,14 @@ def machine(ext: str) -> Machine:
 
 
 def check(ext: str, text: str) -> Verdict:
-    """Whether text is syntactically valid in the language of an extension. Empty text is valid; nesting beyond thousands of levels is not."""
+    """Whether text is syntactically valid in the language of an extension. Empty text is valid; nesting beyond what DEEPEST holds is not."""
+    if not text.strip():
+        return Verdict(True, None, None, None)
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, DEEPEST))
     try:
-        return machine(ext).check(text) if text.strip() else Verdict(True, None, None, None)
+        return machine(ext).check(text)
     except RecursionError:
         return Verdict(False, "unexpected", None, "nesting")
+    finally:
+        sys.setrecursionlimit(before)
