@@ -1,13 +1,13 @@
-"""Filling fixed-capacity containers with texts (problem 6): hierarchical packing by tiers of length.
+"""Filling fixed-capacity containers with texts (problem 6): best-fit decreasing on the histogram of lengths.
 
 Equal lengths are interchangeable, so a packing is planned on the histogram of lengths, whose size is bounded by the capacity
-and not by the number of texts. Texts are routed to tiers by their length; each tier is packed longest first into the gaps that
-the longer tiers left, tightest gap first, and opens containers only where no gap is left. The plan says which ranks of a
+and not by the number of texts. Lengths are packed longest first into the gaps that longer ones left, tightest gap first, and
+open containers only where no gap is left. Tiers of length label the rows; the plan is the same without them. The plan says which ranks of a
 length go to which range of containers. The texts get their rank in two steps, over salted groups, so that a length which a
 third of all texts have is no single task's work.
 
 A text longer than the capacity is cut into pieces of the capacity and a rest. Containers are dealt to step groups in a snake
-order of their fill, so that groups get about equal numbers of tokens.
+over their numbers, so that groups get roughly equal numbers of tokens.
 
 Defined results: null and empty texts have no tokens and are in no container; a container class without capacity is left out.
 """
