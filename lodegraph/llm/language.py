@@ -1,9 +1,14 @@
 """Natural language hidden inside code (problem 5), by compression.
 
-A passage is encoded with one zstandard dictionary for each language and one for code; the language of the shortest encoding
-wins, unless code's is about as short. The dictionaries are made from labelled documents: a bounded sample of a language
-(SAMPLE_DOCS documents of SAMPLE_CHARS characters), without those whose letter trigrams are nearer to another language's, as
-some labels are wrong. Latin text goes in a second time without accents, as many type so.
+A phrase is encoded with zstandard dictionaries of each language and of code; the language of the shortest encoding wins, unless
+code's is about as short. Zstandard finds few matches in a single sentence, so what it gets are the sentence's overlapping letter
+groups: a word unknown to a dictionary still matches by the groups it shares with known ones. Groups of two go against a dictionary
+of raw content, which ranks the languages; groups of three against a trained one with its entropy tables, for the first FINALISTS
+and code. Both sizes add up.
+
+The dictionaries are made from labelled documents, a bounded sample of a language (SAMPLE_DOCS documents of SAMPLE_CHARS characters)
+without those whose letter trigrams are nearer to another language's, as some labels are wrong, and from the labelled text of seeds.py.
+Latin text goes in a second time without accents, as many type so.
 """
 
 from __future__ import annotations
@@ -19,16 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm.code import code_files, per_text
+from lodegraph.llm.seeds import SEEDS, WORDS
 from lodegraph.llm.spans import passages
 
 # The languages told apart.
 LANGS = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "ru", "tr", "ja", "zh", "ko")
-#: Parameters of the fit: documents of a language, characters of each, bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 150, 1500, 32_000
-#: A passage's encoding may be at most this part of the one with the code dictionary, and of the one with none.
-CODE_MARGIN, PLAIN_MARGIN = 0.78, 0.9
+#: Parameters of the fit: documents of a language, characters of each, bytes of a dictionary of raw content and of a trained one.
+SAMPLE_DOCS, SAMPLE_CHARS, RAW_BYTES, TRAINED_BYTES = 150, 800, 48_000, 30_000
+#: Languages that the second encoding is made for.
+FINALISTS = 3
+#: A phrase's encoding may be at most this part of the one with code's dictionaries, and so much more for each different word, LINKS at
+#: most, that holds sentences of its language together and is no word of code: English and code share most other words. Text in Han, kana
+#: or hangul, which code has none of, gets one such allowance.
+CODE_MARGIN, LINK_MARGIN, LINKS = 0.8, 0.1, 3
 #: For a line on its own within a passage: the part of code's and of the next language's encoding.
-STRICT_MARGIN = 0.72
+STRICT_MARGIN, STRICT_NEXT = 0.7, 0.86
 MIN_WORDS, MIN_CHARS = 5, 10
 #: Remembered passages of a worker.
 MEMO = 200_000
@@ -36,6 +46,7 @@ MEMO = 200_000
 # Words of queries, styles, commands and programs, for the dictionary of code.
 CODE_TEXT = """
 select id, name, path, size from nodes where loc > 0 and value is not null order by id desc limit 10 group by having count(*) insert into table values (1, 2) update set delete from inner join left join on
+delete from t where expires < now() and id in (select id from old_rows where deleted) returning id; select max(created) from events where kind = before or kind = after having sum(n) > 1; merge into t using s on t.id = s.id when matched then update
 create table if not exists primary key foreign key references drop index alter column distinct union all as with begin commit
 if (a && b) { return false; } else { x = foo(bar, baz); } for (i = 0; i < n; i++) total += v[i]; while (true) { break; } return cache.get(key, 0); old_value := load(path, true) def run(self, x): print(x)
 const let var function class public static void int string null true false import export default async await new this try catch throw switch case
@@ -45,32 +56,6 @@ ls -la grep -rn sed -i awk cat echo export path sudo apt-get install npm run bui
 id path size loc language width height color margin padding display block none left right top bottom center index item list map key value type data error status code file line row column user order
 """
 
-# Labelled text on files themselves, which documents rarely hold.
-SEED_TEXT = {
-    "en": "this file was automatically generated by a tool, please do not modify or edit it by hand. any changes to this file will be lost when it is rebuilt. code generated by the compiler, do not edit. copyright (c) the authors and "
-    "contributors, all rights reserved. released under the terms of the mit license, see the license file for details. this copy was taken from the upstream release and keeps its own license. redistribution and use in source and binary forms, "
-    "with or without modification, are permitted provided that the following conditions are met. the software is provided as is, without warranty of any kind. we wrote this module and they maintain it here. upstream distribution of the library. "
-    "ids are created at startup so that the order of the calls is kept. if you need more than this, you should ask for it before you use it. there is nothing here that has not been there for some time.",
-    "de": "automatisch erzeugte datei, bitte nicht von hand bearbeiten. diese datei wurde von einem werkzeug generiert, änderungen gehen beim nächsten bauen verloren. alle rechte vorbehalten. veröffentlicht unter der lizenz, siehe die datei "
-    "für einzelheiten. die autoren haben dieses modul geschrieben und pflegen es hier. wenn sie mehr brauchen, sollten sie vorher fragen. es gibt hier nichts, was nicht auch dort ist, aber das kann sich noch ändern.",
-    "fr": "ce fichier est produit automatiquement par un outil, ne pas le modifier à la main. ce fichier a été généré, toute modification sera perdue lors de la prochaine construction. tous droits réservés. publié sous la licence, voir le "
-    "fichier pour les détails. les auteurs ont écrit ce module et le maintiennent ici. si vous avez besoin de plus, il faut demander avant. il n'y a rien ici qui ne soit pas déjà là, mais cela peut encore changer.",
-    "es": "archivo generado automáticamente por una herramienta, no lo edite ni modifique a mano. este fichero se ha generado y los cambios se perderán cuando se vuelva a construir. todos los derechos reservados. publicado bajo la licencia, "
-    "vea el archivo para más detalles. los autores escribieron este módulo y lo mantienen aquí. si necesita más, debe preguntar antes. no hay nada aquí que no esté ya allí, pero eso puede cambiar todavía.",
-    "pt": "arquivo gerado automaticamente por uma ferramenta, não edite nem modifique este arquivo à mão. este ficheiro foi gerado e as alterações serão perdidas quando for construído de novo. todos os direitos reservados. publicado sob a "
-    "licença, veja o arquivo para mais detalhes. os autores escreveram este módulo e o mantêm aqui. se você precisa de mais, deve perguntar antes. não há nada aqui que não esteja já lá, mas isso ainda pode mudar.",
-    "it": "file generato automaticamente da uno strumento, non modificare a mano. questo file è stato generato e le modifiche andranno perse alla prossima costruzione. tutti i diritti riservati. rilasciato sotto la licenza, vedi il file per i "
-    "dettagli. gli autori hanno scritto questo modulo e lo mantengono qui. se ti serve di più, devi chiedere prima. non c'è niente qui che non sia già là, ma questo può ancora cambiare.",
-    "nl": "dit bestand is automatisch gegenereerd door een hulpmiddel, niet met de hand bewerken of wijzigen. wijzigingen in dit bestand gaan verloren wanneer het opnieuw wordt gebouwd. alle rechten voorbehouden. uitgegeven onder de licentie, "
-    "zie het bestand voor meer informatie. de auteurs hebben deze module geschreven en onderhouden die hier. als je meer nodig hebt, moet je het eerst vragen. er is hier niets dat er niet al was, maar dat kan nog veranderen.",
-    "pl": "plik wygenerowany automatycznie przez narzędzie, proszę nie edytować ani nie zmieniać go ręcznie. ten plik został utworzony i zmiany zostaną utracone przy następnym budowaniu. wszelkie prawa zastrzeżone. wydano na licencji, "
-    "szczegóły w pliku. autorzy napisali ten moduł i utrzymują go tutaj. jeśli potrzebujesz więcej, trzeba najpierw zapytać. nie ma tu niczego, czego jeszcze tam nie było, ale to może się zmienić.",
-    "tr": "bu dosya bir araç tarafından otomatik olarak oluşturuldu, lütfen elle düzenlemeyin veya değiştirmeyin. bu dosyadaki değişiklikler yeniden oluşturulduğunda kaybolur. tüm hakları saklıdır. lisans altında yayımlandı, ayrıntılar için "
-    "dosyaya bakın. yazarlar bu modülü yazdı ve burada sürdürüyor. daha fazlası gerekiyorsa önce sormanız gerekir. burada orada olmayan bir şey yok ama bu yine de değişebilir.",
-    "ru": "файл создан автоматически, пожалуйста, не редактируйте и не изменяйте его вручную. изменения в этом файле будут потеряны при следующей сборке. все права защищены. выпущено на условиях лицензии, подробности в файле. авторы "
-    "написали этот модуль и поддерживают его здесь. если нужно больше, надо сначала спросить. здесь нет ничего, чего ещё не было там, но это может измениться.",
-}
-
 _MAP = str.maketrans({"ł": "l", "ß": "ss", "ı": "i", "ø": "o", "æ": "ae", "œ": "oe", "ñ": "n"})
 _UML = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue"})
 
@@ -80,20 +65,26 @@ def unaccented(text: str, umlauts: bool = False) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)) if not text.isascii() else text
 
 
-_SCRIPTS = re.compile("(?P<ko>[가-힣])|(?P<ja>[ぁ-ヿ])|(?P<han>[一-鿿㐀-䶿])|(?P<ru>[Ѐ-ӿ])|(?P<latin>[a-zA-ZÀ-ɏ])")
+_SCRIPTS = re.compile("(?P<other>[가-힣ぁ-ヿ一-鿿㐀-䶿Ѐ-ӿ])|[a-zA-ZÀ-ɏ]")
+_LATIN = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "tr")
+_OTHERS = tuple(x for x in LANGS if x not in _LATIN)
 
 
 def _candidates(text: str) -> tuple[str, ...]:
-    """The languages of the script that most of a text is in."""
+    """The languages whose letters a text could be in: those written in Latin letters, or the others."""
+    if text.isascii():
+        return _LATIN
     n = Counter(m.lastgroup for m in _SCRIPTS.finditer(text))
-    latin = n.pop("latin", 0)
-    if not n or latin > 2 * sum(n.values()):
-        return ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "tr")
-    if n["ko"] and n["ko"] >= n["ja"]:
-        return ("ko",)
-    if n["ru"] > n["ja"] + n["han"]:
-        return ("ru",)
-    return ("ja",) if n["ja"] * 6 >= n["han"] else ("zh", "ja")
+    return _LATIN if n[None] > 2 * n["other"] else _OTHERS
+
+
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def groups(text: str, k: int) -> bytes:
+    """The overlapping groups of k letters of a text's words, one after the other; a word's ends count as letters."""
+    t = " " + "  ".join(_LETTERS.findall(text.lower())) + " "
+    return "".join([t[i : i + k] for i in range(len(t) - k + 1)]).encode()
 
 
 def _trigrams(text: str) -> Counter:
@@ -121,22 +112,36 @@ def clean(labelled: dict[str, list[str]]) -> dict[str, list[str]]:
     return dict(out)
 
 
-def dictionaries(labelled: dict[str, list[str]]) -> dict[str, bytes]:
-    """The content of a dictionary for each language, and `code`."""
-    out = {"code": CODE_TEXT.lower().encode()}
-    for lang, texts in clean(labelled).items():
-        parts, seen, size = [], set(), 0
-        for t in [*texts, SEED_TEXT.get(lang, "")]:
-            for s in re.split(r"(?<=[.!?。])\s*|\n", t.lower()):
-                s = " ".join(w for w in s.split() if not re.search(r"[\d_`/=()<>{}\[\]#*]", w))
-                if len(s) < 12 or s in seen:
-                    continue
-                seen.add(s)
-                for x in {s, unaccented(s), unaccented(s, True)} if lang != "ru" else {s}:
-                    parts.append(x)
-                    size += len(x.encode())
-        both = "\n".join(parts).encode()
-        out[lang] = both[-DICT_BYTES:].decode(errors="ignore").encode()
+def _phrases(lang: str, texts: list[str]) -> list[str]:
+    """The distinct phrases that a language's dictionaries are made from, the most general last."""
+    if lang == "code":
+        rows = [x.split() for x in CODE_TEXT.lower().split("\n")]
+        return [" ".join(w[i : i + 6]) for w in rows for i in range(0, len(w), 3)]
+    out = []
+    for t in texts:
+        for s in _SENTENCE.split(t.lower()):
+            s = " ".join(w for w in s.split() if not _ODD.search(w))
+            if len(s) >= 12:
+                out.append(s)
+    words = WORDS.get(lang, "").replace("|", " ").lower().split()
+    seed = [*(x for x in _SENTENCE.split(" ".join(SEEDS.get(lang, "").split()).lower()) if len(x) > 8), *(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))]
+    out = [*dict.fromkeys(out), *seed, *seed]
+    return out if lang in _OTHERS else [y for x in out for y in dict.fromkeys((x, unaccented(x), unaccented(x, True)))]
+
+
+_SENTENCE = re.compile(r"(?<=[.!?。;:])\s*|\n")
+_ODD = re.compile(r"[\d_`/=()<>{}\[\]#*]")
+
+
+def dictionaries(labelled: dict[str, list[str]]) -> dict[str, tuple[bytes, bytes]]:
+    """(raw content, trained dictionary) for each language, and `code`."""
+    known = clean(labelled)
+    out = {}
+    for lang in (*LANGS, "code"):
+        phrases = _phrases(lang, known.get(lang, []))
+        raw = b"".join(dict.fromkeys(groups(x, 2) for x in phrases))[-RAW_BYTES:]
+        trained = zstd.train_dictionary(TRAINED_BYTES, [groups(x, 3) for x in phrases] * 2).as_bytes()
+        out[lang] = (raw, trained)
     return out
 
 
@@ -155,8 +160,9 @@ def labelled_sample(docs: DataFrame) -> dict[str, list[str]]:
     return dict(out)
 
 
-_WORD = re.compile(r"[(\"'¿¡«\[*„“‘-]*[^\W\d_]+(?:['’\-.][^\W\d_]+)*['’]?[)\"'.,;:!?…»\]*”“’-]*\Z")
-_CAMEL = re.compile(r"[a-zß-ÿ][A-Z]")
+#: A word with the signs around it; not one in camel case. Runs of MIN_WORDS words are phrases, single signs between them don't count.
+_WORD = r"(?>(?!\S*?[a-zß-ÿ][A-Z])[(\"'¿¡«\[*„“‘-]*[^\W\d_]+(?:['’\-.][^\W\d_]+)*['’]?[)\"'.,;:!?…»\]*”“’-]*(?!\S))"
+_RUN = re.compile(rf"(?<!\S){_WORD}(?:(?:\s+[^\w\s](?!\S))*+\s+{_WORD}){{{MIN_WORDS - 1},}}+")
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힣]")
 _ESC = re.compile(r"\\u\{([0-9a-fA-F]{1,6})\}|\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\([ntr])|\\([\"'`\\])")
 _TAG = re.compile(r"^\W*(?:TODO|FIXME|HACK|NOTE|XXX)\b:?", re.M)
@@ -182,42 +188,54 @@ def unescape(text: str) -> str:
         return out
 
 
+@cache
+def _links(lang: str) -> frozenset[str]:
+    """The words that hold sentences of a language together."""
+    own = WORDS[lang].partition("|")[0].lower() if "|" in WORDS.get(lang, "") else ""
+    return frozenset(y for x in own.split() for y in (x, unaccented(x), unaccented(x, True)) if len(y) > 1) - frozenset(CODE_TEXT.lower().split())
+
+
+def _encoder(data: bytes, kind: int):
+    p = zstd.ZstdCompressionParameters(strategy=zstd.STRATEGY_DFAST, min_match=5, window_log=16, hash_log=14, chain_log=14, write_checksum=0, write_content_size=0, write_dict_id=0)
+    d = zstd.ZstdCompressionDict(data, dict_type=kind)
+    d.precompute_compress(compression_params=p)
+    return zstd.ZstdCompressor(dict_data=d, compression_params=p).compress
+
+
+#: Bytes of every encoding that hold no text.
+_FRAME = 6
+
+
 class Identifier:
     """Tells the language of passages; remembers those it has seen."""
 
-    def __init__(self, dicts: dict[str, bytes]):
-        def make(data):
-            d = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=1)
-            return zstd.ZstdCompressor(level=1, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress
-
-        self.by = {k: make(v) for k, v in dicts.items() if v}
-        self.plain = zstd.ZstdCompressor(level=1, write_checksum=False, write_content_size=False).compress
-        self.memo: dict[tuple[str, bool], str | None] = {}
+    def __init__(self, dicts: dict[str, tuple[bytes, bytes]]):
+        self.raw = {k: _encoder(v[0], zstd.DICT_TYPE_RAWCONTENT) for k, v in dicts.items()}
+        self.trained = {k: _encoder(v[1], zstd.DICT_TYPE_FULLDICT) for k, v in dicts.items()}
+        self.memo: dict[str, tuple[str, float, float]] = {}
 
-    def sizes(self, text: str, langs) -> dict[str, int]:
-        data = text.lower().encode()
-        return {k: len(self.by[k](data)) - 6 for k in langs if k in self.by}
+    def score(self, text: str) -> tuple[str, float, float]:
+        """The language of the shortest encoding, its part of code's less the allowance for linking words, and its part of the next language's."""
+        got = self.memo.get(text)
+        if got is not None:
+            return got
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        two, three = groups(text, 2), groups(text, 3)
+        sizes = sorted((len(self.raw[k](two)), k) for k in _candidates(text))[:FINALISTS]
+        sizes = sorted((n + len(self.trained[k](three)) - 2 * _FRAME, k) for n, k in sizes)
+        code = len(self.raw["code"](two)) + len(self.trained["code"](three)) - 2 * _FRAME
+        best = sizes[0][1]
+        links = 1 if best in ("ja", "zh", "ko") else min(LINKS, len(_links(best).intersection(_LETTERS.findall(text.lower()))))
+        got = self.memo[text] = (best, sizes[0][0] / code - LINK_MARGIN * links, sizes[0][0] / sizes[1][0])
+        return got
 
     def phrase(self, text: str, strict: bool = False) -> str | None:
         """The language of one phrase, or None where it looks like code; strict asks for a wide margin over the next language too."""
-        key = (text, strict)
-        if key in self.memo:
-            return self.memo[key]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        langs = _candidates(text)
-        got = self.sizes(text, (*langs, "code"))
-        code = got.pop("code", 10**6)
-        order = sorted(got, key=got.get)
-        best = order[0] if order else None
-        plain = len(self.plain(text.lower().encode())) - 6
-        if best is not None and (got[best] > (STRICT_MARGIN if strict else CODE_MARGIN) * code or got[best] > PLAIN_MARGIN * plain):
-            best = None
-        if strict and len(order) > 1 and best is not None and got[best] > STRICT_MARGIN * got[order[1]]:
-            best = None
-        self.memo[key] = best
-        return best
+        lang, code, following = self.score(text)
+        if strict:
+            return lang if code <= STRICT_MARGIN and following <= STRICT_NEXT else None
+        return lang if code <= CODE_MARGIN else None
 
     def natural(self, passage: str) -> list[tuple[str, int]]:
         """(language, characters) of the phrases of a passage; a line that is surely in another language than its passage counts for itself."""
@@ -241,14 +259,10 @@ class Identifier:
             lang = self.phrase(" ".join(w for w in part.split() if _CJK.search(w)), strict)
             if lang in ("ja", "zh"):
                 return [(lang, n)]
-        run: list[str] = []
-        for w in [*part.split(), "0"]:
-            if _WORD.match(w) and not _CAMEL.search(w):
-                run.append(w.strip("\"'()[]*«»„“”.,;:!?"))
-            elif len(w) > 1 or w.isalnum():
-                if len(run) >= MIN_WORDS and (lang := self.phrase(" ".join(run), strict)) and lang not in ("ja", "zh"):
-                    out.append((lang, sum(map(len, run)) + len(run) - 1))
-                run = []
+        for m in _RUN.finditer(part):
+            run = [w for w in (x.strip("\"'()[]*«»„“”.,;:!?") for x in m[0].split()) if len(w) > 1 or w.isalnum()]
+            if (lang := self.phrase(" ".join(run), strict)) and lang not in ("ja", "zh"):
+                out.append((lang, sum(map(len, run)) + len(run) - 1))
         return out
 
 
@@ -275,10 +289,11 @@ def language_shares(files: DataFrame, docs: DataFrame) -> DataFrame:
     """(file_id, nl_lang, chars, share): the languages in the comments and literals of each code file, share of its characters.
 
     Only phrases of MIN_WORDS words, in Japanese and Chinese MIN_CHARS characters, count. Null and empty content has none; rows
-    that are there twice count once.
+    that are there twice count once; without any labelled document there are no rows.
     """
-    dicts = dictionaries(labelled_sample(docs))
-    own = code_files(files).where("content is not null and content <> ''")
+    sample = labelled_sample(docs)
+    dicts = dictionaries(sample) if sample else {}
+    own = code_files(files).where("content is not null and content <> ''" if dicts else "false")
     own = own.select("file_id", F.length("content").alias("n"), per_text(_shares(dicts), "string", F.col("ext"), F.col("content")).alias("s")).where("s is not null")
     own = own.dropDuplicates(["file_id"]).select("file_id", "n", F.explode(F.split("s", " ")).alias("s"))
     lang, chars = F.substring_index("s", ":", 1), F.substring_index("s", ":", -1).cast("bigint")

@@ -70,14 +70,15 @@ def passages(ext: str, text: str) -> list[tuple[str, str]]:
     for s in spans(ext, text):
         body = text[s.body : s.until]
         begin, at = max(begin, text.rfind("\n", at, s.start) + 1), s.start
-        own_line = s.start - begin < 400 and not text[begin : s.start].strip(" \t+-")
+        # a line's first span alone looks at the text before it
+        own_line = (last is None or last.end <= begin) and not text[begin : s.start].strip(" \t+-")
         if last is not None and last.kind == s.kind:
             gap = text[last.end : s.start]
             if s.kind == "c" and alone and own_line and _GAP.match(gap):
                 out[-1] = ("c", out[-1][1] + "\n" + body)
                 last = s
                 continue
-            if s.kind == "s" and len(gap) < 40 and (gap.strip() in ("+", ".", "..") or (ext in ("py", "c", "h") and not gap.strip())):
+            if s.kind == "s" and (gap.strip() in ("+", ".", "..") or (ext in ("py", "c", "h") and not gap.strip())):
                 out[-1] = ("s", out[-1][1] + body)
                 last = s
                 continue

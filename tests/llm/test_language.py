@@ -67,3 +67,25 @@ def test_queries(spark):
     assert 0.5 < L.language_shares(f, docs).where("file_id = 1").first()["share"] <= 1
     assert L.languages_in_code(f.limit(0), docs).count() == 0
     assert L.languages_in_code(f, docs.limit(0)).count() == 0
+
+
+def test_sentences_of_other_wording():
+    """Sentences that share no wording with the labelled ones, and spans that only look like text."""
+    from tests.llm.heldout import CODE_LIKE, HELD_OUT
+
+    own = L.Identifier(L.dictionaries({}))
+    for lang, text in HELD_OUT.items():
+        rows = text.split("\n")
+        assert len(rows) >= 20
+        assert sum({k for k, _ in own.natural(x)} == {lang} for x in rows) >= 0.8 * len(rows), lang
+    every = [(lang, x) for lang, text in HELD_OUT.items() for x in text.split("\n")]
+    assert sum({k for k, _ in own.natural(x)} == {lang} for lang, x in every) >= 0.9 * len(every)
+    assert sum(bool(own.natural(x)) for x in CODE_LIKE) <= 0.02 * len(CODE_LIKE)
+
+
+def test_distance_does_not_matter():
+    text = "x = ('The nightly importer keeps'" + " " * 60 + "+ ' a copy of the cached list')"
+    assert passages("ts", text) == [("s", "The nightly importer keeps a copy of the cached list")]
+    far = " " * 500
+    assert passages("py", f"{far}# one line\n{far}# and the next\n") == [("c", " one line\n and the next")]
+    assert passages("py", "x = 1 # one\ny = 2 # two\n") == [("c", " one"), ("c", " two")]
