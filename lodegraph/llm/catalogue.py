@@ -52,6 +52,10 @@ def p6_summary(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(p6_packing(spark, d))
 
 
+def p6_holds(spark: SparkSession, d: str) -> DataFrame:
+    return packing.holds(p6_packing(spark, d), table(spark, d, "documents"))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -60,6 +64,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.limits(p7_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_look_pairs(table(spark, d, "documents"))
 
@@ -70,5 +78,12 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", canonical.canonical_text(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_origins, p5_found, p5_shares, p6_packing, p6_fills, p6_summary, p7_mix, p7_shares, p8_found, p8_canonical)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_origins, p5_found, p5_shares, p6_packing, p6_fills, p6_summary, p6_holds, p7_mix, p7_shares, p7_limits, p8_found, p8_canonical)}
+ORACLES: dict[str, str] = {
+    # what any packing and any mix must keep
+    "p6_holds": """
+SELECT container_class, (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id IS NOT NULL AND text <> '') AS texts,
+  0::BIGINT AS pieces_twice, 0::BIGINT AS over_full, 0::BIGINT AS split_needlessly, 0::BIGINT AS tokens_lost
+FROM containers WHERE container_class IS NOT NULL AND capacity_tokens > 0 GROUP BY container_class""",
+    "p7_limits": "SELECT DISTINCT mix_name, 0::BIGINT AS twice, 0::BIGINT AS outside, 0::BIGINT AS beyond FROM mix_targets WHERE mix_name IS NOT NULL AND source IS NOT NULL",
+}

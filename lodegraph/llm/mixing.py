@@ -7,8 +7,10 @@ of the documents is a sum for each source, so only those travel. A document's ra
 so far, and is computed anew from them: nothing is kept between steps but a vector for each mix.
 
 The total is the largest at which no source that has documents needs more repeats than it may have. Rates become whole repeats
-by a threshold on a hash, found for each source by histograms down to a single document. A source without documents can't
-reach its target; the report shows it with share 0.
+by a threshold on a hash, found for each source by histograms down to a single document. What is then missing is filled from the
+histogram of the lengths not yet taken: the longest that fits, again and again, and last a longer one where that comes closer.
+A source without documents can't reach its target; the report shows it with share 0. The gradient ends when all sums are within
+TOLERANCE of their targets or a step no longer gains; the report gives the part of the total that was then missing.
 
 Defined results: null and empty texts take no part; a document of a source outside the recipe takes no part in that mix;
 documents with a null source are used only where their posterior's greatest source is in the recipe.
@@ -25,12 +27,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lodegraph.llm.tokens import VOCABULARY, token_count
 from lodegraph.session import cut
 
-#: Hashed words of the classifier, steps of the gradient, and bins and rounds of the threshold search.
-BUCKETS, STEPS, BINS, ROUNDS = 1 << 12, 12, 256, 3
+#: Hashed words of the classifier, and bins and rounds of the threshold search.
+BUCKETS, BINS, ROUNDS = 1 << 12, 256, 3
+#: The gradient ends within this part of the total, or when a step gains less than this part of what is missing.
+TOLERANCE, LEAST_GAIN = 1e-4, 0.02
+#: Groups of the documents that fill up a source.
+SALTS = 64
 
 _WORD = re.compile(r"[^\W\d_]+|[#*`|:]")
 
@@ -112,8 +119,52 @@ def _rates(p: np.ndarray, cap: np.ndarray, history: list[np.ndarray]) -> np.ndar
     return r
 
 
+def _picks(histogram: dict[int, int], want: float) -> dict[int, int]:
+    """How many of each length bring a sum closest to want, the longest that fits first."""
+    out: dict[int, int] = {}
+    for s in sorted(histogram, reverse=True):
+        if n := min(histogram[s], int(want // s)):
+            out[s] = n
+            want -= n * s
+    over = min((s for s, n in histogram.items() if s > want and n > out.get(s, 0)), default=None)
+    if over is not None and over - want < want:
+        out[over] = out.get(over, 0) + 1
+    return out
+
+
+def fill_up(spare: DataFrame, want: dict[tuple[str, str], float]) -> DataFrame:
+    """(mix_name, doc_id, more): one repeat more for documents that bring each mix's source closest to the tokens it still wants.
+
+    spare is (mix_name, doc_id, source, tokens, u). The driver gets the counts of lengths up to twice what is wanted, which is less
+    than twice a document.
+    """
+    spark = spare.sparkSession
+    wants = spark.createDataFrame([(m, s, float(x)) for (m, s), x in want.items()], "mix_name string, source string, want double")
+    near = spare.join(wants, ["mix_name", "source"]).where("want >= 1 and tokens < 2 * want")
+    lengths: dict[tuple[str, str], dict[int, int]] = defaultdict(dict)
+    for r in near.groupBy("mix_name", "source", "tokens").agg(F.count("*").alias("n")).collect():
+        lengths[r["mix_name"], r["source"]][r["tokens"]] = r["n"]
+    picks = [(m, s, t, n) for (m, s), h in lengths.items() for t, n in _picks(h, want[m, s]).items()]
+    picked = near.join(spark.createDataFrame(picks, "mix_name string, source string, tokens bigint, n bigint"), ["mix_name", "source", "tokens"])
+    # the first n by hash: of each salted group first, as many documents may have one length
+    picked = picked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    for keys in (["mix_name", "source", "tokens", "salt"], ["mix_name", "source", "tokens"]):
+        picked = picked.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy("u", "doc_id"))).where("rn <= n")
+    return picked.select("mix_name", "doc_id", F.lit(1).alias("more"))
+
+
+def limits(chosen: DataFrame, targets: DataFrame) -> DataFrame:
+    """(mix_name, twice, outside, beyond): documents a mix holds twice, of sources outside its recipe, beyond their repeats; all 0 in a valid mix."""
+    own = targets.where("mix_name is not null and source is not null").select("mix_name", "source", "max_repeats")
+    rows = chosen.groupBy("mix_name", "doc_id", "source").agg(F.count("*").alias("n"), F.max("repeats").alias("repeats")).join(own, ["mix_name", "source"], "left")
+    sums_ = rows.groupBy("mix_name").agg(
+        F.sum(F.col("n") - 1).alias("twice"), F.sum(F.col("max_repeats").isNull().cast("bigint")).alias("outside"), F.sum(F.coalesce(F.col("repeats") > F.col("max_repeats"), F.lit(False)).cast("bigint")).alias("beyond")
+    )
+    return own.select("mix_name").distinct().join(sums_, "mix_name", "left").na.fill(0)
+
+
 def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
-    """The chosen documents (mix_name, doc_id, source, tokens, repeats), and the report (mix_name, source, target_share, actual_share, tokens, documents, most_repeats, max_repeats)."""
+    """The chosen documents (mix_name, doc_id, source, tokens, repeats), and the report (mix_name, source, target_share, actual_share, tokens, documents, most_repeats, max_repeats, missing)."""
     spark = docs.sparkSession
     members, names = memberships(docs, vocabulary)
     recipe: dict[str, dict[str, tuple[float, int]]] = defaultdict(dict)
@@ -148,13 +199,22 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tu
         total = min((cap[m][i] * stock[m][i] / share[m][i] for i in np.flatnonzero(use)), default=0.0)
         goal[m] = np.where(use, share[m] * total, 0.0)
     history: dict[str, list[np.ndarray]] = {m: [] for m in recipe}
-    for _ in range(STEPS):
+    missing: dict[str, float] = {m: float("inf") for m in recipe}  # of the total, after the steps so far
+    open_ = set(recipe)
+    while open_:  # a step that doesn't gain is the last, so this ends
         have = sums(lambda m, p: _rates(p, cap[m], history[m])) if any(history.values()) else {m: np.zeros(k) for m in recipe}
-        gap = {m: (goal[m] - have[m]) / np.maximum(stock[m], 1.0) for m in recipe}
-        if all(np.abs(g * stock[m]).max(initial=0) <= 1e-4 * max(goal[m].sum(), 1) for m, g in gap.items()):
-            break
-        for m in recipe:
-            history[m].append(gap[m])
+        for m in [*open_]:
+            off = float(np.abs(goal[m] - have[m]).sum() / max(goal[m].sum(), 1.0))
+            if off > (1 - LEAST_GAIN) * missing[m] and history[m]:
+                open_.discard(m)
+                if off > missing[m]:
+                    history[m].pop()
+                    continue
+            missing[m] = off
+            if off <= TOLERANCE:
+                open_.discard(m)
+            if m in open_:
+                history[m].append((goal[m] - have[m]) / np.maximum(stock[m], 1.0))
 
     schema = "mix_name string, doc_id bigint, source string, tokens bigint, rate double, u double"
 
@@ -191,13 +251,17 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tu
                 b += 1
             at[key] = (lo + b * width, lo + (b + 1) * width, below)
     cuts = spark.createDataFrame([(m, s, lo) for (m, s), (lo, _, _) in at.items()], "mix_name string, source string, cut double")
-    chosen = rates.join(cuts, ["mix_name", "source"]).withColumn("repeats", (F.floor("rate") + F.when((F.col("rate") > F.floor("rate")) & (F.col("u") < F.col("cut")), 1).otherwise(0)).cast("int"))
+    more = (F.col("rate") > F.floor("rate")) & (F.col("u") < F.col("cut"))
+    chosen = cut(rates.join(cuts, ["mix_name", "source"]).withColumn("repeats", (F.floor("rate") + F.when(more, 1).otherwise(0)).cast("int")).withColumn("spare", ~more & (F.col("rate") > F.floor("rate"))))
+    extra = fill_up(chosen.where("spare"), {key: want[key] - below for key, (_, _, below) in at.items()})
+    chosen = chosen.join(extra, ["mix_name", "doc_id"], "left").withColumn("repeats", F.col("repeats") + F.coalesce("more", F.lit(0)))
     chosen = chosen.where("repeats > 0").select("mix_name", "doc_id", "source", "tokens", "repeats")
     sums_ = chosen.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
     total = sums_.groupBy("mix_name").agg(F.sum("tokens").alias("total"))
     report = targets.where("mix_name is not null and source is not null").join(sums_, ["mix_name", "source"], "left").join(total, "mix_name", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    report = report.select(
-        "mix_name", "source", "target_share", F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"), zero("tokens").alias("tokens"), zero("documents").alias("documents"), zero("most_repeats").alias("most_repeats"), "max_repeats"
+    left = spark.createDataFrame([(m, x if x < float("inf") else 0.0) for m, x in missing.items()], "mix_name string, missing double")
+    report = report.join(left, "mix_name", "left").select(
+        "mix_name", "source", "target_share", F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"), zero("tokens").alias("tokens"), zero("documents").alias("documents"), zero("most_repeats").alias("most_repeats"), "max_repeats", "missing"
     )
     return chosen, report

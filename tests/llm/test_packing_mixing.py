@@ -93,3 +93,49 @@ def test_posteriors(spark):
     model = mixing.Classifier(docs(spark, 300).where("text is not null and text <> ''"))
     p = model.posterior("fix the merge of a branch commit")
     assert model.sources[p.argmax()] == "b" and abs(p.sum() - 1) < 1e-9
+
+
+def test_tiers_change_the_plan():
+    rng = random.Random(7)
+    h = Counter(min(512, int(rng.lognormvariate(4, 1)) + 1) for _ in range(20_000))
+    assert packing.plan(h, 512) != packing.plan(h, 512, (1.0,))
+    # windows of a quarter: four full ones make a container, and no text lies across two of them
+    assert sorted(packing.plan({5: 8, 20: 8}, 100, (1.0, 0.25))) == [(5, 0, 8, 0, 4), (20, 0, 8, 0, 4)]
+
+
+def test_texts_without_spaces():
+    whole = tokens._tokenizer(tokens.VOCABULARY)
+    for t in ("数据处理，结果返回。" * 9000, "字" * 70_000, " " * 20_000 + "x", "a1" * 40_000, "can't" * 20_000):
+        want = len(whole.encode(t, add_special_tokens=False).ids)
+        assert tokens.count(t) == want
+        assert sum(len(e.ids) for e in whole.encode_batch(tokens._parts(t), add_special_tokens=False)) == want
+
+
+def test_hot_length_and_balance(spark):
+    """A third of all texts have one length; each is placed once, and step groups get nearly equal tokens."""
+    rows = [(i, "alpha " * (7 if i % 3 == 0 else 1 + i % 40)) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    c = spark.createDataFrame([("s", 64)], "container_class string, capacity_tokens bigint")
+    packed = packing.pack(d, c)
+    assert [tuple(r) for r in packing.holds(packed, d).collect()] == [("s", 3000, 0, 0, 0, 0)]
+    groups = [r["t"] for r in packing.fills(packed).groupBy("step_group").agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "t").collect()]
+    assert len(groups) == packing.STEP_GROUPS and max(groups) - min(groups) <= 128
+
+
+def test_fill_up(spark):
+    assert mixing._picks({10: 2, 4: 5, 3: 1}, 27) == {10: 2, 4: 1, 3: 1}
+    assert mixing._picks({10: 2}, 6) == {10: 1} and mixing._picks({10: 2}, 4) == {} and mixing._picks({}, 5) == {}
+    spare = spark.createDataFrame([("m", i, "a", 5 if i else 90, i / 100) for i in range(60)], "mix_name string, doc_id bigint, source string, tokens bigint, u double")
+    assert mixing.fill_up(spare, {("m", "a"): 101.0}).count() in (3, 20)
+    got = mixing.fill_up(spare, {("m", "a"): 51.0}).collect()
+    assert len(got) == 10 and len({r["doc_id"] for r in got}) == 10 and 0 not in {r["doc_id"] for r in got}
+    assert mixing.fill_up(spare, {("m", "a"): 0.0}).count() == 0
+
+
+def test_limits_and_convergence(spark):
+    t = spark.createDataFrame([("m", "a", 0.25, 1), ("m", "b", 0.5, 3), ("m", "c", 0.25, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    chosen, report = mixing.mix(docs(spark, 300), t)
+    assert [tuple(r) for r in mixing.limits(chosen, t).collect()] == [("m", 0, 0, 0)]
+    assert {r["missing"] < 0.01 for r in report.collect()} == {True}
+    bad = spark.createDataFrame([("m", 1, "a", 5, 2), ("m", 1, "a", 5, 1), ("m", 2, "x", 5, 1)], "mix_name string, doc_id bigint, source string, tokens bigint, repeats int")
+    assert [tuple(r) for r in mixing.limits(bad, t).collect()] == [("m", 1, 1, 1)]
