@@ -32,6 +32,10 @@ def p3_origins(spark: SparkSession, d: str) -> DataFrame:
     return origin.origins(table(spark, d, "files"))
 
 
+def p3_signs(spark: SparkSession, d: str) -> DataFrame:
+    return origin.signs(table(spark, d, "files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return language.languages_in_code(table(spark, d, "files"), table(spark, d, "documents"))
 
@@ -78,7 +82,7 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", canonical.canonical_text(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_origins, p5_found, p5_shares, p6_packing, p6_fills, p6_summary, p6_holds, p7_mix, p7_shares, p7_limits, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_origins, p3_signs, p5_found, p5_shares, p6_packing, p6_fills, p6_summary, p6_holds, p7_mix, p7_shares, p7_limits, p8_found, p8_canonical)}
 ORACLES: dict[str, str] = {
     # what any packing and any mix must keep
     "p6_holds": """

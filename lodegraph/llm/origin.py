@@ -1,9 +1,11 @@
 """Generated, minified or vendored source files and data stored as code (problem 3).
 
-Character trigram models of identifiers are counted for each language over all files; a file's own identifiers are judged by
-them. Mangled names have a high cross-entropy and stand in text without layout; names made from a template lose their
-diversity once their digits are dropped; names in another style than the repository's own support other signs of a copy.
-Headers, paths and the shape of the content decide the rest. Text in literals is never taken for a header.
+Character trigram models of identifiers are counted for each language over all files; every file's own identifiers are judged by
+them before anything else. Mangled names have a high cross-entropy, are short, and often stand in text without layout; names made
+from a template lose their diversity once their digits are dropped; names in another style than the repository's own mark a copy
+where the file carries a licence line. One large literal is data. Only what names can't tell is decided by comments and paths: an
+unchanged copy, or code from a generator that names things as people do, has names like any other. A path decides only where
+it has the form that a package manager or tool gives it; a directory's name alone doesn't. Text in literals is never taken for a header.
 """
 
 from __future__ import annotations
@@ -37,9 +39,11 @@ LONG_LINE, SPACE_SHARE = 300, 0.13
 SHORT_SHARE, SHORT_SPAN, LAYOUT_WEIGHT, MANGLED_SCORE, NAMES_LEAST, NAMES_LAID_OUT = 0.6, 0.18, 1.25, 2.3, 8, 20
 
 # Directories and names that tools and package managers use.
-VENDOR_DIRS = re.compile(r"(?:^|/)(?:vendor|vendors|vendored|_vendor|third[_-]?party|node_modules|bower_components|jspm_packages|site-packages|dist-packages|Pods|Carthage|Godeps)/|(?:^|/)(?:external|externals|extern|deps)/[^/]+/", re.I)
+VENDOR_DIRS = re.compile(r"(?:^|/)(?:vendor|vendors|vendored|_vendor|third[_-]?party|external|externals|extern|deps|node_modules|bower_components|jspm_packages|site-packages|dist-packages|Pods|Carthage|Godeps)/[^/]+/", re.I)
+#: A directory's name that supports half a template.
+GENERATED_DIRS = re.compile(r"(?:^|/)(?:generated|gen|codegen)/", re.I)
 TOOL_PATHS = re.compile(
-    r"(?:^|/)(?:generated|__generated__|autogen|autogenerated|build/generated|generated-sources|gen-src)/|(?:^|/)target/(?:out|debug|release|generated)|_pb2(?:_grpc)?\.pyi?$|\.pb(?:-c|\.gw|\.validate)?\.(?:go|h|c|cc|ts|js)$|_pb\.(?:js|ts|d\.ts)$|[._](?:generated|gen|g|designer)\.\w+$|\.tab\.[ch]$|(?:^|/)lex\.yy\.c$|zz_generated",
+    r"(?:^|/)(?:__generated__|autogen|autogenerated|build/generated|generated-sources|gen-src)/|(?:^|/)target/(?:out|debug|release|generated)|_pb2(?:_grpc)?\.pyi?$|\.pb(?:-c|\.gw|\.validate)?\.(?:go|h|c|cc|ts|js)$|_pb\.(?:js|ts|d\.ts)$|[._](?:generated|gen|g|designer)\.\w+$|\.tab\.[ch]$|(?:^|/)lex\.yy\.c$|zz_generated",
     re.I,
 )
 MINIFIED_PATHS = re.compile(r"[.-]min\.[cm]?js$|\.bundle\.[cm]?js$|\.chunk\.[cm]?js$|(?:^|/)dist/.*\.[cm]?js$|[-.][0-9a-f]{8,20}\.[cm]?js$", re.I)
@@ -249,8 +253,32 @@ def judge(ext: str, path: str, text: str | None, model: NameModel | None) -> tup
     return judge_names(ext, path, text, model)[:2]
 
 
+def _template(text: str, names: list[str], share: float) -> bool:
+    """Whether most names come from one pattern: without their digits few are left."""
+    if text.count("\n") <= 2 * TEMPLATE_NAMES or not _DIGITS.search(text):
+        return False
+    own = {n for n in names if len(n) > 4}
+    kinds = Counter(_DIGITS.sub("0", n) for n in own)
+    if not kinds:
+        return False
+    numbered = sum(n for n in kinds.values() if n >= TEMPLATE_NAMES)  # of patterns that repeat
+    return numbered > 0 and len(kinds) <= share * len(own) + 2 and numbered >= (1 - 2 * share) * len(own)
+
+
 def judge_names(ext: str, path: str, text: str | None, model: NameModel | None) -> tuple[str | None, str, list[str]]:
     """judge() with the names of a file that nothing was found against, for its style."""
+    names: list[str] = []
+    if text and model is not None:
+        code = bare(ext, text)
+        names = _IDENT.findall(code)
+        if _is_data(ext, text):  # before the names: hexadecimal numbers look like short ones
+            return "data", "literal", []
+        if _mangled(text, code, set(names), model):
+            return "minified", "mangled names", []
+        if _template(text, names, TEMPLATE_SHARE):
+            return "generated", "template names", []
+        if GENERATED_DIRS.search(path) and _template(text, names, 1.5 * TEMPLATE_SHARE):
+            return "generated", "names and path", []
     if text:
         head = header(text)
         if head and not NEGATED.search(head):
@@ -270,22 +298,6 @@ def judge_names(ext: str, path: str, text: str | None, model: NameModel | None)
         return "generated", "path", []
     if MINIFIED_PATHS.search(path):
         return "minified", "path", []
-    if not text or model is None:
-        return None, "", []
-    code = bare(ext, text)
-    names = _IDENT.findall(code)
-    if _is_data(ext, text):  # before the names: hexadecimal numbers look like short ones
-        return "data", "literal", []
-    if _mangled(text, code, set(names), model):
-        return "minified", "mangled names", []
-    if text.count("\n") > 2 * TEMPLATE_NAMES and _DIGITS.search(text):
-        own = {n for n in names if len(n) > 4}
-        kinds = Counter(_DIGITS.sub("0", n) for n in own)
-        if kinds:
-            top, n = kinds.most_common(1)[0]
-            numbered = len({x for x in own if _DIGITS.sub("0", x) == top})
-            if numbered >= TEMPLATE_NAMES and len(kinds) <= TEMPLATE_SHARE * len(own) + 2 and numbered >= 0.6 * len(own):
-                return "generated", "template names", []
     return None, "", names
 
 
@@ -333,6 +345,11 @@ def origins(files: DataFrame) -> DataFrame:
     )
 
 
+def signs(files: DataFrame) -> DataFrame:
+    """(kind, reason, files): how many files each sign decided."""
+    return origins(files).where("kind is not null").groupBy("kind", "reason").agg(F.count("*").alias("files"))
+
+
 def found(files: DataFrame) -> DataFrame:
     """(file_id) of the code files that nobody in the repository wrote by hand."""
     return origins(files).where("kind is not null").select("file_id")

@@ -49,3 +49,27 @@ MODEL = O.NameModel({g: 9 for n in "function value index count total result orde
 @pytest.mark.parametrize("text,kind", [(WRAPPED, "minified"), (_mangled("", 7), "minified"), (RESTORED, "minified"), (HAND, None), (HAND.replace("    ", "").replace("\n", ""), None)])
 def test_names_are_asked_in_any_layout(text, kind):
     assert O.judge("js", "a.js", text, MODEL)[0] == kind
+
+
+def test_names_come_first():
+    """A template and mangled names are found without header or path, and a directory's name alone condemns nothing."""
+    files = [("ts", "\n".join(f"export function readField{i}(box: Box): number {{\n  return box.field{i};\n}}" for i in range(40)))]
+    plain = "\n".join(f"export function {v}{n}(total: number, limit: number): number {{\n  return total + limit;\n}}" for v in ("merge", "count", "split", "close", "apply") for n in ("Orders", "Prices", "Clients", "Letters"))
+    model = own_model([("ts", plain)] * 20)
+    assert O.judge(*files[0][:1], "src/a.ts", files[0][1], model) == ("generated", "template names")
+    assert O.judge("ts", "src/a.ts", "// @generated by x\n" + files[0][1], model) == ("generated", "template names")
+    for path in ("src/vendor/ours.ts", "src/generated/ours.ts", "src/external/ours.ts", "third_party/ours.ts"):
+        assert O.judge("ts", path, plain, model) == (None, ""), path
+    assert O.judge("ts", "src/vendor/somelib/a.ts", plain, model) == ("vendored", "path")
+    mixed = "\n".join(f"export function readField{i}(box: Box): number {{\n  return box.field{i};\n}}" for i in range(12)) + "\n" + "\n".join(f"const {w}Name = 1;" for w in ("alpha", "beta", "gamma", "delta"))
+    assert O.judge("ts", "src/generated/a.ts", mixed, model)[0] == "generated"
+
+
+def own_model(files):
+    import pandas as pd
+
+    grams = {}
+    for part in O._count(iter([pd.DataFrame(files, columns=["ext", "content"])])):
+        for lang, gram, n in zip(part["lang"], part["gram"], part["n"]):
+            grams.setdefault(lang, {})[gram] = n
+    return O.NameModel(grams["TypeScript"] if "TypeScript" in grams else next(iter(grams.values())))
