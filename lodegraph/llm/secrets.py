@@ -1,8 +1,8 @@
 """Credentials embedded in source code (problem 1).
 
 Literals and configuration values near an assignment, a call, a header, a URL or a comment that speaks of credentials are
-segmented by Viterbi into dictionary words (placeholder and field words and the words of the name itself). What no word
-explains is the residual; a residual long enough for its context is a secret. Known hash formats, references, masks, public
+segmented by Viterbi into dictionary words: placeholder and field words, the words of the name itself and, for values of letters alone
+under names that may also label something, the whole words of a public tokenizer's vocabulary. What no word explains is the residual; a residual long enough for its context is a secret. Known hash formats, references, masks, public
 keys and certificates are left out. Values are looked at as written, joined from the literals of a line, and decoded.
 
 Only lines that hold one of the hints are read closely. Redaction replaces the characters of the value by `*`, so that lengths,
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import os
 import re
 from bisect import bisect_left
 from functools import lru_cache
@@ -38,6 +39,11 @@ WORDS = set(
     "required missing invalid wrong must be at least characters forgot reset new old confirm again please admin root guest db database app service client server smtp mail aws encryption signing master session cookie jwt bearer basic oauth "
     "id ids env environment config variable vault and or of for to is passwort senha mot de passe kennwort contrasena clave abc abcd xyz qwerty unset unknown optional na goes provide add put own use type header field label x".split()
 )
+# Passwords in common use, although they consist of words and runs.
+WEAK = set(
+    "letmein admin123 admin1234 password1 password123 passw0rd p@ssw0rd p@ssword welcome1 welcome123 qwerty123 1q2w3e4r iloveyou monkey dragon sunshine princess football baseball trustno1 superman batman starwars shadow master123 root123 "
+    "test1234 abc123 111111 123123 654321 12345678 123456789 1234567890 123456 letmein1 hunter2 changeit toor".split()
+)
 # Words of names.
 PASSWORDS = set("password passwd pass pwd pw passphrase passwort kennwort senha passe contrasena contraseña clave haslo hasło wachtwoord sifre şifre parola пароль 密码 パスワード 비밀번호".split())
 SECRETS = set("secret secrets token cred creds credential credentials auth apikey authtoken accesskey secretkey privatekey salt jwt pat apitoken".split())
@@ -127,8 +133,37 @@ def _hinted(text: str) -> list[int]:
     return sorted(set(starts))
 
 
-#: Characters before a literal in which its name is looked for.
-WINDOW = 400
+#: Literals before a literal from which on its name is looked for.
+BEFORE = 4
+#: The vocabulary whose whole words are dictionary words; a parameter, without the file there are none.
+VOCABULARY = os.environ.get("LODEGRAPH_WORDS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: The least letters of such a word.
+WORD_LEAST = 4
+
+
+@lru_cache(1)
+def vocabulary(path: str = VOCABULARY) -> frozenset[str]:
+    """The lower-cased words of letters that are one token behind a space."""
+    if not os.path.exists(path):
+        return frozenset()
+    with open(path, "rb") as f:
+        tokens = (base64.b64decode(row.split()[0]) for row in f)
+        return frozenset(t[1:].decode().lower() for t in tokens if t[:1] == b" " and len(t) > WORD_LEAST and t[1:].isalpha() and t.isascii())
+
+
+def unexplained(value: str) -> int:
+    """How many letters of a value of letters and separators no word of the vocabulary explains, by Viterbi."""
+    words, out = vocabulary(), 0
+    for part in words_of(value):
+        n = len(part)
+        best = [0] * (n + 1)
+        for i in range(1, n + 1):
+            best[i] = best[i - 1] + 1
+            for k in range(WORD_LEAST, i + 1):
+                if best[i - k] < best[i] and (part[i - k : i] in words or (k > WORD_LEAST and part[i - 1] == "s" and part[i - k : i - 1] in words)):
+                    best[i] = best[i - k]
+        out += best[n]
+    return out
 
 
 @lru_cache(50_000)
@@ -161,8 +196,6 @@ def residual(value: str, name: str = "") -> int:
     """How many letters and digits of a value no dictionary word explains: Viterbi over words, runs and single characters."""
     v = value.lower()
     n = len(v)
-    if n > 400:
-        return n
     own = set(words_of(name))
     best = [0.0] * (n + 1)
     left = [0] * (n + 1)
@@ -204,6 +237,10 @@ def _decoded(value: str) -> str | None:
     return text if len(text) >= 6 and text.isprintable() and text.isascii() else None
 
 
+#: Several words of letters, or one word: what a label, a key or an identifier looks like.
+_WORDED = re.compile(r"[A-Za-z]+(?:[-_.:/ ][A-Za-z]+)*")
+
+
 def is_value(value: str, name: str, level: int) -> bool:
     """Whether a literal is a usable credential under a name of that strength."""
     v = value.strip()
@@ -221,11 +258,15 @@ def is_value(value: str, name: str, level: int) -> bool:
         if REFERENCE.search(clear) or residual(clear, name) < 4:
             return False
         return True
+    if level >= 3 and v.lower() in WEAK:
+        return True
     left = residual(v, name)
     if level >= 3:
         return left >= 4
     if level == 2:
         mixed = any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
+        if left >= 8 and not mixed and _WORDED.fullmatch(v):
+            return unexplained(v) >= 8
         return left >= (5 if mixed else 8) or UUID.match(v) is not None
     if level == 1:
         return left >= 16 and _random(v) and not UUID.match(v)
@@ -266,9 +307,9 @@ def _content(line: str) -> list[tuple[int, int, str]]:
 
 _DEFAULT = re.compile(r"(?:get|getenv|env|var|property|default|or)\w*!?\(\s*(?:[\"'`](?P<k>[^\"'`]*)[\"'`]|[\w.]+)\s*,\s*$|\.(?:unwrap_or|or_else|orElse|getOrDefault|unwrap_or_else)\w*\([^()]*$", re.I)
 _DIRECT = re.compile(r"(?:(?<![=!<>])=|:=|:|\|\||\?\?|\bor\b|=>|\breturn\b|\?)\s*(?:[bBrRuUfF]{1,2}|(?:String::from|Buffer\.from|SecretStr|Secret|new \w+|Some|str|strdup|String|b64decode|base64\.b64decode|atob)\(|[(\[&]|\bL)*\s*$")
-_NAME = re.compile(r"(?<![\w$.-])((?:[^\W\d]|\$)[\w$.-]{0,200})(?![\w$.-])[\"'`]?\]?\s*(?:\[\d*\]\s*)?(?::\s*[&\w<>\[\]' .|*?]+?)?\s*(?::=|=>|(?<![=!<>])=(?!=)|:)")
+_NAME = re.compile(r"(?<![\w$.-])((?:[^\W\d]|\$)[\w$.-]*+)[\"'`]?\]?\s*(?:\[\d*\]\s*)?(?::\s*[&\w<>\[\]' .|*?]+?)?\s*(?::=|=>|(?<![=!<>])=(?!=)|:)")
 _CONFIG = re.compile(
-    r"^\s*(?:export\s+|set\s+|ENV\s+|ARG\s+|[-*]\s+)?(?:[`\"']?(?P<k>[\w.\-/:]{1,200}?)[`\"']?\s*(?:=|:)\s*(?P<v>.*?)|\|\s*`?(?P<k2>[\w.\- ]+?)`?\s*\|\s*`?(?P<v2>[^|]*?)`?\s*\||<(?P<k3>[\w.\-]+)[^>]*>(?P<v3>[^<]*)</.*)\s*,?\s*(?:\r)?$"
+    r"^\s*(?:export\s+|set\s+|ENV\s+|ARG\s+|[-*]\s+)?(?:[`\"']?(?P<k>[\w.\-/:]+?)[`\"']?\s*(?:=|:)\s*(?P<v>.*?)|\|\s*`?(?P<k2>[\w.\- ]+?)`?\s*\|\s*`?(?P<v2>[^|]*?)`?\s*\||<(?P<k3>[\w.\-]+)[^>]*>(?P<v3>[^<]*)</.*)\s*,?\s*(?:\r)?$"
 )
 
 
@@ -310,10 +351,10 @@ def _assigned(line: str, code: bool) -> list[tuple[int, int, str]]:
         else:
             joined.append((m[g], [(a, b)], m.start()))
     first = _NAME.search(line)
-    for v, sp, st in joined:
+    for i, (v, sp, st) in enumerate(joined):
         if not v:
             continue
-        before = line[max(0, st - WINDOW) : st]
+        before = line[joined[i - BEFORE][1][-1][1] + 1 if i >= BEFORE else 0 : st]
         name = ""
         if d := _DEFAULT.search(before):
             name = (d["k"] if "k" in d.re.groupindex and d["k"] else "") or (first[1] if first else "")
@@ -491,7 +532,7 @@ def find(ext: str, text: str) -> list[Secret]:
         e = text.find("\n", pos)
         line = text[pos : n if e < 0 else e]
         line = line.removesuffix("\r")
-        if len(line) < 6:
+        if len(line) < 6:  # a name, a sign and a value are longer
             continue
         if pos + len(line) <= pem_until:
             continue
@@ -502,8 +543,9 @@ def find(ext: str, text: str) -> list[Secret]:
                 keys.append((m.start(), until - pos))
                 pem_until = until
         hits = _content(line)
-        if "data:image" not in line:
-            for m in B64.finditer(line):
+        for m in B64.finditer(line):
+            # an embedded image is no credential, whatever else the line holds
+            if not line.endswith(";base64,", 0, m.start()):
                 if (clear := _decoded(m[0])) is not None and _content(clear):
                     hits.append((m.start(), m.end(), "encoded"))
         hits += _assigned(line, code) + _commented(line)

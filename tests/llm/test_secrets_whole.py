@@ -107,3 +107,38 @@ def test_long_lines_are_linear():
         began = time.process_time()
         S.find("sh", text)
         assert time.process_time() - began < 20, text[:20]
+
+
+def hits(ext, text):
+    from lodegraph.llm import secrets as S
+
+    return [text[s.start : s.end] for s in S.find(ext, text)]
+
+
+def test_words_are_no_secret_and_weak_passwords_are():
+    for x in ('session_token = "notification-settings-page"', 'secretKey: "kubernetes-deployment"', 'token = "subscription-renewal"', 'auth_token = "customer.orders.archive"'):
+        assert hits("ts", x) == [], x
+    for x, v in (('password = "letmein"', "letmein"), ('passwd="admin123"', "admin123"), ('auth_token = "kXjPqLmNoRsTvWz"', "kXjPqLmNoRsTvWz")):
+        assert hits("ts", x) == [v], x
+    assert hits("ts", 'password = "changeme"') == [] and hits("ts", 'password = "your-password"') == []
+
+
+def test_no_length_matters():
+    for n in (90, 99, 101, 400):
+        assert hits("py", f'password = "{"your" * n}"') == []
+    value = "Zk81mvQ4" + "x7Kq" * 200
+    assert hits("py", f'password = "{value}"') == [value]
+    name = "very_" * 60 + "password"
+    assert hits("py", f'{name} = "Zk81mvQ4x"') == ["Zk81mvQ4x"]
+    assert hits("yaml", f"{name}: Zk81mvQ4x") == ["Zk81mvQ4x"]
+    assert hits("py", 'db_password: str' + " " * 600 + '= "Zk81mvQ4x"') == ["Zk81mvQ4x"]
+    many = "; ".join(f'a{i} = "plain text"' for i in range(300))
+    assert hits("js", f'{many}; db_password = "Zk81mvQ4x"; {many}') == ["Zk81mvQ4x"]
+
+
+def test_beside_an_image():
+    import base64
+
+    url = base64.b64encode(b"postgres://app:S3cr3tPw@db/x").decode()
+    assert hits("ts", f'x = "data:image/png;base64,{url}"') == []
+    assert hits("ts", f'x = "data:image/png;base64,AAAA"; db = "{url}"') == [url]
