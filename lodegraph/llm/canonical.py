@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 
 from lodegraph.session import cut
 
-# Letters of other scripts that look like Latin letters.
+# Letters of other scripts that look like Latin letters, after the public list of confusable characters.
 LOOK_ALIKES = {
-    "Cyrillic": ("АВЕЅІЈКМНОРСТУХҮҺԌԚԜавесѕіјкмнорстухүһԁԛԝ", "ABESIJKMHOPCTYXYHGQWaвecsijкмнopcтyxyhdqw"),
-    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj"),
-    "Armenian": ("ՍՏՕօոսցհ", "USOonugh"),
+    "Cyrillic": ("АВЕЅІЈКМНОРСТУХҮҺԌԚԜавесѕіјкмнорстухүһԁԛԝѵѴѡӏӀ", "ABESIJKMHOPCTYXYHGQWaвecsijкмнopcтyxyhdqwvVwlI"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳαιρυγϹͿ", "ABEZHIKMNOPTYXovcjaipuyCJ"),
+    "Armenian": ("ՍՏՕօոսցհզյ", "USOonughqj"),
+    "Cherokee": ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),
+    "Lisu": ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
+    "Coptic": ("ⲀⲂⲈⲌⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "ABEZHIKMNOPCTYXopc"),
 }
 #: Invisible characters besides the joiners.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠎​‎‏‪-‮⁠-⁤⁦-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff"
@@ -51,6 +54,22 @@ def _folds() -> dict[int, str]:
     return out
 
 
+@cache
+def _plain() -> dict[int, str]:
+    """Letters and digits in the styles of formulas, and Roman numerals, which look like plain ones."""
+    out = {i: unicodedata.normalize("NFKC", chr(i)) for i in range(0x2160, 0x2180) if unicodedata.decomposition(chr(i))}
+    for i in [*range(0x2100, 0x2150), *range(0x1D400, 0x1D800)]:
+        if unicodedata.decomposition(chr(i)).startswith("<font>"):
+            out[i] = unicodedata.normalize("NFKC", chr(i))
+    return out
+
+
+@cache
+def _plain_run() -> re.Pattern:
+    """Words in such a style; a single letter is a sign of a formula and stays."""
+    return re.compile(f"[{_ranges(sorted(_plain()))}]{{2,}}")
+
+
 def _ranges(codes: list[int]) -> str:
     """The inside of a character class."""
     out, start = [], None
@@ -125,18 +144,26 @@ def _mixed() -> tuple[re.Pattern, dict[int, str], dict[str, dict[int, str]]]:
     back = {}
     for script, (theirs, ours) in LOOK_ALIKES.items():
         back[script] = {ord(y): x for x, y in reversed([*zip(theirs, ours)])}
-    other = "Ͱ-֏ἀ-῿"
+    other = "Ͱ-֏ἀ-῿Ꭰ-Ᏼꓐ-ꓽⲀ-ⳮ"
     word = re.compile(f"(?=[^\\W\\d_]*[{other}])(?=[{other}]*[A-Za-zÀ-ɏ])[^\\W\\d_]+")
     return word, to_latin, back
 
 
+_BLOCKS = [
+    ("Greek", 0x370, 0x400), ("Cyrillic", 0x400, 0x530), ("Armenian", 0x530, 0x590), ("Cherokee", 0x13A0, 0x1400), ("Greek", 0x1F00, 0x2000), ("Coptic", 0x2C80, 0x2D00), ("Lisu", 0xA4D0, 0xA500),
+]
+
+
 def _unmix(m: re.Match) -> str:
     _, to_latin, back = _mixed()
     w = m[0]
     odd = [c for c in w if ord(c) >= 0x370 and ord(c) not in to_latin]
     if not odd:
         return w.translate(to_latin)
-    script = "Greek" if ord(odd[0]) < 0x400 or 0x1F00 <= ord(odd[0]) < 0x2000 else "Cyrillic" if ord(odd[0]) < 0x530 else "Armenian"
+    c = ord(odd[0])
+    script = next((name for name, first, end in _BLOCKS if first <= c < end), None)
+    if script is None:
+        return w
     turned = w.translate(back[script])
     return turned if not re.search("[A-Za-zÀ-ɏ]", turned) else w
 
@@ -145,7 +172,8 @@ def canonical(text: str | None) -> str | None:
     """The consistent form of one text."""
     if not text or text.isascii():
         return text
-    return unicodedata.normalize("NFC", _mixed()[0].sub(_unmix, normalise(text)))
+    text = _plain_run().sub(lambda m: m[0].translate(_plain()), normalise(text))
+    return unicodedata.normalize("NFC", _mixed()[0].sub(_unmix, text))
 
 
 def _udf(f):
@@ -177,22 +205,53 @@ def look_key(text: Column) -> Column:
 def _settled(text: str) -> str:
     """Normalised, then folded once more: a narrow or composed form may have given a look-alike."""
     a, b = look_table()
-    return unicodedata.normalize("NFC", normalise(text).translate({ord(x): y for x, y in zip(a, b)}))
+    return unicodedata.normalize("NFC", normalise(text).translate(_plain()).translate({ord(x): y for x, y in zip(a, b)}))
 
 
-def same_look_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id_a, doc_id_b): documents, a < b, whose texts look the same but aren't equal.
+#: Rows of one text beyond which they are split.
+HOT = 50_000
 
-    Classes of equal texts are paired before their members are, so that copies of one text are never compared with each
-    other, however many there are. Null and empty texts are in no pair.
-    """
+
+def _members(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, look, exact, salt) of the documents with text, and (look, exact, n, salts, total) of the different texts that others look like."""
     own = docs.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(doc_id).isNotNull())
     key = F.md5(look_key(F.col(text)).cast("binary"))
     own = own.select(F.col(doc_id).alias("id"), key.alias("look"), F.md5(F.col(text).cast("binary")).alias("exact")).distinct()
     own = cut(own)  # the texts are read and folded once
-    mixed = own.groupBy("look").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).where("a <> b").select("look")
-    own = own.join(mixed, "look", "left_semi")
-    kinds = own.select("look", "exact").distinct()
-    pairs = kinds.select("look", F.col("exact").alias("ea")).join(kinds.select("look", F.col("exact").alias("eb")), "look").where("ea < eb").select("ea", "eb")
-    out = pairs.join(own.select(F.col("exact").alias("ea"), F.col("id").alias("x")), "ea").join(own.select(F.col("exact").alias("eb"), F.col("id").alias("y")), "eb")
-    return out.where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+    kinds = own.groupBy("look", "exact").agg(F.count("*").alias("n"))
+    mixed = kinds.groupBy("look").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1").select("look", "total")
+    kinds = cut(kinds.join(mixed, "look").withColumn("salts", F.ceil(F.col("n") / HOT).cast("int")))
+    # a text that many documents have is spread over its salts; there are few such texts
+    hot = kinds.where("salts > 1").select("exact", "salts")
+    salt = F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)))
+    return own.join(hot, "exact", "left").select("id", "look", "exact", salt.cast("int").alias("salt")), kinds
+
+
+def _spread(kinds: DataFrame, salts: str, salt: str) -> DataFrame:
+    return kinds.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(salts) - 1)))
+
+
+def same_look_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, look_class, text_class, links): each document that looks like one with another text.
+
+    Documents of one look_class look the same, those of one text_class are equal; links counts the documents that look the same
+    and aren't equal. Null and empty texts are in no class. There is one row a document, however large a class is.
+    """
+    own, kinds = _members(docs, doc_id, text)
+    out = own.join(_spread(kinds, "salts", "salt").drop("look"), ["exact", "salt"])
+    return out.select(F.col("id").alias(doc_id), F.col("look").alias("look_class"), F.col("exact").alias("text_class"), (F.col("total") - F.col("n")).alias("links"))
+
+
+def same_look_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id_a, doc_id_b): documents, a < b, whose texts look the same but aren't equal: the classes above, written out as pairs.
+
+    Classes of equal texts are paired before their members are, so that copies of one text are never compared with each
+    other, however many there are. Null and empty texts are in no pair.
+    """
+    own, kinds = _members(docs, doc_id, text)
+    side = lambda x: kinds.select("look", F.col("exact").alias(f"e{x}"), F.col("salts").alias(f"n{x}"))
+    pairs = side("a").join(side("b"), "look").where("ea < eb").drop("look")
+    for x in "ab":
+        ids = own.select(F.col("exact").alias(f"e{x}"), F.col("salt").alias(f"s{x}"), F.col("id").alias(x))
+        pairs = _spread(pairs, f"n{x}", f"s{x}").join(ids, [f"e{x}", f"s{x}"])
+    return pairs.where("a <> b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()

@@ -76,13 +76,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_look_pairs(table(spark, d, "documents"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.same_look_classes(table(spark, d, "documents"))
+
+
 def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     return table(spark, d, "documents").select("doc_id", canonical.canonical_text(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_origins, p3_signs, p5_found, p5_shares, p6_packing, p6_fills, p6_summary, p6_holds, p7_mix, p7_shares, p7_limits, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_origins, p3_signs, p5_found, p5_shares, p6_packing, p6_fills, p6_summary, p6_holds, p7_mix, p7_shares, p7_limits, p8_found, p8_classes, p8_canonical)}
 ORACLES: dict[str, str] = {
     # what any packing and any mix must keep
     "p6_holds": """

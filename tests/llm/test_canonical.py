@@ -68,3 +68,27 @@ def test_pairs(spark):
 
     got = {r[0]: r[1] for r in d.select("doc_id", C.canonical_text(F.col("text")).alias("t")).collect()}
     assert got[2] == "check it" and got[5] is None and got[6] == ""
+
+
+@pytest.mark.parametrize("a,b", [("paypal", "ρaypal"), ("ABC", "ᎪᏴᏟ"), ("paypal", "𝐩𝐚𝐲𝐩𝐚𝐥"), ("IV", "Ⅳ"), ("HELLO", "ꓧꓰꓡꓡꓳ"), ("Open", "Ⲟpen"), ("paypal", "pаypаl"), ("value", "ѵalue"), ("R", "ℝ")])
+def test_more_letters(a, b):
+    assert key(a) == key(b)
+
+
+def test_canonical_styles():
+    assert C.canonical("𝐩𝐚𝐲𝐩𝐚𝐥 login") == "paypal login" and C.canonical("ρaypal") == "paypal"
+    assert C.canonical("let 𝑥 be") == "let 𝑥 be" and C.canonical("λόγος") == "λόγος" and C.canonical("ᎪᏂ") == "ᎪᏂ"
+
+
+def test_classes_and_hot_texts(spark, monkeypatch):
+    """A third of all documents are copies of one text; classes hold each document once, pairs equal brute force."""
+    monkeypatch.setattr(C, "HOT", 7)
+    rows = [(i, "check it" if i % 3 == 0 else "сhесk it" if i % 10 == 1 else f"text {i}") for i in range(90)] + [(200, "ϲheck it"), (201, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    same = {i: t for i, t in rows if t and t.endswith(" it")}
+    want = sorted((a, b) for a in same for b in same if a < b and same[a] != same[b])
+    assert sorted(map(tuple, C.same_look_pairs(d).collect())) == want
+    got = {r["doc_id"]: r for r in C.same_look_classes(d).collect()}
+    assert set(got) == set(same) and len({r["look_class"] for r in got.values()}) == 1 and len({r["text_class"] for r in got.values()}) == 3
+    assert all(r["links"] == sum(i in p for p in want) for i, r in got.items())
+    assert C.same_look_classes(d.limit(0)).count() == 0
