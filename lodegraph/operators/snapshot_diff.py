@@ -1,12 +1,13 @@
 """What changed between consecutive full snapshots, by content-defined chunks.
 
 Every snapshot is sorted by record key inside key slices and cut where a key's hash says so, so that an insertion or a
-removal moves no other boundary. A chunk whose digest its neighbour snapshot also holds is discarded unread; only the rows
-of unmatched chunks are compared.
+removal moves no other boundary. A chunk becomes one row, of its digest and its packed records. Chunks are compared with those
+of the neighbour snapshots by digest; matching ones are discarded as they are, and only those left are unpacked, so that rows of
+changed chunks alone are joined and classified.
 
-One exchange on (lineage, kind, slice) serves every later step: the de-duplication, the sort, both chunk windows and the
-final comparison are all clustered by a superset of those columns. A lineage holding a large share of all rows spreads over
-as many slices as its largest snapshot needs.
+One exchange on (lineage, kind, slice, block) serves every later step: the de-duplication, the sort, the packing, the comparison
+of chunks and the final one are all clustered by a superset of those columns. A lineage holding a large share of all rows spreads
+over as many slices as its largest snapshot needs, and over a block for every BLOCK snapshots; the snapshot between two blocks is in both.
 
 Defined results: rows without a key are ignored; duplicate rows count once; of several rows of one key in one snapshot the
 greatest values count; snapshots with equal times are ordered by their id; a snapshot without rows removes everything.
@@ -21,6 +22,8 @@ from pyspark.sql.window import Window as W
 #: A chunk holds this many rows on average; a slice about so many rows of one snapshot.
 CHUNK_ROWS = 32
 SLICE_ROWS = 20_000
+#: Pairs of snapshots that are compared in one task.
+BLOCK = 16
 
 
 def lineages(analyses: DataFrame) -> DataFrame:
@@ -42,42 +45,50 @@ def lineages(analyses: DataFrame) -> DataFrame:
 
 def _digest(*cols: str) -> list[Column]:
     """Two independent sums make a 128-bit, order-free digest of a chunk's rows."""
-    return [F.sum(F.xxhash64(*cols) % F.lit(1 << 55)), F.sum(F.xxhash64(F.lit(17), *cols) % F.lit(1 << 55))]
+    return [(F.sum(F.xxhash64(*cols) % F.lit(1 << 55))).alias("d1"), F.sum(F.xxhash64(F.lit(17), *cols) % F.lit(1 << 55)).alias("d2"), F.count("*").alias("n")]
 
 
-def changes(records: DataFrame, order: DataFrame, values: list[str], chunk_rows: int = CHUNK_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """(base, head, record_kind, record_key, change) of records(snapshot_id, record_kind, record_key, *values).
-
-    order is what lineages() gives. A value counts as changed where both sides have one and they differ.
-    """
+def unmatched_chunks(records: DataFrame, order: DataFrame, values: list[str], chunk_rows: int = CHUNK_ROWS, slice_rows: int = SLICE_ROWS, block: int = BLOCK) -> DataFrame:
+    """(lineage, record_kind, slice, block, seq, rows, differs_base, differs_head): the chunks that a neighbour snapshot doesn't hold."""
     sizes = records.groupBy("snapshot_id", "record_kind").agg(F.count("*").alias("n"))
     slices = (
         sizes.join(order.select("snapshot_id", "lineage"), "snapshot_id")
         .groupBy("lineage", "record_kind")
         .agg(F.ceil(F.max("n") / slice_rows).cast("int").alias("slices"))
     )
-    placed = order.join(slices, "lineage")
+    # a pair of snapshots belongs to the block of its base, so a block's first snapshot is the last head of the one before
+    own = F.floor(F.col("seq") / block)
+    blocks = F.explode(F.when((F.col("seq") % block == 0) & F.col("prev_id").isNotNull(), F.array(own - 1, own)).otherwise(F.array(own)))
+    placed = order.join(slices, "lineage").select("snapshot_id", "record_kind", "lineage", "seq", "slices", blocks.alias("block"), (F.col("prev_id").isNotNull()).alias("has_base"), (F.col("next_id").isNotNull()).alias("has_head"))
     rows = records.where(F.col("record_key").isNotNull()).join(placed, ["snapshot_id", "record_kind"])
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64(F.lit(5), "record_key"), F.col("slices"))).drop("slices")
-    rows = rows.repartition("lineage", "record_kind", "slice")
-    at = ["lineage", "record_kind", "slice"]
-    one = rows.groupBy(*at, "seq", "snapshot_id", "prev_id", "next_id", "record_key").agg(*[F.max(v).alias(v) for v in values])
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64(F.lit(5), "record_key"), F.col("slices"))).drop("slices", "snapshot_id")
+    rows = rows.repartition("lineage", "record_kind", "slice", "block")
+    at = ["lineage", "record_kind", "slice", "block"]
+    one = rows.groupBy(*at, "seq", "has_base", "has_head", "record_key").agg(*[F.max(v).alias(v) for v in values])
     edge = F.when(F.pmod(F.xxhash64(F.lit(9), "record_key"), F.lit(chunk_rows)) == 0, F.col("record_key"))
     one = one.withColumn("chunk", F.coalesce(F.last(edge, True).over(W.partitionBy(*at, "seq").orderBy("record_key").rowsBetween(W.unboundedPreceding, 0)), F.lit("")))
-    whole = W.partitionBy(*at, "seq", "chunk")
-    a, b = _digest("record_key", *values)
-    one = one.select("*", F.struct(a.over(whole).alias("a"), b.over(whole).alias("b"), F.count("*").over(whole).alias("n")).alias("digest"))
-    # in one chunk and digest the rows of neighbouring snapshots differ in seq by one; each key is once in each
-    same = W.partitionBy(*at, "chunk", "digest", "record_key").orderBy("seq")
-    one = one.withColumn("in_base", F.coalesce(F.lag("seq").over(same) == F.col("seq") - 1, F.lit(False)))
-    one = one.withColumn("in_head", F.coalesce(F.lead("seq").over(same) == F.col("seq") + 1, F.lit(False)))
-    sides = F.array(
-        F.when(F.col("prev_id").isNotNull() & ~F.col("in_base"), F.struct(F.col("prev_id").alias("base"), F.col("snapshot_id").alias("head"), F.lit(True).alias("is_head"))),
-        F.when(F.col("next_id").isNotNull() & ~F.col("in_head"), F.struct(F.col("snapshot_id").alias("base"), F.col("next_id").alias("head"), F.lit(False).alias("is_head"))),
-    )
-    left = one.where(~(F.col("in_base") & F.col("in_head"))).select(*at, "record_key", *values, F.explode(sides).alias("side")).where("side is not null")
-    left = left.select(*at, "record_key", *values, "side.*")
-    pair = left.groupBy(*at, "base", "head", "record_key").agg(
+    chunks = one.groupBy(*at, "seq", "has_base", "has_head", "chunk").agg(*_digest("record_key", *values), F.collect_list(F.struct("record_key", *values)).alias("rows"))
+    near = W.partitionBy(*at, "chunk").orderBy("seq")
+    digest = F.struct("d1", "d2", "n")
+    same = lambda f, step: F.coalesce((f("seq").over(near) == F.col("seq") + step) & (f(digest).over(near) == digest), F.lit(False))
+    chunks = chunks.withColumn("in_base", same(F.lag, -1)).withColumn("in_head", same(F.lead, 1))
+    mine = lambda base: F.floor(base / block) == F.col("block")
+    chunks = chunks.withColumn("differs_base", F.col("has_base") & ~F.col("in_base") & mine(F.col("seq") - 1))
+    chunks = chunks.withColumn("differs_head", F.col("has_head") & ~F.col("in_head") & mine(F.col("seq")))
+    return chunks.where("differs_base or differs_head").select(*at, "seq", "rows", "differs_base", "differs_head")
+
+
+def changes(records: DataFrame, order: DataFrame, values: list[str], chunk_rows: int = CHUNK_ROWS, slice_rows: int = SLICE_ROWS, block: int = BLOCK) -> DataFrame:
+    """(base, head, record_kind, record_key, change) of records(snapshot_id, record_kind, record_key, *values).
+
+    order is what lineages() gives. A value counts as changed where both sides have one and they differ.
+    """
+    left = unmatched_chunks(records, order, values, chunk_rows, slice_rows, block)
+    at = ["lineage", "record_kind", "slice", "block"]
+    side = lambda on, head, is_head: F.when(F.col(on), F.struct(head.alias("head_seq"), F.lit(is_head).alias("is_head")))
+    sides = F.filter(F.array(side("differs_base", F.col("seq"), True), side("differs_head", F.col("seq") + 1, False)), lambda x: x.isNotNull())
+    left = left.select(*at, "rows", F.explode(sides).alias("side")).select(*at, "side.*", F.inline("rows"))
+    pair = left.groupBy(*at, "head_seq", "record_key").agg(
         F.max("is_head").alias("added"),
         F.min("is_head").alias("kept"),
         *[F.max(F.when(F.col("is_head"), F.col(v))).alias(f"{v}_head") for v in values],
@@ -87,7 +98,9 @@ def changes(records: DataFrame, order: DataFrame, values: list[str], chunk_rows:
     for v in values:
         differs = differs | F.coalesce(F.col(f"{v}_head") != F.col(f"{v}_base"), F.lit(False))
     change = F.when(F.col("kept"), F.lit("added")).when(~F.col("added"), F.lit("removed")).when(differs, F.lit("changed"))
-    return pair.select("base", "head", "record_kind", "record_key", change.alias("change")).where("change is not null")
+    pair = pair.select("lineage", "head_seq", "record_kind", "record_key", change.alias("change")).where("change is not null")
+    names = order.where("prev_id is not null").select("lineage", F.col("seq").alias("head_seq"), F.col("prev_id").alias("base"), F.col("snapshot_id").alias("head"))
+    return pair.join(names, ["lineage", "head_seq"]).select("base", "head", "record_kind", "record_key", "change")
 
 
 def graph_changes(analyses: DataFrame, nodes: DataFrame, edges: DataFrame, externals: DataFrame) -> DataFrame:

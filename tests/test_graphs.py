@@ -135,3 +135,18 @@ def test_search(spark):
     for q in (0, 50, 100):
         best = sorted((-cos(rows[q], x), i) for i, x in rows.items() if i != q and x and any(x))[:3]
         assert [got[q, k + 1] for k in range(3)] == [i for _, i in best]
+
+
+def test_unchanged_chunks_are_discarded(spark):
+    """Of 40 snapshots of 600 records with one change each, only the chunks around the changes are left; blocks change nothing."""
+    from lodegraph.operators.snapshot_diff import unmatched_chunks
+
+    rows = [(s, "node", f"k{i:04}", 1 if i == s * 7 else 0) for s in range(1, 41) for i in range(600)]
+    rec = spark.createDataFrame(rows, "snapshot_id bigint, record_kind string, record_key string, v int")
+    ana = spark.createDataFrame([(s, 1, "main", s, "success") for s in range(1, 41)], "analysis_id bigint, repo_id bigint, branch string, created_at bigint, status string")
+    order = lineages(ana)
+    left = unmatched_chunks(rec, order, ["v"], chunk_rows=8, slice_rows=10_000, block=5).selectExpr("sum(size(rows)) as n", "max(block) as b").first()
+    assert left["b"] == 8 and left["n"] < 0.2 * len(rows)
+    want = {(s - 1, s, "node", f"k{x * 7:04}", "changed") for s in range(2, 41) for x in (s - 1, s)}
+    for block in (1, 5, 16, 100):
+        assert {tuple(r) for r in changes(rec, order, ["v"], chunk_rows=8, slice_rows=100, block=block).collect()} == want
