@@ -19,11 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lodegraph.session import cut
+
 #: A chunk holds this many rows on average; a slice about so many rows of one snapshot.
 CHUNK_ROWS = 32
 SLICE_ROWS = 20_000
 #: Pairs of snapshots that are compared in one task.
 BLOCK = 16
+#: Rows of a table of snapshots, of some 60 bytes each, up to which it is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def lineages(analyses: DataFrame) -> DataFrame:
@@ -48,6 +52,11 @@ def _digest(*cols: str) -> list[Column]:
     return [(F.sum(F.xxhash64(*cols) % F.lit(1 << 55))).alias("d1"), F.sum(F.xxhash64(F.lit(17), *cols) % F.lit(1 << 55)).alias("d2"), F.count("*").alias("n")]
 
 
+def _small(written: DataFrame) -> DataFrame:
+    """A table of a row a snapshot, broadcast where its counted rows are few, so that records aren't shuffled to meet it."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def unmatched_chunks(records: DataFrame, order: DataFrame, values: list[str], chunk_rows: int = CHUNK_ROWS, slice_rows: int = SLICE_ROWS, block: int = BLOCK) -> DataFrame:
     """(lineage, record_kind, slice, block, seq, rows, differs_base, differs_head): the chunks that a neighbour snapshot doesn't hold."""
     sizes = records.groupBy("snapshot_id", "record_kind").agg(F.count("*").alias("n"))
@@ -60,7 +69,7 @@ def unmatched_chunks(records: DataFrame, order: DataFrame, values: list[str], ch
     own = F.floor(F.col("seq") / block)
     blocks = F.explode(F.when((F.col("seq") % block == 0) & F.col("prev_id").isNotNull(), F.array(own - 1, own)).otherwise(F.array(own)))
     placed = order.join(slices, "lineage").select("snapshot_id", "record_kind", "lineage", "seq", "slices", blocks.alias("block"), (F.col("prev_id").isNotNull()).alias("has_base"), (F.col("next_id").isNotNull()).alias("has_head"))
-    rows = records.where(F.col("record_key").isNotNull()).join(placed, ["snapshot_id", "record_kind"])
+    rows = records.where(F.col("record_key").isNotNull()).join(_small(cut(placed)), ["snapshot_id", "record_kind"])
     rows = rows.withColumn("slice", F.pmod(F.xxhash64(F.lit(5), "record_key"), F.col("slices"))).drop("slices", "snapshot_id")
     rows = rows.repartition("lineage", "record_kind", "slice", "block")
     at = ["lineage", "record_kind", "slice", "block"]
@@ -100,7 +109,7 @@ def changes(records: DataFrame, order: DataFrame, values: list[str], chunk_rows:
     change = F.when(F.col("kept"), F.lit("added")).when(~F.col("added"), F.lit("removed")).when(differs, F.lit("changed"))
     pair = pair.select("lineage", "head_seq", "record_kind", "record_key", change.alias("change")).where("change is not null")
     names = order.where("prev_id is not null").select("lineage", F.col("seq").alias("head_seq"), F.col("prev_id").alias("base"), F.col("snapshot_id").alias("head"))
-    return pair.join(names, ["lineage", "head_seq"]).select("base", "head", "record_kind", "record_key", "change")
+    return pair.join(_small(cut(names)), ["lineage", "head_seq"]).select("base", "head", "record_kind", "record_key", "change")
 
 
 def graph_changes(analyses: DataFrame, nodes: DataFrame, edges: DataFrame, externals: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def test_unchanged_chunks_are_discarded(spark):
     ana = spark.createDataFrame([(s, 1, "main", s, "success") for s in range(1, 41)], "analysis_id bigint, repo_id bigint, branch string, created_at bigint, status string")
     order = lineages(ana)
     left = unmatched_chunks(rec, order, ["v"], chunk_rows=8, slice_rows=10_000, block=5).selectExpr("sum(size(rows)) as n", "max(block) as b").first()
-    assert left["b"] == 8 and left["n"] < 0.2 * len(rows)
+    assert left["b"] == 7 and left["n"] < 0.2 * len(rows)
     want = {(s - 1, s, "node", f"k{x * 7:04}", "changed") for s in range(2, 41) for x in (s - 1, s)}
     for block in (1, 5, 16, 100):
         assert {tuple(r) for r in changes(rec, order, ["v"], chunk_rows=8, slice_rows=100, block=block).collect()} == want
