@@ -23,9 +23,11 @@ from lodegraph.session import cut
 
 #: A chunk holds this many rows on average; a slice about so many rows of one snapshot.
 CHUNK_ROWS = 32
-SLICE_ROWS = 20_000
+SLICE_ROWS = 8_000
 #: Pairs of snapshots that are compared in one task.
 BLOCK = 16
+#: Records that a task of the exchange gets on average; the session's number of partitions is the least.
+TASK_ROWS = 100_000
 #: Rows of a table of snapshots, of some 60 bytes each, up to which it is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -59,7 +61,9 @@ def _small(written: DataFrame) -> DataFrame:
 
 def unmatched_chunks(records: DataFrame, order: DataFrame, values: list[str], chunk_rows: int = CHUNK_ROWS, slice_rows: int = SLICE_ROWS, block: int = BLOCK) -> DataFrame:
     """(lineage, record_kind, slice, block, seq, rows, differs_base, differs_head): the chunks that a neighbour snapshot doesn't hold."""
-    sizes = records.groupBy("snapshot_id", "record_kind").agg(F.count("*").alias("n"))
+    sizes = cut(records.groupBy("snapshot_id", "record_kind").agg(F.count("*").alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
     slices = (
         sizes.join(order.select("snapshot_id", "lineage"), "snapshot_id")
         .groupBy("lineage", "record_kind")
@@ -71,7 +75,7 @@ def unmatched_chunks(records: DataFrame, order: DataFrame, values: list[str], ch
     placed = order.join(slices, "lineage").select("snapshot_id", "record_kind", "lineage", "seq", "slices", blocks.alias("block"), (F.col("prev_id").isNotNull()).alias("has_base"), (F.col("next_id").isNotNull()).alias("has_head"))
     rows = records.where(F.col("record_key").isNotNull()).join(_small(cut(placed)), ["snapshot_id", "record_kind"])
     rows = rows.withColumn("slice", F.pmod(F.xxhash64(F.lit(5), "record_key"), F.col("slices"))).drop("slices", "snapshot_id")
-    rows = rows.repartition("lineage", "record_kind", "slice", "block")
+    rows = rows.repartition(tasks, "lineage", "record_kind", "slice", "block")
     at = ["lineage", "record_kind", "slice", "block"]
     one = rows.groupBy(*at, "seq", "has_base", "has_head", "record_key").agg(*[F.max(v).alias(v) for v in values])
     edge = F.when(F.pmod(F.xxhash64(F.lit(9), "record_key"), F.lit(chunk_rows)) == 0, F.col("record_key"))
