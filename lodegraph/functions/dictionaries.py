@@ -110,6 +110,11 @@ NO_CALLS = (
     "abstract native synchronized volatile transient strictfp interface implements extends super this null true false undefined NaN Infinity eval parseInt parseFloat isNaN isFinite decodeURI encodeURI decodeURIComponent encodeURIComponent"
 ).split()
 
+# Words that are no callees where the structure is read.
+TREE_KEYWORDS = set(
+    "if else for while do switch case return new delete typeof instanceof void throw try catch finally with var let const function class import export from as default break continue debugger super this null true false undefined NaN Infinity eval".split()
+)
+
 # Limits of scans, and directories and extensions left out.
 MAX_FILES, MAX_FILES_API, MAX_BYTES, WARNINGS_KEPT, TOP = 1900, 2000, 200_000, 5, 5
 LOCAL_SKIPPED = ["node_modules", ".git", "dist", "build"]

@@ -1,9 +1,8 @@
-"""All queries of the core, with the SQL that checks them."""
+"""All queries of the core and their SQL."""
 
 from __future__ import annotations
 
-from lodegraph.plans import code, graphs, snapshots
+from lodegraph.plans import code, graphs, snapshots, structure
 
-_PARTS = (code, graphs, snapshots)
-QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
-ORACLES = {k: s for part in _PARTS for k, s in part.ORACLES.items()}
+QUERIES = {**code.QUERIES, **structure.QUERIES, **graphs.QUERIES, **snapshots.QUERIES}
+ORACLES = {**code.ORACLES, **structure.ORACLES, **graphs.ORACLES, **snapshots.ORACLES}
