@@ -28,6 +28,8 @@ ENTRYPOINTS = [r"^src/(main|index)\.(ts|tsx|js|jsx)$", r"^src/routes/__root\.(ts
 # What counts as a decision, with @ for a word boundary.
 COMPLEXITY = [r"@if@", r"@else\s+if@", r"@for@", r"@while@", r"@case@", r"@catch@", r"\?\s*[^:]*:", r"&&", r"\|\|"]
 
+ELSE_IF, CONDITIONAL = COMPLEXITY[1], COMPLEXITY[6]
+
 # Import patterns of a language in order, with @ for a word boundary; the last item says which specs are relative.
 _QUOTED = r"""["']([^"']+)["']"""
 IMPORTS: list[tuple[str, list[str], str]] = [

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodegraph.functions.dictionaries import COMPLEXITY, java
+from lodegraph.functions.dictionaries import COMPLEXITY, CONDITIONAL, ELSE_IF, java
 
 
 def line_count(content: Column) -> Column:
@@ -17,8 +15,12 @@ def line_count(content: Column) -> Column:
 
 def complexity(content: Column) -> Column:
     """1 and one for each decision, whatever the language; an else-if counts twice. Null for null and empty content."""
-    counts = [F.regexp_count(content, F.lit(java(p))) for p in COMPLEXITY]
-    return F.when(F.length(content) > 0, reduce(lambda a, b: a + b, counts, F.lit(1)))
+    # decisions of one word or sign never overlap, so one pass counts them; the else-if and the conditional hold others
+    lone = [p for p in COMPLEXITY if p not in (ELSE_IF, CONDITIONAL)]
+    # up to the last colon every question mark has one behind it, so that no search runs on in vain
+    closed = F.left(content, F.length(content) - F.length(F.substring_index(content, ":", -1)))
+    count = lambda text, p: F.regexp_count(text, F.lit(java(p)))
+    return F.when(F.length(content) > 0, 1 + count(content, "|".join(lone)) + count(content, ELSE_IF) + count(closed, r"\?[^:]*+:"))
 
 
 def round_half_up(x: Column, places: int) -> Column:

@@ -6,7 +6,8 @@ files is (repo_id, path, content).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,18 +18,74 @@ from lodegraph.functions import dictionaries as D
 from lodegraph.functions.paths import default_module, directory, extension, language
 from lodegraph.functions.text import parameters
 
-def _first_matches(files: pd.DataFrame, patterns: dict[str, list[tuple[re.Pattern, bool]]]) -> Iterator[tuple]:
+#: A match: where it starts, the name, the parameters.
+Find = Callable[[str], Iterator[tuple[int, str, str]]]
+
+
+def _by_pattern(pattern: str) -> Find:
+    rx = re.compile(pattern, re.A)
+    return lambda text: ((m.start(), m[1], m[2]) for m in rx.finditer(text))
+
+
+_TYPED_NAME = re.compile(r"[a-zA-Z_]\w*", re.A)
+
+
+def _by_run(letters: str, tail: str, modifiers: str | None = None) -> Find:
+    """What the patterns of typed languages match, in linear time: they begin with a run of letters of types and names, which an
+    expression would read again from each of its letters.
+
+    A run ends at a parenthesis; its last word is the name. The match starts with the run, or at the first of its modifiers and
+    spaces that leaves a letter and a space before the name.
+    """
+    run, end = re.compile(rf"(?<![{letters}])[{letters}]+\(", re.A), re.compile(tail, re.A)
+    word = re.compile(modifiers, re.A) if modifiers else None
+
+    def find(text: str) -> Iterator[tuple[int, str, str]]:
+        closing = [m.start() for m in re.finditer(r"\)", text)]
+        done = 0
+        for m in run.finditer(text):
+            if m.start() < done:
+                continue
+            i = bisect_left(closing, m.end())
+            if i == len(closing):
+                return
+            last = end.match(text, closing[i] + 1)
+            if last is None:
+                continue
+            types = m[0][:-1].rstrip(" \t\n\r\f\v")
+            at = max(map(types.rfind, " \t\n\r\f\v")) + 1
+            if at < 2 or not _TYPED_NAME.fullmatch(types, at):
+                continue
+            start = 0
+            if word is not None:
+                start = next((w.start() for w in word.finditer(types) if w.end() <= at - 2), -1)
+                if start < 0:
+                    continue
+            done = last.end()
+            yield m.start() + start, types[at:], text[m.end() : closing[i]]
+
+    return find
+
+
+_LINEAR = {
+    "c": _by_run(r"\w\s*", r"\s*\{"),
+    "cpp": _by_run(r"\w:\s<>", r"\s*(?:const)?\s*\{"),
+    "java": _by_run(r"\w<>\[\]\s", r"\s*\{", r"public|private|protected|static|final|native|synchronized|\s"),
+}
+
+
+def _first_matches(files: pd.DataFrame, patterns: dict[str, list[tuple[Find, bool]]]) -> Iterator[tuple]:
     """(row, name, params, line, is_method): in each file the first pattern's match of a line and name."""
     for row, (path, text) in enumerate(zip(files["path"], files["content"])):
         seen = set()
-        for rx, method in patterns.get(path.rpartition(".")[2].lower(), ()):
+        for find, method in patterns.get(path.rpartition(".")[2].lower(), ()):
             line, at = 1, 0
-            for m in rx.finditer(text):
-                line += text.count("\n", at, m.start())
-                at = m.start()
-                if (line, m[1]) not in seen:
-                    seen.add((line, m[1]))
-                    yield row, m[1], m[2], line, method
+            for start, name, params in find(text):
+                line += text.count("\n", at, start)
+                at = start
+                if (line, name) not in seen:
+                    seen.add((line, name))
+                    yield row, name, params, line, method
 
 
 def extract_functions(files: DataFrame, java_pattern: str = "corrected") -> DataFrame:
@@ -37,10 +94,11 @@ def extract_functions(files: DataFrame, java_pattern: str = "corrected") -> Data
     A line needs the offset of its match, which no built-in function gives; so matches are found in Arrow batches.
     java_pattern="literal" uses the pattern that ordinary methods don't match.
     """
-    lists: dict[str, list[tuple[re.Pattern, bool]]] = {}
+    lists: dict[str, list[tuple[Find, bool]]] = {}
     for e, patterns in D.FUNCTIONS.items():
+        literal = e == "java" and java_pattern == "literal"
         for name in [e, *(k for k, v in D.FUNCTIONS_OF.items() if v == e)]:
-            lists[name] = [(re.compile(D.JAVA_LITERAL if e == "java" and java_pattern == "literal" else p, re.A), m) for p, m in patterns]
+            lists[name] = [(_by_pattern(D.JAVA_LITERAL if literal else p) if literal or e not in _LINEAR else _LINEAR[e], m) for p, m in patterns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
