@@ -184,11 +184,6 @@ def graph_edges(spark, d):
     return g.edges.groupBy("repo_id", "kind").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
-def monorepo_detect(spark, d):
-    own = monorepo.monorepo_detect(_files(spark, d))
-    return own.select("repo_id", "tool", F.array_join("globs", ",").alias("globs"))
-
-
 def target_url_classify(spark, d):
     r = table(spark, d, "repos").select("repo_id", "owner", "repo")
     o, n = F.col("owner"), F.col("repo")
@@ -211,53 +206,12 @@ def fnv1a_hash(spark, d):
     return r.select("repo_id", T.fnv1a(F.concat("owner", F.lit("/"), "repo", F.lit("@"), "branch")).alias("hash"))
 
 
-_PAGES = [
-    ("https://a.example/d/index.html", '<script src="/app.js"></script><link HREF="css/x.css"><a href="p.html">p</a><script src="app.js?v=1"></script>'),
-    ("https://b.example", "<script src='https://cdn.example/lib/y.js'></script><img src=\"z.png\"><script src=\"//c.example/q.ts\"></script>"),
-    ("https://c.example/", ""),
-]
-_TS = [
-    (1, "tsconfig.json", '{"compilerOptions":{"baseUrl":".","paths":{"@/*":["./src/*"],"~lib":["lib/main"],"none/*":[]}}}'),
-    (1, "web/tsconfig.app.json", '{"compilerOptions":{"baseUrl":"src","paths":{"#/*":["./*","../x/*"]}}}'),
-    (2, "tsconfig.json", '{"compilerOptions":{"paths":{"app/*":["a/../b/*"]}}}'),
-    (2, "x/tsconfig.json", '{ // comment\n"compilerOptions":{"paths":{"q/*":["q/*"]}}}'),
-    (2, "x/package.json", "{}"),
-]
-_SPECS = [(1, "src/a.ts", 0, 0, "@/c/d"), (1, "src/a.ts", 0, 1, "~lib"), (1, "src/a.ts", 0, 2, "~lib/x"), (1, "src/b.ts", 0, 0, "./c"), (1, "src/b.ts", 1, 0, "#/q"), (2, "m.ts", 0, 0, "app/z"), (2, "m.ts", 0, 1, "react"), (1, "src/b.ts", 1, 1, "none/k")]
-
-
-def _fixture(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
-def html_asset_refs(spark, d):
-    pages = _fixture(spark, _PAGES, "url string, html string")
-    own = im.extract_imports(pages.select(F.col("url").alias("repo_id"), F.lit("index.html").alias("path"), F.col("html").alias("content")))
-    return own.select(F.col("repo_id").alias("url"), F.col("pattern_no").cast("bigint").alias("pattern_no"), "raw")
-
-
-def page_asset_links(spark, d):
-    own = src.page_assets(_fixture(spark, _PAGES, "url string, html string"))
-    return own.select("url", "asset", src.asset_path(F.col("asset")).alias("path"))
-
-
-def tsconfig_aliases(spark, d):
-    own = im.aliases(_fixture(spark, _TS, "repo_id bigint, path string, content string"))
-    return own.select("repo_id", "config_path", F.col("alias_ord").cast("bigint").alias("alias_ord"), "alias_key", "wildcard", F.array_join("targets", ",").alias("targets"), "base_url")
-
-
-def resolve_alias(spark, d):
-    specs = _fixture(spark, _SPECS, "repo_id bigint, path string, pattern_no int, pos int, raw string")
-    own = im.rewrite_aliases(specs, im.aliases(_fixture(spark, _TS, "repo_id bigint, path string, content string")))
-    return own.select("repo_id", "path", "raw", "rewritten")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         detect_language, file_kind_filter, line_count, complexity_estimate, entrypoint_flag, file_nodes, module_assign, workspace_roots, path_normalize, file_read, file_cap_topk, local_dir_filter, upload_filter, language_histogram_files,
-        extract_imports, first_imports, resolve_imports, external_packages, extract_functions, function_nodes, extract_calls, syntax_calls, resolve_calls, call_graph, membership_edges, graph_nodes, graph_edges, analysis_json, analysis_status, monorepo_detect, target_url_classify, repo_url_split,
-        fnv1a_hash, html_asset_refs, page_asset_links, tsconfig_aliases, resolve_alias,
+        extract_imports, first_imports, resolve_imports, external_packages, extract_functions, function_nodes, extract_calls, syntax_calls, resolve_calls, call_graph, membership_edges, graph_nodes, graph_edges, analysis_json, analysis_status, target_url_classify, repo_url_split,
+        fnv1a_hash,
     )
 }
 
@@ -352,10 +306,4 @@ ORACLES = {
       FROM repos, range(9) t(form)""",
     "repo_url_split": "SELECT repo_id, owner, repo FROM repos",
     "fnv1a_hash": "SELECT repo_id, list_reduce(list_transform(string_split(owner || '/' || repo || '@' || branch, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)) AS hash FROM repos",
-    "html_asset_refs": """SELECT * FROM (VALUES ('https://a.example/d/index.html', CAST(0 AS BIGINT), '/app.js'), ('https://a.example/d/index.html', 0, 'app.js?v=1'), ('https://a.example/d/index.html', 1, 'css/x.css'), ('https://a.example/d/index.html', 1, 'p.html'),
-      ('https://b.example', 0, 'https://cdn.example/lib/y.js'), ('https://b.example', 0, 'z.png'), ('https://b.example', 0, '//c.example/q.ts')) v(url, pattern_no, raw)""",
-    "page_asset_links": "SELECT * FROM (VALUES ('https://a.example/d/index.html', 'https://a.example/app.js', 'app.js'), ('https://a.example/d/index.html', 'https://a.example/d/css/x.css', 'd/css/x.css'), ('https://b.example', 'https://cdn.example/lib/y.js', 'lib/y.js'), ('https://b.example', 'https://c.example/q.ts', 'q.ts')) v(url, asset, path)",
-    "tsconfig_aliases": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'tsconfig.json', CAST(0 AS BIGINT), '@/', true, 'src', ''), (1, 'tsconfig.json', 1, '~lib', false, 'lib/main', ''), (1, 'tsconfig.json', 2, 'none/', true, '', ''), (1, 'web/tsconfig.app.json', 0, '#/', true, 'web/src,web/x', 'web/src'), (2, 'tsconfig.json', 0, 'app/', true, 'b', '')) v(repo_id, config_path, alias_ord, alias_key, wildcard, targets, base_url)",
-    "resolve_alias": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'src/a.ts', '@/c/d', 'src/c/d'), (1, 'src/a.ts', '~lib', 'lib/main'), (1, 'src/a.ts', '~lib/x', NULL), (1, 'src/b.ts', './c', NULL), (1, 'src/b.ts', '#/q', 'web/src/q'), (2, 'm.ts', 'app/z', 'b/z'), (2, 'm.ts', 'react', NULL), (1, 'src/b.ts', 'none/k', NULL)) v(repo_id, path, raw, rewritten)",
-    "monorepo_detect": "SELECT DISTINCT repo_id, 'none' AS tool, '' AS globs FROM files WHERE repo_id IS NOT NULL AND repo_id NOT IN (SELECT repo_id FROM files WHERE path IN ('pnpm-workspace.yaml', 'pnpm-workspace.yml', 'package.json', 'turbo.json', 'nx.json', 'go.work', 'Cargo.toml', 'cargo.toml', 'lerna.json'))",
 }

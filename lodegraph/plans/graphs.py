@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.operators import contracts, cycles, diff, metrics, reports, search
+from lodegraph.operators import contracts, diff, metrics, reports, search
 from lodegraph.operators.snapshot_diff import lineages
 from lodegraph.session import table
 
@@ -68,10 +68,6 @@ def god_modules(spark, d):
     return metrics.god_modules(metrics.module_metrics(*_ne(spark, d)))
 
 
-def module_cycles(spark, d):
-    return cycles.module_cycles(metrics.module_dependencies(*_ne(spark, d)))
-
-
 def ego_network(spark, d):
     n, e = table(spark, d, "nodes"), table(spark, d, "edges")
     path = n.where("kind = 'file'").agg(F.min("path").alias("p")).first()["p"]  # one value
@@ -141,7 +137,7 @@ def semantic_topk(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        node_kind_counts, node_degree, graph_density, top_by_degree, hotspots, language_histogram, edge_weights, edge_labels, module_dependencies, module_coupling, module_metrics, god_modules, module_cycles, ego_network, hotspot_contracts,
+        node_kind_counts, node_degree, graph_density, top_by_degree, hotspots, language_histogram, edge_weights, edge_labels, module_dependencies, module_coupling, module_metrics, god_modules, ego_network, hotspot_contracts,
         contract_severity, diff_nodes, diff_modified, diff_edges, diff_summary, report_text, report_markdown, report_json, drawn_nodes, drawn_edges, warning_rollup, semantic_topk,
     )
 }
@@ -202,7 +198,6 @@ ORACLES = {
     "module_coupling": f"WITH {_E}, {_N}, {_DEP}, {_CPL} SELECT * FROM cpl",
     "module_metrics": f"WITH {_E}, {_N}, {_DEP}, {_CPL}, {_MM} SELECT * FROM mm",
     "god_modules": f"WITH {_E}, {_N}, {_DEP}, {_CPL}, {_MM}, th AS (SELECT analysis_id, count(*) AS c, list_sort(list(ca), 'DESC')[floor(0.75 * count(*))::INT + 1] AS t1, list_sort(list(ce), 'DESC')[floor(0.75 * count(*))::INT + 1] AS t2, list_sort(list(total_complexity), 'DESC')[floor(0.75 * count(*))::INT + 1] AS t3 FROM mm GROUP BY 1) SELECT mm.analysis_id, module FROM mm JOIN th USING (analysis_id) WHERE c >= 3 AND (ca >= t1)::INT + (ce >= t2)::INT + (total_complexity >= t3)::INT >= 2",
-    "module_cycles": f"WITH RECURSIVE {_E}, {_N}, {_DEP}, reach AS (SELECT analysis_id, src_module AS a, dst_module AS b FROM dep UNION SELECT r.analysis_id, r.a, dep.dst_module FROM reach r JOIN dep ON dep.analysis_id = r.analysis_id AND dep.src_module = r.b), m AS (SELECT x.analysis_id, x.a, least(min(x.b), x.a) AS root FROM reach x JOIN reach y ON y.analysis_id = x.analysis_id AND y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.analysis_id, x.a) SELECT analysis_id, count(*) AS size, string_agg(a, ',' ORDER BY a) AS modules FROM m GROUP BY analysis_id, root",
     "ego_network": f"WITH {_E}, i AS (SELECT DISTINCT analysis_id, id FROM nodes WHERE kind <> 'function' AND path = (SELECT min(path) FROM nodes WHERE kind = 'file')) SELECT e.analysis_id, i.id, 'out' AS direction, dst AS other, e.kind, e.ord FROM e JOIN i ON i.analysis_id = e.analysis_id AND i.id = e.src UNION ALL SELECT e.analysis_id, i.id, 'in', src, e.kind, e.ord FROM e JOIN i ON i.analysis_id = e.analysis_id AND i.id = e.dst",
     "hotspot_contracts": f"WITH {_E}, {_N}, {_D} SELECT n.analysis_id, n.id, coalesce(nullif(language, ''), 'TypeScript') AS language, coalesce(nullif(complexity, 0), 10)::BIGINT AS complexity, coalesce(degree, 1) AS degree, {_STATUS.format('degree')} AS status, {_SKILL} AS skill FROM n LEFT JOIN d USING (analysis_id, id) WHERE complexity > 50 OR degree > 25",
     "contract_severity": f"WITH {_N0} SELECT analysis_id, id, {_STATUS.format('NULL')} AS status, {_SKILL} AS skill FROM n0",
