@@ -175,13 +175,25 @@ def membership_edges(spark, d):
     return e.groupBy("repo_id", "src").agg(F.count("*").alias("edges"))
 
 
+def call_edges(spark, d):
+    f = _files(spark, d)
+    return fn.call_edges(fn.resolve_calls(fn.extract_calls(f), fn.extract_functions(f))).select("repo_id", "src", "dst", "kind", "calls")
+
+
+def membership_edge_rows(spark, d):
+    f = _files(spark, d)
+    mods = f.where("path is not null").select("repo_id", "path").distinct().withColumn("module", P.default_module(F.col("path")))
+    return graph.membership_edges(mods, fn.function_nodes(fn.extract_functions(f))).select("repo_id", "src", "dst", "kind")
+
+
 def graph_nodes(spark, d):
-    return graph.build_graph(_files(spark, d)).nodes
+    own = graph.build_graph(_files(spark, d)).nodes
+    return own.withColumn("loc", F.col("loc").cast("bigint")).withColumn("complexity", F.col("complexity").cast("bigint"))
 
 
 def graph_edges(spark, d):
     g = graph.build_graph(_files(spark, d))
-    return g.edges.groupBy("repo_id", "kind").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    return g.edges.groupBy("repo_id", "src", "dst", "kind").agg(F.sum("weight").alias("edges"))
 
 
 def target_url_classify(spark, d):
@@ -210,7 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         detect_language, file_kind_filter, line_count, complexity_estimate, entrypoint_flag, file_nodes, module_assign, workspace_roots, path_normalize, file_read, file_cap_topk, local_dir_filter, upload_filter, language_histogram_files,
-        extract_imports, first_imports, resolve_imports, external_packages, extract_functions, function_nodes, extract_calls, syntax_calls, resolve_calls, call_graph, membership_edges, graph_nodes, graph_edges, analysis_json, analysis_status, target_url_classify, repo_url_split,
+        extract_imports, first_imports, resolve_imports, external_packages, extract_functions, function_nodes, extract_calls, syntax_calls, resolve_calls, call_graph, call_edges, membership_edges, membership_edge_rows, graph_nodes, graph_edges, analysis_json, analysis_status, target_url_classify, repo_url_split,
         fnv1a_hash,
     )
 }
@@ -274,6 +286,13 @@ roots AS (SELECT DISTINCT repo_id, root FROM w WHERE root IS NOT NULL
 _ROOTS = _ROOTS.replace("(SELECT DISTINCT repo_id FROM p), (VALUES", "(SELECT DISTINCT repo_id FROM p) p, (VALUES")
 _CANDS = " UNION ALL ".join(f"SELECT repo_id, path, pattern_no, pos, {n} AS cand_no, base || '{c}' AS candidate FROM b" for n, c in enumerate(D.CANDIDATES))
 
+_PATHS = "p AS (SELECT DISTINCT repo_id, path FROM files WHERE path IS NOT NULL)"
+_MEMBERS = f"SELECT repo_id, 'mod:' || {_MODULE} AS src, 'file:' || path AS dst, 'import' AS kind FROM p UNION ALL SELECT repo_id, 'file:' || path, fid, 'import' FROM fi UNION ALL SELECT repo_id, 'mod:' || {_MODULE}, fid, 'import' FROM fi"
+_FI = "fi AS (SELECT repo_id, path, 'func:' || path || ':' || name || ':' || line AS fid, name, language FROM fn)"
+_RESOLVED = f"b AS (SELECT *, {_FOLD.format(f'(({_DIR}) || {chr(39)}/{chr(39)} || raw)')} AS base FROM i WHERE is_relative AND (raw LIKE '.%' OR raw LIKE '/%')), k AS ({_CANDS}), ri AS (SELECT * FROM (SELECT k.repo_id, k.path, k.pattern_no, k.pos, arg_min(candidate, cand_no) AS dst FROM k JOIN p ON p.repo_id = k.repo_id AND p.path = k.candidate GROUP BY ALL) WHERE dst <> path)"
+_PACKAGE = "CASE WHEN raw LIKE '@%' THEN array_to_string(string_split(raw, '/')[1:2], '/') ELSE string_split(raw, '/')[1] END"
+_EXTERNAL = f"x AS (SELECT repo_id, path, {_PACKAGE} AS package FROM i WHERE NOT is_relative AND {_PACKAGE} <> '')"
+
 ORACLES = {
     "detect_language": f"SELECT DISTINCT file_id, path, {_LANG} AS language FROM files",
     "file_kind_filter": f"SELECT DISTINCT file_id, {_SOURCE} AS is_source, {_CONFIG} AS is_config FROM files",
@@ -307,3 +326,16 @@ ORACLES = {
     "repo_url_split": "SELECT repo_id, owner, repo FROM repos",
     "fnv1a_hash": "SELECT repo_id, list_reduce(list_transform(string_split(owner || '/' || repo || '@' || branch, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)) AS hash FROM repos",
 }
+ORACLES |= {
+    "call_edges": f"WITH {_C}, {_FN}, {_CALLS}, {_TIERS} SELECT repo_id, 'file:' || path AS src, 'func:' || func_path || ':' || callee || ':' || line AS dst, 'call' AS kind, CAST(sum(calls) AS BIGINT) AS calls FROM r GROUP BY ALL",
+    "membership_edge_rows": f"WITH {_C}, {_FN}, {_PATHS}, {_FI} {_MEMBERS}",
+    "graph_nodes": f"""WITH {_C}, {_I}, {_FN}, {_PATHS}, {_FI}, {_EXTERNAL}
+SELECT DISTINCT repo_id, 'mod:' || {_MODULE} AS id, string_split({_MODULE}, '/')[-1] AS label, 'module' AS kind, NULL AS path, {_MODULE} AS grp, CAST(NULL AS BIGINT) AS loc, CAST(NULL AS BIGINT) AS complexity, NULL AS language, CAST(NULL AS BOOLEAN) AS entrypoint FROM p
+UNION ALL SELECT repo_id, id, label, kind, substr(id, 6), grp, loc, complexity, language, entrypoint FROM ({ORACLES["file_nodes"]})
+UNION ALL SELECT repo_id, fid, name, 'function', path, {_DIR}, 1, 1, language, NULL FROM fi
+UNION ALL SELECT DISTINCT repo_id, 'ext:' || package, package, 'external', NULL, 'external', NULL, NULL, NULL, NULL FROM x""",
+    "graph_edges": f"""WITH {_C}, {_I}, {_FN}, {_CALLS}, {_TIERS}, {_PATHS}, {_FI}, {_RESOLVED}, {_EXTERNAL}, e AS (
+SELECT *, 1 AS n FROM ({_MEMBERS}) UNION ALL SELECT repo_id, 'file:' || path, 'file:' || dst, 'import', 1 FROM ri UNION ALL SELECT repo_id, 'file:' || path, 'ext:' || package, 'import', 1 FROM x
+UNION ALL SELECT repo_id, 'file:' || path, 'func:' || func_path || ':' || callee || ':' || line, 'call', calls FROM r)
+SELECT repo_id, src, dst, kind, CAST(sum(n) AS BIGINT) AS edges FROM e GROUP BY ALL""",
+}
