@@ -120,6 +120,11 @@ def module_metrics(nodes: DataFrame, edges: DataFrame, key: str = KEY) -> DataFr
     )
 
 
+def ranked_modules(metrics: DataFrame, key: str = KEY) -> DataFrame:
+    """module_metrics with rank, by falling rounded instability, then by name."""
+    return metrics.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("instability"), "module")))
+
+
 def god_modules(metrics: DataFrame, key: str = KEY, share: float = 0.75, documented: bool = False) -> DataFrame:
     """(key, module) of modules at or above the threshold in two of ca, ce and total_complexity; none in graphs of fewer than three modules.
 

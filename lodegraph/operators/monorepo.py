@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lodegraph.functions.paths import default_module
 
@@ -94,6 +95,11 @@ def workspace_roots(globs: DataFrame, files: DataFrame, recursive: bool = False)
     return out.distinct()
 
 
+def ranked_roots(roots: DataFrame) -> DataFrame:
+    """(repo_id, root, rank): the longest root first, then by name."""
+    return roots.withColumn("rank", F.row_number().over(W.partitionBy("repo_id").orderBy(F.desc(F.length("root")), "root")))
+
+
 def assign_modules(files: DataFrame, roots: DataFrame) -> DataFrame:
     """(repo_id, path, module): the longest root that is the path or a directory above it, else the default module."""
     parts = F.split("path", "/")

@@ -45,14 +45,39 @@ def drawn_edges(edges: DataFrame, key: str = KEY) -> DataFrame:
     return edges.where("src is not null and dst is not null").select(key, F.col("src").alias("from"), F.col("dst").alias("to"), F.col("kind").alias("title"), "ord").distinct()
 
 
+# a layout by forces: neighbours attract, all nodes repel, drawn once
+_DRAW = """
+const g = document.getElementById("g"), c = g.getContext("2d"), at = new Map(), color = {module: "#4269d0", file: "#3ca951", function: "#efb118", external: "#ff725c", config: "#a463f2"};
+g.width = innerWidth; g.height = innerHeight;
+data.nodes.forEach((n, i) => at.set(n.id, {x: g.width / 2 + 20 * Math.sqrt(i) * Math.cos(2.4 * i), y: g.height / 2 + 20 * Math.sqrt(i) * Math.sin(2.4 * i), n}));
+const ps = [...at.values()], ls = data.edges.map(e => [at.get(e.from), at.get(e.to)]).filter(l => l[0] && l[1]);
+for (let step = 0; step < 120; step++) {
+  for (const p of ps) for (const q of ps) if (p !== q) { const x = p.x - q.x, y = p.y - q.y, d = x * x + y * y + 9; p.x += 90 * x / d; p.y += 90 * y / d; }
+  for (const [p, q] of ls) { const x = (q.x - p.x) / 40, y = (q.y - p.y) / 40; p.x += x; p.y += y; q.x -= x; q.y -= y; }
+}
+c.strokeStyle = "#ccc"; for (const [p, q] of ls) { c.beginPath(); c.moveTo(p.x, p.y); c.lineTo(q.x, q.y); c.stroke(); }
+c.font = "10px sans-serif"; for (const p of ps) { c.fillStyle = color[p.n.group] || "#888"; c.beginPath(); c.arc(p.x, p.y, 4, 0, 7); c.fill(); c.fillStyle = "#222"; c.fillText(p.n.label ?? p.n.id, p.x + 6, p.y + 3); }
+"""
+
+
 def html_page(nodes: DataFrame, edges: DataFrame, limit: int) -> str:
-    """A page that lists one graph's nodes and edges as JSON for a drawing library; limit bounds what the driver takes."""
+    """A page that draws one graph: at most limit nodes, and the edges between them, which say so where there are more.
+
+    nodes is what drawn_nodes gives, edges what drawn_edges gives; the limit is what a page can show and bounds what the driver takes.
+    """
     import json
 
-    n = [r.asDict() for r in nodes.limit(limit).collect()]
-    e = [r.asDict() for r in edges.limit(limit).collect()]
+    kept = nodes.orderBy("id").limit(limit)
+    n = [r.asDict() for r in kept.collect()]
+    e: list[dict] = []
+    if {"from", "to"} <= set(edges.columns):
+        ids = kept.select("id")
+        inner = edges.join(ids.withColumnRenamed("id", "from"), "from").join(ids.withColumnRenamed("id", "to"), "to")
+        e = [r.asDict() for r in inner.select("from", "to", *[c for c in edges.columns if c not in ("from", "to")]).limit(limit * 20).collect()]
+    left_out = nodes.count() - len(n), edges.count() - len(e)
+    note = f"{len(n)} nodes, {len(e)} edges; {left_out[0]} nodes and {left_out[1]} edges are not shown"
     data = json.dumps({"nodes": n, "edges": e}, default=str).replace("</", "<\\/")
-    return f"<!doctype html><meta charset=utf-8><title>Graph</title><canvas id=g></canvas><script>const data = {data};</script>"
+    return f"<!doctype html><meta charset=utf-8><title>Graph</title><p>{note}</p><canvas id=g></canvas><script>const data = {data};{_DRAW}</script>"
 
 
 def warning_rollup(warnings: DataFrame, key: str = "repo_id", kept: int = 5) -> DataFrame:

@@ -118,10 +118,35 @@ def syntax_calls(spark, d):
     return fn.syntax_calls(_files(spark, d))
 
 
+_RESPONSE = (
+    "status string, quality string, warnings array<string>, nodes bigint, edges bigint, modules bigint, files bigint, functions bigint, externals bigint, avg_degree double, density double, max_complexity bigint, "
+    "top_by_degree array<struct<rank:int,id:string,degree:bigint>>, hotspots array<struct<id:string>>, languages array<struct<language:string,files:bigint>>"
+)
+
+
 def analysis_json(spark, d):
+    """The JSON response of each repository, read back into its fields."""
     from lodegraph.api import analyze, response
 
-    return response(analyze(_files(spark, d)))
+    j = response(analyze(_files(spark, d))).select("repo_id", F.from_json("json", _RESPONSE).alias("j")).select("repo_id", "j.*")
+    langs = F.array_join(F.array_sort(F.transform("languages", lambda x: F.concat_ws("=", x["language"], x["files"].cast("string")))), ",")
+    sizes = [F.coalesce(F.size(F.col(c)), F.lit(0)).cast("bigint").alias(c) for c in ("warnings", "top_by_degree", "hotspots")]
+    best = F.array_max(F.transform("top_by_degree", lambda x: x["degree"])).alias("top_degree")
+    return j.select("repo_id", "status", "quality", *"nodes edges modules files functions externals avg_degree density max_complexity".split(), *sizes, best, F.coalesce(langs, F.lit("")).alias("languages"))
+
+
+def analysis_lines(spark, d):
+    """The nodes and edges of the response's lines of JSON, read back."""
+    from lodegraph.api import analyze, response_lines
+
+    own = response_lines(analyze(_files(spark, d))).where("part <> 'summary'")
+    f = lambda k: F.get_json_object("json", f"$.{k}").alias(k)
+    own = own.select("repo_id", "part", f("kind"), f("id"), f("src"), f("dst"))
+    return own.groupBy("repo_id", "part", "kind", "id", "src", "dst").agg(F.count("*").alias("lines"))
+
+
+def root_order(spark, d):
+    return monorepo.ranked_roots(workspace_roots(spark, d)).select("repo_id", "root", F.col("rank").cast("bigint").alias("rank"))
 
 
 def analysis_status(spark, d):
@@ -222,7 +247,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         detect_language, file_kind_filter, line_count, complexity_estimate, entrypoint_flag, file_nodes, module_assign, workspace_roots, path_normalize, file_read, file_cap_topk, local_dir_filter, upload_filter, language_histogram_files,
-        extract_imports, first_imports, resolve_imports, external_packages, extract_functions, function_nodes, extract_calls, syntax_calls, resolve_calls, call_graph, call_edges, membership_edges, membership_edge_rows, graph_nodes, graph_edges, analysis_json, analysis_status, target_url_classify, repo_url_split,
+        extract_imports, first_imports, resolve_imports, external_packages, extract_functions, function_nodes, extract_calls, syntax_calls, resolve_calls, call_graph, call_edges, membership_edges, membership_edge_rows, graph_nodes, graph_edges, analysis_json, analysis_lines, analysis_status, root_order, target_url_classify, repo_url_split,
         fnv1a_hash,
     )
 }
@@ -339,3 +364,19 @@ SELECT *, 1 AS n FROM ({_MEMBERS}) UNION ALL SELECT repo_id, 'file:' || path, 'f
 UNION ALL SELECT repo_id, 'file:' || path, 'func:' || func_path || ':' || callee || ':' || line, 'call', calls FROM r)
 SELECT repo_id, src, dst, kind, CAST(sum(n) AS BIGINT) AS edges FROM e GROUP BY ALL""",
 }
+_R2 = "floor(({0}) * {1} + 0.5) / {1}"
+ORACLES |= {
+    "root_order": f"WITH {_ROOTS} SELECT repo_id, root, row_number() OVER (PARTITION BY repo_id ORDER BY length(root) DESC, root) AS rank FROM roots",
+    "analysis_lines": f"SELECT repo_id, 'node' AS part, kind, id, NULL AS src, NULL AS dst, count(*) AS lines FROM ({ORACLES['graph_nodes']}) GROUP BY ALL UNION ALL SELECT repo_id, 'edge', kind, NULL, src, dst, edges FROM ({ORACLES['graph_edges']})",
+    "analysis_json": f"""WITH n AS ({ORACLES["graph_nodes"]}), e AS ({ORACLES["graph_edges"]}),
+nn AS (SELECT repo_id, count(*) AS nodes, count(*) FILTER (kind = 'module') AS modules, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'function') AS functions, count(*) FILTER (kind = 'external') AS externals, greatest(coalesce(max(complexity), 0), 0) AS max_complexity,
+  least(5, count(*) FILTER (complexity > 0)) AS hotspots FROM n GROUP BY 1),
+ee AS (SELECT repo_id, CAST(sum(edges) AS BIGINT) AS edges FROM e GROUP BY 1),
+dd AS (SELECT repo_id, id, sum(edges) AS degree FROM (SELECT repo_id, src AS id, edges FROM e UNION ALL SELECT repo_id, dst, edges FROM e) GROUP BY ALL),
+d5 AS (SELECT repo_id, CAST(max(degree) AS BIGINT) AS top_degree, least(5, count(*)) AS top_by_degree FROM dd GROUP BY 1),
+ll AS (SELECT repo_id, string_agg(language || '=' || c, ',' ORDER BY language || '=' || c) AS languages FROM (SELECT repo_id, language, count(*) AS c FROM n WHERE kind IN ('file', 'config') AND language IS NOT NULL GROUP BY ALL) GROUP BY 1),
+qq AS (SELECT repo_id, CASE WHEN bool_and(has) THEN 'full' ELSE 'partial' END AS quality, least(6, count(*) FILTER (NOT has)) AS warnings FROM (SELECT repo_id, path, bool_or(content IS NOT NULL) AS has FROM files WHERE path IS NOT NULL GROUP BY ALL) GROUP BY 1)
+SELECT repo_id, CASE quality WHEN 'full' THEN 'success' ELSE 'partial' END AS status, quality, nodes, coalesce(edges, 0) AS edges, modules, files, functions, externals, {_R2.format("2.0::DOUBLE * coalesce(edges, 0) / nodes", 100)} AS avg_degree,
+  CASE WHEN nodes > 1 THEN {_R2.format("coalesce(edges, 0)::DOUBLE / (nodes * (nodes - 1))", 10000)} ELSE 0.0 END AS density, max_complexity, warnings, coalesce(top_by_degree, 0) AS top_by_degree, hotspots, top_degree, coalesce(languages, '') AS languages
+FROM nn LEFT JOIN ee USING (repo_id) LEFT JOIN d5 USING (repo_id) LEFT JOIN ll USING (repo_id) LEFT JOIN qq USING (repo_id)""",
+}

@@ -111,8 +111,17 @@ def report_markdown(spark, d):
     return reports.text_report(metrics.graph_metrics(n, e), metrics.top_by_degree(n, e), metrics.hotspots(n), markdown=True)
 
 
+_METRICS = "nodes bigint, edges bigint, modules bigint, files bigint, functions bigint, externals bigint, avg_degree double, density double, max_complexity bigint"
+
+
 def report_json(spark, d):
-    return reports.json_report(metrics.graph_metrics(*_ne(spark, d)))
+    """The JSON report, read back into its fields."""
+    own = reports.json_report(metrics.graph_metrics(*_ne(spark, d)))
+    return own.select("analysis_id", F.from_json("json", _METRICS).alias("j")).select("analysis_id", "j.*")
+
+
+def module_order(spark, d):
+    return metrics.ranked_modules(metrics.module_metrics(*_ne(spark, d))).select("analysis_id", "module", F.col("rank").cast("bigint").alias("rank"))
 
 
 def drawn_nodes(spark, d):
@@ -137,7 +146,7 @@ def semantic_topk(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        node_kind_counts, node_degree, graph_density, top_by_degree, hotspots, language_histogram, edge_weights, edge_labels, module_dependencies, module_coupling, module_metrics, god_modules, ego_network, hotspot_contracts,
+        node_kind_counts, node_degree, graph_density, top_by_degree, hotspots, language_histogram, edge_weights, edge_labels, module_dependencies, module_coupling, module_metrics, module_order, god_modules, ego_network, hotspot_contracts,
         contract_severity, diff_nodes, diff_modified, diff_edges, diff_summary, report_text, report_markdown, report_json, drawn_nodes, drawn_edges, warning_rollup, semantic_topk,
     )
 }
@@ -210,6 +219,8 @@ ORACLES = {
       t AS (SELECT base, head, coalesce(sum(edges) FILTER (change = 'added'), 0)::BIGINT AS edges_added, coalesce(sum(edges) FILTER (change = 'deleted'), 0)::BIGINT AS edges_deleted FROM ep GROUP BY ALL),
       u AS (SELECT p.base, p.head, coalesce(nodes_added, 0) AS nodes_added, coalesce(nodes_deleted, 0) AS nodes_deleted, coalesce(nodes_modified, 0) AS nodes_modified, coalesce(edges_added, 0) AS edges_added, coalesce(edges_deleted, 0) AS edges_deleted, coalesce(loc_added, 0) AS loc_added, coalesce(loc_removed, 0) AS loc_removed, coalesce(complexity_increased, 0) AS complexity_increased, coalesce(complexity_decreased, 0) AS complexity_decreased FROM p LEFT JOIN s USING (base, head) LEFT JOIN t USING (base, head))
       SELECT *, coalesce(nullif(concat_ws(', ', CASE WHEN nodes_added > 0 THEN '+' || nodes_added || ' nodes' END, CASE WHEN nodes_deleted > 0 THEN '-' || nodes_deleted || ' nodes' END, CASE WHEN nodes_modified > 0 THEN '~' || nodes_modified || ' nodes' END, CASE WHEN edges_added > 0 THEN '+' || edges_added || ' edges' END, CASE WHEN edges_deleted > 0 THEN '-' || edges_deleted || ' edges' END), ''), 'No changes') AS text FROM u""",
+    "module_order": f"WITH {_E}, {_N}, {_DEP}, {_CPL}, {_MM} SELECT analysis_id, module, row_number() OVER (PARTITION BY analysis_id ORDER BY instability DESC, module) AS rank FROM mm",
+    "report_json": f"WITH {_E}, {_N}, {_GM} SELECT * REPLACE (max_complexity::BIGINT AS max_complexity) FROM gm",
     "report_text": _report(False),
     "report_markdown": _report(True),
     "drawn_nodes": "SELECT DISTINCT analysis_id, id, string_split(id, '/')[-1] AS label, kind AS \"group\" FROM nodes WHERE id IS NOT NULL",

@@ -28,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. The session's setting wins; only where it is unset (tests) a local one is made."""
+    """The folder all executors share. The session's setting wins; only where it is unset and all run on one machine (tests) a local one is made."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jsc.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = jsc.get() if jsc.isDefined() else tempfile.mkdtemp(prefix="lodegraph-")
     return at
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -102,6 +103,41 @@ def from_tree(spark: SparkSession, tree_json: str) -> tuple[DataFrame, bool]:
     return spark.createDataFrame(rows, "path string, size bigint, ord bigint"), bool(got.get("truncated"))
 
 
+def fetch_contents(rows: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
+    """rows with content and error: what fetch gives for each path; a failure keeps the row without content and says why.
+
+    Each partition fetches its own rows one by one, so as many fetches run at once as there are tasks.
+    """
+
+    @F.pandas_udf("content string, error string")
+    def run(paths: pd.Series) -> pd.DataFrame:
+        out = []
+        for p in paths:
+            try:
+                out.append((None, "no path") if p is None else (fetch(p), None))
+            except Exception as e:  # the reason is kept, the row too
+                out.append((None, f"{type(e).__name__}: {e}"[:200]))
+        return pd.DataFrame(out, columns=["content", "error"])
+
+    return rows.drop("content", "error").withColumn("_r", run(F.col("path"))).select(*[c for c in rows.columns if c not in ("content", "error")], "_r.content", "_r.error")
+
+
+def scan_report(rows: DataFrame, listed: DataFrame, truncated: DataFrame, key: str = "repo_id") -> DataFrame:
+    """(key, warnings, limitations, quality): what a scan couldn't read and what it left out.
+
+    rows is (key, path, ord, error) of what was fetched, listed (key, files) how many could have been, truncated (key, truncated).
+    Quality is `partial` where the listing was truncated or capped, else `full`; keys are those of listed.
+    """
+    from lodegraph.operators.reports import warning_rollup
+
+    bad = rows.where("error is not null").select(key, "ord", F.concat("path", F.lit(": "), "error").alias("text"))
+    own = listed.join(rows.groupBy(key).agg(F.count("*").alias("kept")), key, "left").join(truncated, key, "left").join(warning_rollup(bad, key), key, "left")
+    cut_ = F.coalesce("truncated", F.lit(False))
+    capped = F.coalesce("kept", F.lit(0)) < F.col("files")
+    notes = F.array_compact(F.array(F.when(cut_, "The tree was truncated."), F.when(capped, F.concat(F.lit("Only "), F.coalesce("kept", F.lit(0)).cast("string"), F.lit(" of "), F.col("files").cast("string"), F.lit(" files were read.")))))
+    return own.select(key, F.coalesce("warnings", F.lit("")).alias("warnings"), F.array_join(notes, "\n").alias("limitations"), F.when(cut_ | capped, "partial").otherwise("full").alias("quality"))
+
+
 def page_assets(pages: DataFrame) -> DataFrame:
     """(url, asset): scripts, styles and sources that pages (url, html) refer to, made absolute; each once."""
     from lodegraph.operators.imports import extract_imports

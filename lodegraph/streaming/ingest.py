@@ -33,19 +33,50 @@ def first_deliveries(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame
     return own.dropDuplicatesWithinWatermark(["file_id"])
 
 
+def merged_by(number: int) -> list[int]:
+    """The earlier versions that a batch's version takes in: those of a binary counter's carries."""
+    out, size = [], 1
+    while (number + 1) % (2 * size) == 0:
+        out.append(number - size)
+        size *= 2
+    return out
+
+
+def live(number: int) -> list[int]:
+    """The versions that together hold the state after a batch: a few, however many batches there were."""
+    out = []
+    while number >= 0:
+        out.append(number)
+        number -= 1 << len(merged_by(number))
+    return out
+
+
+def _latest(rows: DataFrame, key: str, version: str) -> DataFrame:
+    cols = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(F.col(version), F.xxhash64(*cols))).alias("r")).select(key, "r.*")
+
+
+def latest(spark: SparkSession, target: str, number: int, key: str = "file_id", version: str = "received_at") -> DataFrame:
+    """The latest row of each key after a batch."""
+    return _latest(spark.read.parquet(*(f"{target}/v={n}" for n in live(number))), key, version)
+
+
 def upsert_latest(target: str, key: str = "file_id", version: str = "received_at") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps the latest row of each key in a parquet table of numbered versions.
 
-    A batch that is run again writes the same version again, so a restart loses and doubles nothing.
+    A version holds its batch and the versions that it takes in, so that a row is written again only once for each doubling of the
+    number of batches. A batch that is run again writes the same version again, so a restart loses and doubles nothing; a version
+    that another has taken in is deleted by the batch after that one.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch
-        if number > 0:
-            rows = batch.unionByName(spark.read.parquet(f"{target}/v={number - 1}"))
-        cols = [c for c in batch.columns if c != key]
-        latest = rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(F.col(version), F.xxhash64(*cols))).alias("r")).select(key, "r.*")
-        latest.write.mode("overwrite").parquet(f"{target}/v={number}")
+        for n in merged_by(number):
+            rows = rows.unionByName(spark.read.parquet(f"{target}/v={n}"))
+        _latest(rows, key, version).write.mode("overwrite").parquet(f"{target}/v={number}")
+        for n in merged_by(number - 1) if number else ():
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v={n}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     return run
