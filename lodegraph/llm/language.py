@@ -36,7 +36,7 @@ FINALISTS = 3
 #: A phrase's encoding may be at most this part of the one with code's dictionaries, and so much more for each different word, LINKS at
 #: most, that holds sentences of its language together and is no word of code: English and code share most other words. Text in Han, kana
 #: or hangul, which code has none of, gets one such allowance.
-CODE_MARGIN, LINK_MARGIN, LINKS = 0.8, 0.1, 3
+CODE_MARGIN, LINK_MARGIN, LINKS = 0.76, 0.16, 3
 #: For a line on its own within a passage: the part of code's and of the next language's encoding.
 STRICT_MARGIN, STRICT_NEXT = 0.7, 0.86
 MIN_WORDS, MIN_CHARS = 5, 10

@@ -322,3 +322,55 @@ alter table orders add column note text
 else if elif switch case default break
 yyyy mm dd hh mm ss
 cat dog bird fish horse cow""".split("\n")
+#: Sentences that no margin was chosen by.
+FRESH = {
+    "en": """Ensure that the directory exists before writing anything into it
+this makes the whole thing about twice as slow, sorry
+returns an array containing every prime below the given limit
+the user clicked on cancel so we do nothing here
+remember to close the stream once you are finished
+maps each country code to its official currency
+deprecated since version three, please migrate soon
+the password must contain at least eight characters
+fails silently when the network is unreachable
+we need a better name for this variable""",
+    "de": """Stellt sicher, dass der Ordner vor dem Schreiben existiert
+dadurch wird das Ganze leider doppelt so langsam
+der Benutzer hat auf Abbrechen geklickt, also passiert nichts
+nicht vergessen, den Datenstrom am Ende zu schließen
+das Kennwort muss mindestens acht Zeichen lang sein
+schlägt stillschweigend fehl, wenn das Netz nicht erreichbar ist
+wir brauchen einen besseren Namen für diese Variable
+ordnet jedem Länderkürzel die amtliche Währung zu""",
+    "fr": """vérifie que le dossier existe avant d'y écrire quoi que ce soit
+l'utilisateur a cliqué sur annuler, on ne fait donc rien
+n'oubliez pas de fermer le flux quand vous avez fini
+le mot de passe doit contenir au moins huit caractères
+échoue en silence lorsque le réseau est injoignable
+il nous faut un meilleur nom pour cette variable
+associe chaque code de pays à sa monnaie officielle""",
+    "es": """asegura que la carpeta exista antes de escribir en ella
+el usuario pulsó cancelar, así que no hacemos nada
+no olvide cerrar el flujo cuando haya terminado
+la contraseña debe contener al menos ocho caracteres
+necesitamos un nombre mejor para esta variable""",
+    "it": """verifica che la cartella esista prima di scriverci qualcosa
+l'utente ha premuto annulla, quindi non facciamo nulla
+ricordarsi di chiudere il flusso alla fine
+ci serve un nome migliore per questa variabile""",
+    "pt": """garante que a pasta existe antes de escrever nela
+o usuário clicou em cancelar, então não fazemos nada
+a senha deve conter pelo menos oito caracteres""",
+    "nl": """zorgt ervoor dat de map bestaat voordat er iets in wordt geschreven
+de gebruiker klikte op annuleren dus we doen niets
+we hebben een betere naam nodig voor deze variabele""",
+    "pl": """upewnij się, że katalog istnieje przed zapisem czegokolwiek
+użytkownik kliknął anuluj, więc nic nie robimy
+potrzebujemy lepszej nazwy dla tej zmiennej""",
+    "tr": """yazmadan önce klasörün var olduğundan emin olur
+kullanıcı iptal düğmesine bastı, bu yüzden bir şey yapmıyoruz
+bu değişken için daha iyi bir isim lazım""",
+    "ru": """убеждается, что папка существует перед записью
+пользователь нажал отмену, поэтому мы ничего не делаем
+нам нужно лучшее имя для этой переменной""",
+}

@@ -71,7 +71,7 @@ def test_queries(spark):
 
 def test_sentences_of_other_wording():
     """Sentences that share no wording with the labelled ones, and spans that only look like text."""
-    from tests.llm.heldout import CODE_LIKE, HELD_OUT
+    from tests.llm.heldout import CODE_LIKE, FRESH, HELD_OUT
 
     own = L.Identifier(L.dictionaries({}))
     for lang, text in HELD_OUT.items():
@@ -80,6 +80,8 @@ def test_sentences_of_other_wording():
         assert sum({k for k, _ in own.natural(x)} == {lang} for x in rows) >= 0.8 * len(rows), lang
     every = [(lang, x) for lang, text in HELD_OUT.items() for x in text.split("\n")]
     assert sum({k for k, _ in own.natural(x)} == {lang} for lang, x in every) >= 0.9 * len(every)
+    fresh = [(lang, x) for lang, text in FRESH.items() for x in text.split("\n")]
+    assert sum({k for k, _ in own.natural(x)} == {lang} for lang, x in fresh) >= 0.9 * len(fresh)
     assert sum(bool(own.natural(x)) for x in CODE_LIKE) <= 0.02 * len(CODE_LIKE)
 
 
