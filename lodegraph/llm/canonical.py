@@ -195,17 +195,30 @@ def canonical_text(text: Column) -> Column:
     return _where(text, f"[^{SURE}]|[Ͱ-֏]", canonical)
 
 
-def look_key(text: Column) -> Column:
-    """Equal for texts that look the same; only for comparison."""
+@cache
+def _look_map() -> dict[int, str]:
     a, b = look_table()
+    return {ord(x): y for x, y in zip(a, b)}
+
+
+_UNSURE = re.compile(f"[^{SURE}]")
+
+
+def _look(text: str) -> str:
     # composition runs after the letters are folded, as a mark may follow a look-alike
-    return _where(F.translate(text, a, b), f"[^{SURE}]", _settled)
+    text = text.translate(_look_map())
+    return _settled(text) if _UNSURE.search(text) else text
+
+
+def look_key(text: Column) -> Column:
+    """Equal for texts that look the same; only for comparison. ASCII texts, told by their bytes, are their own keys."""
+    wide = F.octet_length(text) != F.length(text)
+    return F.when(wide, _udf(_look)(F.when(wide, text))).otherwise(text)
 
 
 def _settled(text: str) -> str:
     """Normalised, then folded once more: a narrow or composed form may have given a look-alike."""
-    a, b = look_table()
-    return unicodedata.normalize("NFC", normalise(text).translate(_plain()).translate({ord(x): y for x, y in zip(a, b)}))
+    return unicodedata.normalize("NFC", normalise(text).translate(_plain()).translate(_look_map()))
 
 
 #: Rows of one text beyond which they are split.
