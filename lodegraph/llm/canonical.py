@@ -204,9 +204,17 @@ def _look_map() -> dict[int, str]:
 _UNSURE = re.compile(f"[^{SURE}]")
 
 
+def _folded(text: str, table: dict[int, str]) -> str:
+    """text.translate(table) for a table no result of which is replaced again: one search for each different character that is."""
+    for c in set(text):
+        if (to := table.get(ord(c))) is not None:
+            text = text.replace(c, to)
+    return text
+
+
 def _look(text: str) -> str:
     # composition runs after the letters are folded, as a mark may follow a look-alike
-    text = text.translate(_look_map())
+    text = _folded(text, _look_map())
     return _settled(text) if _UNSURE.search(text) else text
 
 
@@ -218,7 +226,7 @@ def look_key(text: Column) -> Column:
 
 def _settled(text: str) -> str:
     """Normalised, then folded once more: a narrow or composed form may have given a look-alike."""
-    return unicodedata.normalize("NFC", normalise(text).translate(_plain()).translate(_look_map()))
+    return unicodedata.normalize("NFC", _folded(_folded(normalise(text), _plain()), _look_map()))
 
 
 #: Rows of one text beyond which they are split.

@@ -92,3 +92,10 @@ def test_classes_and_hot_texts(spark, monkeypatch):
     assert set(got) == set(same) and len({r["look_class"] for r in got.values()}) == 1 and len({r["text_class"] for r in got.values()}) == 3
     assert all(r["links"] == sum(i in p for p in want) for i, r in got.items())
     assert C.same_look_classes(d.limit(0)).count() == 0
+
+
+def test_tables_are_not_chained():
+    for table in (C._look_map(), C._plain()):
+        assert not {ord(c) for v in table.values() for c in v} & set(table)
+    text = "pаypаl ρ 𝐩 ⅣЅ plain"
+    assert C._folded(text, C._look_map()) == text.translate(C._look_map()) and C._folded(text, C._plain()) == text.translate(C._plain())
