@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -42,16 +43,19 @@ SALTS = 64
 _WORD = re.compile(r"[^\W\d_]+|[#*`|:]")
 
 
+@lru_cache(100_000)
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) % BUCKETS
+
+
 def _features(text: str) -> dict[int, int]:
     """Hashed words, with the text's size and its first word."""
     out: dict[int, int] = defaultdict(int)
-    first = ""
-    for m in _WORD.finditer(text):
-        w = m[0].lower()
-        first = first or w
-        out[zlib.crc32(w.encode()) % BUCKETS] += 1
-    for w in (f"^{first}", f"size {len(text).bit_length()}", f"lines {text.count(chr(10)).bit_length()}", f"start {text[:2]}"):
-        out[zlib.crc32(w.encode()) % BUCKETS] += 4
+    words = Counter(_WORD.findall(text.lower()))
+    for w, n in words.items():
+        out[_bucket(w)] += n
+    for w in (f"^{next(iter(words), '')}", f"size {len(text).bit_length()}", f"lines {text.count(chr(10)).bit_length()}", f"start {text[:2]}"):
+        out[_bucket(w)] += 4
     return out
 
 
