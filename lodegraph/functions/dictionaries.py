@@ -100,7 +100,7 @@ CALLS: dict[str, list[str]] = {
     "kt": [_W, r"this\.([a-zA-Z_][\w]*)\s*\("],
     "scala": [_W, r"this\.([a-zA-Z_][\w]*)\s*\("],
 }
-# Comments and short literals of brace languages; definitions; and names before a parenthesis with their dot.
+# Not fixed, of this package's own making: comments and short literals of brace languages; definitions; and names before a parenthesis with their dot.
 REMARK = r"""(?s)/\*.*?\*/|//[^\n]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
 DEFINITION = r"(?:function|func|fn|def)\s+[A-Za-z_$][\w$]*\s*\("
 CALLED = r"(\.?[A-Za-z_$][\w$]*)\s*\("

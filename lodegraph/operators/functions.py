@@ -148,23 +148,46 @@ def syntax_calls(files: DataFrame) -> DataFrame:
     return rows.where(~F.col("callee").isin(*D.NO_CALLS)).groupBy("repo_id", "path", "callee", "is_method").agg(F.count("*").alias("calls"))
 
 
+#: Functions of one name in one place beyond which they are split.
+HOT = 1_000
+
+
+def tiered_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """(repo_id, path, callee, calls, module, tier): for each file and callee the best tier that has functions of that name, and the number of calls.
+
+    Tiers: 0 the same file, 1 the same module, 2 elsewhere in the repository. With the functions' own names, files and modules this
+    is the whole of the call graph, a row for each file and name, however many functions bear the name.
+    """
+    asks = calls.groupBy("repo_id", "path", "callee").agg(F.count("*").alias("calls")).withColumn("module", default_module(F.col("path")))
+    f = functions.select("repo_id", "path", F.col("name").alias("callee"), default_module(F.col("path")).alias("module"))
+    here = f.groupBy("repo_id", "path", "callee").agg(F.lit(1).alias("here"))
+    near = f.groupBy("repo_id", "module", "callee").agg(F.lit(1).alias("near"))
+    any_ = f.groupBy("repo_id", "callee").agg(F.lit(1).alias("far"))
+    own = asks.join(here, ["repo_id", "path", "callee"], "left").join(near, ["repo_id", "module", "callee"], "left").join(any_, ["repo_id", "callee"], "left")
+    tier = F.when(F.col("here") == 1, 0).when(F.col("near") == 1, 1).when(F.col("far") == 1, 2)
+    return own.select("repo_id", "path", "callee", "calls", "module", tier.alias("tier")).where("tier is not null")
+
+
+def _met(asks: DataFrame, functions: DataFrame, keys: list[str]) -> DataFrame:
+    """asks with the functions of their keys; of keys with many functions each part meets the asks in a task of its own."""
+    parts = functions.groupBy(*keys).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
+    asks = asks.join(parts, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    functions = functions.join(parts.where("parts > 1"), keys, "left").withColumn("part", F.pmod(F.xxhash64("func_path", "line"), F.coalesce("parts", F.lit(1))).cast("int"))
+    return asks.drop("parts").join(functions.drop("parts"), [*keys, "part"])
+
+
 def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """(repo_id, path, callee, calls, func_path, line): for each file and callee the functions of the best tier and the number of calls.
+    """(repo_id, path, callee, calls, func_path, line): tiered_calls written out, for each file and callee the functions of its tier.
 
-    Tiers: the same file, the same module, elsewhere in the repository; all functions of the best tier that has any. Calls of one
-    name in one file resolve alike, so they are added up before the join, and a tier is read off the functions' own groups by
-    file and module: no call meets the functions of a tier it doesn't use.
+    Calls of one name in one file resolve alike, so they are added up before the join, and a tier is read off the functions' own groups
+    by file and module: no call meets the functions of a tier it doesn't use.
     """
-    module = default_module(F.col("path"))
-    asks = calls.groupBy("repo_id", "path", "callee").agg(F.count("*").alias("calls")).withColumn("module", module)
+    asks = tiered_calls(calls, functions)
     f = functions.select("repo_id", F.col("path").alias("func_path"), F.col("name").alias("callee"), "line", default_module(F.col("path")).alias("func_module"))
-    in_file = f.groupBy("repo_id", F.col("func_path").alias("path"), "callee").agg(F.lit(1).alias("here"))
-    in_module = f.groupBy("repo_id", F.col("func_module").alias("module"), "callee").agg(F.lit(1).alias("near"))
-    tiered = asks.join(in_file, ["repo_id", "path", "callee"], "left").join(in_module, ["repo_id", "module", "callee"], "left")
     cols = ["repo_id", "path", "callee", "calls", "func_path", "line"]
-    same = tiered.where("here = 1").join(f.withColumn("path", F.col("func_path")).drop("func_module"), ["repo_id", "path", "callee"]).select(*cols)
-    mod = tiered.where("here is null and near = 1").join(f.withColumnRenamed("func_module", "module"), ["repo_id", "module", "callee"]).select(*cols)
-    far = tiered.where("here is null and near is null").join(f.drop("func_module"), ["repo_id", "callee"]).select(*cols)
+    same = asks.where("tier = 0").join(f.withColumn("path", F.col("func_path")).drop("func_module"), ["repo_id", "path", "callee"]).select(*cols)
+    mod = _met(asks.where("tier = 1"), f.withColumnRenamed("func_module", "module"), ["repo_id", "module", "callee"]).select(*cols)
+    far = _met(asks.where("tier = 2").drop("module"), f.drop("func_module"), ["repo_id", "callee"]).select(*cols)
     return same.unionByName(mod).unionByName(far)
 
 

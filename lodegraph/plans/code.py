@@ -181,6 +181,12 @@ def extract_calls(spark, d):
     return own.groupBy("repo_id", "path", "callee").agg(F.count("*").alias("calls"))
 
 
+def call_tiers(spark, d):
+    f = _files(spark, d)
+    own = fn.tiered_calls(fn.extract_calls(f), fn.extract_functions(f))
+    return own.select("repo_id", "path", "callee", "calls", F.col("tier").cast("bigint").alias("tier"))
+
+
 def resolve_calls(spark, d):
     f = _files(spark, d)
     own = fn.resolve_calls(fn.extract_calls(f), fn.extract_functions(f))
@@ -247,7 +253,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         detect_language, file_kind_filter, line_count, complexity_estimate, entrypoint_flag, file_nodes, module_assign, workspace_roots, path_normalize, file_read, file_cap_topk, local_dir_filter, upload_filter, language_histogram_files,
-        extract_imports, first_imports, resolve_imports, external_packages, extract_functions, function_nodes, extract_calls, syntax_calls, resolve_calls, call_graph, call_edges, membership_edges, membership_edge_rows, graph_nodes, graph_edges, analysis_json, analysis_lines, analysis_status, root_order, target_url_classify, repo_url_split,
+        extract_imports, first_imports, resolve_imports, external_packages, extract_functions, function_nodes, extract_calls, syntax_calls, call_tiers, resolve_calls, call_graph, call_edges, membership_edges, membership_edge_rows, graph_nodes, graph_edges, analysis_json, analysis_lines, analysis_status, root_order, target_url_classify, repo_url_split,
         fnv1a_hash,
     )
 }
@@ -366,6 +372,7 @@ SELECT repo_id, src, dst, kind, CAST(sum(n) AS BIGINT) AS edges FROM e GROUP BY
 }
 _R2 = "floor(({0}) * {1} + 0.5) / {1}"
 ORACLES |= {
+    "call_tiers": f"WITH {_C}, {_FN}, {_CALLS}, {_TIERS} SELECT repo_id, path, callee, calls, CAST(min(tier) AS BIGINT) AS tier FROM t GROUP BY ALL",
     "root_order": f"WITH {_ROOTS} SELECT repo_id, root, row_number() OVER (PARTITION BY repo_id ORDER BY length(root) DESC, root) AS rank FROM roots",
     "analysis_lines": f"SELECT repo_id, 'node' AS part, kind, id, NULL AS src, NULL AS dst, count(*) AS lines FROM ({ORACLES['graph_nodes']}) GROUP BY ALL UNION ALL SELECT repo_id, 'edge', kind, NULL, src, dst, edges FROM ({ORACLES['graph_edges']})",
     "analysis_json": f"""WITH n AS ({ORACLES["graph_nodes"]}), e AS ({ORACLES["graph_edges"]}),

@@ -135,3 +135,18 @@ def test_synthetic(spark):
     n, e = synthetic_graph(spark, "o", "r")
     assert 4 <= n.where("kind = 'module'").count() <= 7 and n.where("kind = 'external'").count() == 4
     assert [tuple(r) for r in n.collect()] == [tuple(r) for r in synthetic_graph(spark, "o", "r")[0].collect()] and e.count() > 12
+
+
+def test_hot_names_are_split(spark, monkeypatch):
+    """A third of all functions bear one name; the calls meet each of them once, whatever they are split into."""
+    from lodegraph.operators import functions as fn
+
+    f = spark.createDataFrame([(1, f"m{i % 7}/f{i}.py", "run" if i % 3 else f"n{i}", i) for i in range(120)], "repo_id bigint, path string, name string, line int")
+    c = spark.createDataFrame([(1, f"m{i % 9}/c{i}.py", 0, i, "run") for i in range(40)] + [(1, "m1/f1.py", 0, 0, "run"), (2, "x.py", 0, 0, "run")], "repo_id bigint, path string, pattern_no int, pos int, callee string")
+    take = lambda: sorted(tuple(r) for r in fn.resolve_calls(c, f).collect())
+    once = take()
+    monkeypatch.setattr(fn, "HOT", 3)
+    assert take() == once and len(once) == len(set(once))
+    run = [r for r in f.where("name = 'run'").collect()]
+    far = [r for r in once if r[1] == "m8/c8.py"]
+    assert len(far) == len(run) and {r[4] for r in once if r[1] == "m1/f1.py"} == {"m1/f1.py"}
