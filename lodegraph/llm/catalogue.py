@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodegraph.llm import canonical, language, mixing, origin, packing, parsing, secrets
+from lodegraph.llm import canonical, language, mixing, origin, packing, parsing, secrets, sql
+from lodegraph.llm.code import code_files, extension
 from lodegraph.session import table
 
 
@@ -16,6 +18,12 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redacted(table(spark, d, "files")).select("file_id", "repo_id", "path", "content")
 
 
+def p1_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What masking keeps: the characters and line ends of every file."""
+    own = secrets.redacted(table(spark, d, "files"))
+    return own.select("file_id", F.length("content").cast("bigint").alias("chars"), F.regexp_count("content", F.lit("\n")).cast("bigint").alias("line_ends")).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return parsing.invalid_files(table(spark, d, "files"))
 
@@ -24,6 +32,11 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return parsing.invalid_rates(table(spark, d, "files"), table(spark, d, "nodes"))
 
 
+def p2_judged(spark: SparkSession, d: str) -> DataFrame:
+    """The files that a verdict is about, valid or not."""
+    return parsing.verdicts(table(spark, d, "files")).select("file_id", extension(F.col("path")).alias("ext"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return origin.found(table(spark, d, "files"))
 
@@ -36,6 +49,11 @@ def p3_signs(spark: SparkSession, d: str) -> DataFrame:
     return origin.signs(table(spark, d, "files"))
 
 
+def p3_judged(spark: SparkSession, d: str) -> DataFrame:
+    """The files that an origin is given for, null for hand-written ones."""
+    return origin.origins(table(spark, d, "files")).select("file_id", "path")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return language.languages_in_code(table(spark, d, "files"), table(spark, d, "documents"))
 
@@ -44,6 +62,13 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return language.language_shares(table(spark, d, "files"), table(spark, d, "documents"))
 
 
+def p5_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """(beyond, unknown_languages, no_code): shares outside 0 to 1, languages outside the list, files that are no code; all 0."""
+    own = p5_shares(spark, d).join(code_files(table(spark, d, "files")).select("file_id").distinct().withColumn("code", F.lit(True)), "file_id", "left")
+    count = lambda c: F.count_if(c).alias
+    return own.agg(count((F.col("share") <= 0) | (F.col("share") > 1))("beyond"), count(~F.col("nl_lang").isin(*language.LANGS))("unknown_languages"), count(F.col("code").isNull())("no_code"))
+
+
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "containers"))
 
@@ -77,17 +102,23 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_classes(spark: SparkSession, d: str) -> DataFrame:
-    return canonical.same_look_classes(table(spark, d, "documents"))
+    """The name of a look class is of no meaning outside a run and left out."""
+    return canonical.same_look_classes(table(spark, d, "documents")).select("doc_id", "text_class", "links")
 
 
-def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import functions as F
+def p8_stable(spark: SparkSession, d: str) -> DataFrame:
+    """(texts, unstable, nulls): how many texts there are, and how many change when they are brought to their form once more."""
+    own = p8_canonical(spark, d)
+    return own.agg(F.count("*").alias("texts"), F.count_if(~canonical.canonical_text(F.col("text")).eqNullSafe(F.col("text"))).alias("unstable"), F.count_if(F.col("text").isNull()).alias("nulls"))
 
+
+def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", canonical.canonical_text(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_rates, p3_found, p3_origins, p3_signs, p5_found, p5_shares, p6_packing, p6_fills, p6_summary, p6_holds, p7_mix, p7_shares, p7_limits, p8_found, p8_classes, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_kept, p2_found, p2_rates, p2_judged, p3_found, p3_origins, p3_signs, p3_judged, p5_found, p5_shares, p5_bounds, p6_packing, p6_fills, p6_summary, p6_holds, p7_mix, p7_shares, p7_limits, p8_found, p8_classes, p8_canonical, p8_stable)}
 ORACLES: dict[str, str] = {
+    **sql.ORACLES,
     # what any packing and any mix must keep
     "p6_holds": """
 SELECT container_class, (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id IS NOT NULL AND text <> '') AS texts,
