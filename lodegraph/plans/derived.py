@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodegraph.functions import dictionaries as D
 from lodegraph.operators import cycles, metrics, monorepo
 from lodegraph.operators import imports as im
-from lodegraph.plans.code import _CANDS, _FOLD
+from lodegraph.plans.code import _CANDS, _FOLD, _MODULE
 from lodegraph.plans.graphs import _DEP, _E, _N, _ne
 from lodegraph.session import table
 from lodegraph.sources import files as src
@@ -20,18 +20,18 @@ from lodegraph.sources import files as src
 
 # (kind of repository, path, content), with {r} for its name: every tool, and two that end in none
 _ROOT_FILES = [
-    (0, "pnpm-workspace.yaml", "packages:\n  - '{r}/*'\n  - ./tools/*   # tools\n"),
+    (0, "pnpm-workspace.yaml", "packages:\n  - 'packages/*'\n  - '{r}/*'\n  - ./tools/*   # tools\n"),
     (0, "package.json", '{"workspaces":["a/*"]}'),
-    (1, "package.json", '{"workspaces":["{r}/*","libs/**"]}'),
-    (2, "package.json", '{"workspaces":["{r}/*"]}'),
+    (1, "package.json", '{"workspaces":["apps/*","{r}/*","libs/**"]}'),
+    (2, "package.json", '{"workspaces":["services/*","src/*"]}'),
     (2, "turbo.json", "{}"),
     (3, "package.json", '{"workspaces":["x/{r}"]}'),
     (3, "nx.json", "{}"),
-    (4, "turbo.json", '{"workspace":["apps/{r}"]}'),
+    (4, "turbo.json", '{"workspace":["apps/*"]}'),
     (5, "nx.json", "{}"),
     (6, "go.work", "go 1.22\n\nuse ./{r}\nuse (\n\t./b\n)\n"),
     (7, "Cargo.toml", '[package]\nname = "x"\n[workspace]\nmembers = ["{r}/*", "crates/a"]\n'),
-    (8, "lerna.json", '{"packages":["{r}/*"]}'),
+    (8, "lerna.json", '{"packages":["packages/*","{r}/*"]}'),
     (9, "package.json", '{"workspaces":{"packages":["p/*"]}}'),
     (10, "README.md", "- a\n"),
 ]
@@ -47,6 +47,15 @@ def monorepo_detect(spark, d):
     return monorepo.monorepo_detect(_roots(spark, d)).select("repo_id", "tool", F.array_join("globs", ",").alias("globs"))
 
 
+def detected_roots(spark, d):
+    """Tools and globs as detected, and the roots that the globs become among the files."""
+    return monorepo.workspace_roots(monorepo.monorepo_detect(_roots(spark, d)), table(spark, d, "files"))
+
+
+def detected_modules(spark, d):
+    return monorepo.assign_modules(table(spark, d, "files"), detected_roots(spark, d))
+
+
 def _sq(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
 
@@ -62,6 +71,11 @@ SELECT repo_id, CASE WHEN pnpm IS NOT NULL THEN 'pnpm' WHEN len(ws) > 0 AND turb
   WHEN go IS NOT NULL THEN list_transform(list_filter(string_split(go, chr(10)), lambda x: starts_with(x, 'use ')), lambda x: string_split(x, ' ')[2])
   WHEN cargo IS NOT NULL THEN list_transform(string_split(regexp_extract(cargo, 'members = \\[([^\\]]*)', 1), ','), lambda x: trim(replace(x, '"', ''))) WHEN lerna IS NOT NULL THEN json_extract_string(lerna, '$.packages[*]') ELSE [] END, ',') AS globs FROM g"""
 
+_GLOBS = f"""{_CONFIGS}, tools AS (WITH {_TOOLS}), gl AS (SELECT DISTINCT repo_id, unnest(string_split(globs, ',')) AS gb FROM tools WHERE globs <> ''),
+pf AS (SELECT DISTINCT repo_id, path FROM files WHERE path IS NOT NULL),
+ch AS (SELECT DISTINCT gl.repo_id, gb, rtrim(gb, '*') || string_split(substr(path, length(gb)), '/')[1] AS root FROM gl JOIN pf ON pf.repo_id = gl.repo_id AND gb LIKE '%/*' AND gb NOT LIKE '%**' AND starts_with(path, rtrim(gb, '*'))),
+ro AS (SELECT DISTINCT gl.repo_id, coalesce(root, gl.gb) AS root FROM gl LEFT JOIN ch ON ch.repo_id = gl.repo_id AND ch.gb = gl.gb)"""
+
 # ---------------------------------------------------------------- aliases
 
 _TSCONFIGS = [
@@ -161,9 +175,12 @@ reach AS (SELECT analysis_id, src_module AS a, dst_module AS b FROM dd UNION SEL
 m AS (SELECT x.analysis_id, x.a, least(min(x.b), x.a) AS root FROM reach x JOIN reach y ON y.analysis_id = x.analysis_id AND y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.analysis_id, x.a)
 SELECT analysis_id, count(*) AS size, string_agg(a, ',' ORDER BY a) AS modules FROM m GROUP BY analysis_id, root"""
 
-QUERIES = {f.__name__: f for f in (monorepo_detect, tsconfig_aliases, resolve_alias, resolve_any, html_asset_refs, page_asset_links, module_cycles)}
+QUERIES = {f.__name__: f for f in (monorepo_detect, detected_roots, detected_modules, tsconfig_aliases, resolve_alias, resolve_any, html_asset_refs, page_asset_links, module_cycles)}
 ORACLES = {
     "monorepo_detect": f"WITH {_CONFIGS}, {_TOOLS}",
+    "detected_roots": f"WITH {_GLOBS} SELECT repo_id, root FROM ro",
+    "detected_modules": f"WITH {_GLOBS}, be AS (SELECT pf.repo_id, pf.path, arg_max(root, length(root)) AS root FROM pf JOIN ro ON ro.repo_id = pf.repo_id AND (path = root OR starts_with(path, root || '/')) GROUP BY ALL) "
+    f"SELECT pf.repo_id, pf.path, coalesce(be.root, {_MODULE.replace('path', 'pf.path')}) AS module FROM pf LEFT JOIN be ON be.repo_id IS NOT DISTINCT FROM pf.repo_id AND be.path = pf.path",
     "tsconfig_aliases": f"WITH {_ALIASES} SELECT repo_id, config_path, alias_ord, alias_key, wildcard, array_to_string(targets, ',') AS targets, base_url FROM a",
     "resolve_alias": f"WITH {_ALIASES}, {_SPECS} SELECT repo_id, path, raw, rewritten FROM z",
     "resolve_any": f"WITH {_ALIASES}, {_SPECS}, b2 AS (SELECT repo_id, path, 0 AS pattern_no, pos, raw, {_BASE} AS base FROM z WHERE raw LIKE '.%' OR rewritten IS NOT NULL), k2 AS ({_CANDS.replace(' FROM b', ' FROM b2')}), "
