@@ -133,6 +133,31 @@ h AS (SELECT s.repo_id, s.path, s.pos, s.raw, arg_min(CASE WHEN NOT wildcard THE
 z AS (SELECT s.repo_id, s.path, s.pos, s.raw, h.rewritten FROM s LEFT JOIN h ON h.repo_id = s.repo_id AND h.path = s.path AND h.pos = s.pos WHERE s.raw IS NOT NULL)"""
 _BASE = _FOLD.format("(CASE WHEN raw LIKE '.%' THEN regexp_replace(path, '/[^/]*$', '') || '/' || raw ELSE rewritten END)")
 
+# ---------------------------------------------------------------- listings
+
+
+def _tree_pages(spark, d) -> DataFrame:
+    """The files as pages of tree listings, some truncated, with entries that are no files."""
+    f = table(spark, d, "files").where("path is not null and repo_id is not null").groupBy("repo_id", "path").agg(F.max("size").alias("size"), F.min("file_id").alias("file_id"))
+    entry = F.struct("path", F.when(F.col("file_id") % 11 == 0, "tree").otherwise("blob").alias("type"), "size")
+    own = f.groupBy("repo_id", F.floor(F.col("file_id") / 40).alias("page")).agg(F.collect_list(entry).alias("tree"))  # forty entries at most
+    return own.select("repo_id", "page", F.to_json(F.struct("tree", (F.col("page") % 9 == 0).alias("truncated"))).alias("tree_json"))
+
+
+def tree_scan(spark, d):
+    blobs, cut = src.from_trees(_tree_pages(spark, d))
+    return blobs.join(cut, "repo_id").select("repo_id", "path", "size", "truncated")
+
+
+def scan_report(spark, d):
+    f = table(spark, d, "files").where("path is not null and repo_id is not null").groupBy("repo_id", "file_id").agg(F.min("path").alias("path"), F.max(F.col("content").isNotNull()).alias("has"))
+    rows = f.select("repo_id", "path", F.col("file_id").alias("ord"), F.when(~F.col("has"), "no content").alias("error"))
+    listed = f.groupBy("repo_id").agg((F.count("*") + F.col("repo_id") % 3).alias("files"))
+    return src.scan_report(rows, listed, src.from_trees(_tree_pages(spark, d))[1])
+
+
+_TREES = "tp AS (SELECT repo_id, path, max(size) AS size, min(file_id) AS file_id FROM files WHERE path IS NOT NULL AND repo_id IS NOT NULL GROUP BY ALL), tc AS (SELECT repo_id, bool_or((file_id // 40) % 9 = 0) AS truncated FROM tp GROUP BY 1)"
+
 # ---------------------------------------------------------------- pages
 
 
@@ -175,7 +200,7 @@ reach AS (SELECT analysis_id, src_module AS a, dst_module AS b FROM dd UNION SEL
 m AS (SELECT x.analysis_id, x.a, least(min(x.b), x.a) AS root FROM reach x JOIN reach y ON y.analysis_id = x.analysis_id AND y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.analysis_id, x.a)
 SELECT analysis_id, count(*) AS size, string_agg(a, ',' ORDER BY a) AS modules FROM m GROUP BY analysis_id, root"""
 
-QUERIES = {f.__name__: f for f in (monorepo_detect, detected_roots, detected_modules, tsconfig_aliases, resolve_alias, resolve_any, html_asset_refs, page_asset_links, module_cycles)}
+QUERIES = {f.__name__: f for f in (monorepo_detect, detected_roots, detected_modules, tsconfig_aliases, resolve_alias, resolve_any, tree_scan, scan_report, html_asset_refs, page_asset_links, module_cycles)}
 ORACLES = {
     "monorepo_detect": f"WITH {_CONFIGS}, {_TOOLS}",
     "detected_roots": f"WITH {_GLOBS} SELECT repo_id, root FROM ro",
@@ -186,6 +211,13 @@ ORACLES = {
     "resolve_any": f"WITH {_ALIASES}, {_SPECS}, b2 AS (SELECT repo_id, path, 0 AS pattern_no, pos, raw, {_BASE} AS base FROM z WHERE raw LIKE '.%' OR rewritten IS NOT NULL), k2 AS ({_CANDS.replace(' FROM b', ' FROM b2')}), "
     "t2 AS (SELECT k2.repo_id, k2.path, k2.pos, arg_min(candidate, cand_no) AS target FROM k2 JOIN (SELECT DISTINCT repo_id, path FROM files) o ON o.repo_id = k2.repo_id AND o.path = candidate GROUP BY ALL) "
     "SELECT z.repo_id, z.path, z.raw, t2.target FROM z LEFT JOIN t2 ON t2.repo_id = z.repo_id AND t2.path = z.path AND t2.pos = z.pos",
+    "tree_scan": f"WITH {_TREES} SELECT repo_id, path, size, truncated FROM tp JOIN tc USING (repo_id) WHERE file_id % 11 <> 0",
+    "scan_report": f"""WITH {_TREES}, sf AS (SELECT repo_id, file_id, min(path) AS path, bool_or(content IS NOT NULL) AS has FROM files WHERE path IS NOT NULL AND repo_id IS NOT NULL GROUP BY ALL),
+sw AS (SELECT repo_id, path || ': no content' AS text, row_number() OVER (PARTITION BY repo_id ORDER BY file_id) AS k, count(*) OVER (PARTITION BY repo_id) AS c FROM sf WHERE NOT has),
+sx AS (SELECT repo_id, string_agg(text, chr(10) ORDER BY k) || CASE WHEN any_value(c) > 5 THEN chr(10) || '+' || (any_value(c) - 5) || ' more file read errors.' ELSE '' END AS warnings FROM sw WHERE k <= 5 GROUP BY 1),
+sn AS (SELECT repo_id, count(*) AS kept, count(*) + repo_id % 3 AS files FROM sf GROUP BY repo_id)
+SELECT repo_id, coalesce(warnings, '') AS warnings, concat_ws(chr(10), CASE WHEN truncated THEN 'The tree was truncated.' END, CASE WHEN kept < files THEN 'Only ' || kept || ' of ' || files || ' files were read.' END) AS limitations,
+  CASE WHEN truncated OR kept < files THEN 'partial' ELSE 'full' END AS quality FROM sn LEFT JOIN tc USING (repo_id) LEFT JOIN sx USING (repo_id)""",
     "html_asset_refs": f"WITH {_PG}, {_REF} SELECT url, CAST(pattern_no AS BIGINT) AS pattern_no, CAST(pos AS BIGINT) AS pos, raw FROM r",
     "page_asset_links": f"WITH {_PG}, {_REF}, q AS (SELECT DISTINCT url, {_ABS} AS asset FROM r WHERE {_ENDS}) SELECT url, asset, array_to_string(string_split(asset, '/')[4:], '/') AS path FROM q",
     "module_cycles": _CYCLES,

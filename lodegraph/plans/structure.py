@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodegraph.functions.dictionaries import TREE_KEYWORDS
+from lodegraph.operators import functions as fn
 from lodegraph.operators import syntax
-from lodegraph.plans.code import _files, _in, _q
+from lodegraph.plans.code import _TIERS, _files, _in, _q
 
 
 def ast_functions(spark, d):
@@ -23,7 +24,21 @@ def ast_calls(spark, d):
     return own.groupBy("repo_id", "path", "callee", "is_method").agg(F.count("*").alias("calls"))
 
 
-QUERIES = {f.__name__: f for f in (ast_functions, ast_imports, ast_calls)}
+def _callers(spark, d):
+    """A file for each of files, in several modules, with two functions and a call; names recur, so that calls lead to every tier."""
+    i = F.col("file_id")
+    text = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in x])
+    own = _files(spark, d).where("file_id is not null and repo_id is not null").select("repo_id", "file_id").distinct()
+    return own.select("repo_id", text("m", i % 5, "/f", i, ".js").alias("path"), text("function f", i % 40, "(a) {}\nfunction g", i, "() { f", (i * 7) % 40, "(1); // f1()\n}\n").alias("content"))
+
+
+def ast_call_edges(spark, d):
+    f = _callers(spark, d)
+    own = fn.call_edges(fn.resolve_calls(syntax.extract_calls(f), syntax.extract_functions(f)))
+    return own.select("repo_id", "src", "dst", "calls")
+
+
+QUERIES = {f.__name__: f for f in (ast_functions, ast_imports, ast_calls, ast_call_edges)}
 
 _F = "f AS (SELECT DISTINCT repo_id, path, content, lower(string_split(path, '.')[-1]) AS ext FROM files WHERE content IS NOT NULL AND content <> '')"
 _L = "l AS (SELECT repo_id, path, ext, unnest(string_split(content, chr(10))) AS l, unnest(range(len(string_split(content, chr(10))))) + 1 AS line FROM f)"
@@ -76,3 +91,8 @@ y AS (SELECT repo_id, path, trim(coalesce(b, '')) AS b, callee FROM x)
 SELECT repo_id, path, callee, b IN ('.', '->') AS is_method, count(*) AS calls FROM y
 WHERE callee NOT IN ({_in(sorted(TREE_KEYWORDS))}) AND (b IN ('', '.', '->') OR b IN ({_in(sorted(syntax._GOES_ON))})) GROUP BY ALL""",
 }
+ORACLES["ast_call_edges"] = (
+    "WITH files AS (SELECT DISTINCT repo_id, 'm' || file_id % 5 || '/f' || file_id || '.js' AS path, 'function f' || file_id % 40 || '(a) {}' || chr(10) || 'function g' || file_id || '() { f' || (file_id * 7) % 40 || '(1); // f1()' || chr(10) || '}' || chr(10) AS content "
+    f"FROM files WHERE file_id IS NOT NULL AND repo_id IS NOT NULL), fn AS ({ORACLES['ast_functions']}), c AS (SELECT repo_id, path, callee, CAST(sum(calls) AS BIGINT) AS calls FROM ({ORACLES['ast_calls']}) GROUP BY ALL), {_TIERS} "
+    "SELECT repo_id, 'file:' || path AS src, 'func:' || func_path || ':' || callee || ':' || line AS dst, calls FROM r"
+)

@@ -103,6 +103,20 @@ def from_tree(spark: SparkSession, tree_json: str) -> tuple[DataFrame, bool]:
     return spark.createDataFrame(rows, "path string, size bigint, ord bigint"), bool(got.get("truncated"))
 
 
+_TREE = "tree array<struct<path:string,type:string,size:bigint>>, truncated boolean"
+
+
+def from_trees(pages: DataFrame, key: str = "repo_id") -> tuple[DataFrame, DataFrame]:
+    """(key, path, size, ord) of the blobs in the pages (key, page, tree_json) of tree listings, and (key, truncated).
+
+    A page that is no listing has no blobs and counts as truncated.
+    """
+    own = pages.select(key, "page", F.from_json("tree_json", _TREE).alias("t"))
+    blobs = own.select(key, "page", F.posexplode("t.tree").alias("at", "b")).where("b.type = 'blob' and b.path is not null")
+    cut_ = own.groupBy(key).agg(F.max(F.coalesce("t.truncated", F.col("t.tree").isNull())).alias("truncated"))
+    return blobs.select(key, "b.path", "b.size", (F.col("page") * 1_000_000 + F.col("at")).alias("ord")), cut_
+
+
 def fetch_contents(rows: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
     """rows with content and error: what fetch gives for each path; a failure keeps the row without content and says why.
 
