@@ -11,14 +11,12 @@ from lodegraph.functions import text as T
 from lodegraph.operators import functions as fn
 from lodegraph.operators import graph, monorepo
 from lodegraph.operators import imports as im
-from lodegraph.session import table
+from lodegraph.session import spread, table
 from lodegraph.sources import files as src
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    """The files, spread over the cores where they come as fewer splits than that: a small file of one row group is one task else."""
-    f, n = table(spark, d, "files"), spark.sparkContext.defaultParallelism
-    return f if f.rdd.getNumPartitions() >= n else f.repartition(n)
+    return spread(table(spark, d, "files"))
 
 
 def _q(s: str) -> str:

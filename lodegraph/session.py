@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores where they come as fewer splits than that: a small file of one row group is one task else."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. The session's setting wins; only where it is unset and all run on one machine (tests) a local one is made."""
     at = spark.conf.get("spark.checkpoint.dir", None)
