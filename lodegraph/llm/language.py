@@ -65,26 +65,40 @@ def unaccented(text: str, umlauts: bool = False) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)) if not text.isascii() else text
 
 
-_SCRIPTS = re.compile("(?P<other>[가-힣ぁ-ヿ一-鿿㐀-䶿Ѐ-ӿ])|[a-zA-ZÀ-ɏ]")
+_OTHER, _LATINS = re.compile("[가-힣ぁ-ヿ一-鿿㐀-䶿Ѐ-ӿ]"), re.compile("[a-zA-ZÀ-ɏ]")
 _LATIN = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "tr")
 _OTHERS = tuple(x for x in LANGS if x not in _LATIN)
 
 
 def _candidates(text: str) -> tuple[str, ...]:
     """The languages whose letters a text could be in: those written in Latin letters, or the others."""
-    if text.isascii():
+    if text.isascii() or not _OTHER.search(text):
         return _LATIN
-    n = Counter(m.lastgroup for m in _SCRIPTS.finditer(text))
-    return _LATIN if n[None] > 2 * n["other"] else _OTHERS
+    return _LATIN if len(_LATINS.findall(text)) > 2 * len(_OTHER.findall(text)) else _OTHERS
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def _joined(words: list[str]) -> str:
+    """Words with their ends, which count as letters."""
+    return " " + "  ".join(words) + " "
+
+
+def _packed(t: str, k: int) -> bytes:
+    if not t.isascii():
+        return "".join([t[i : i + k] for i in range(len(t) - k + 1)]).encode()
+    b = t.encode()
+    n = len(b) - k + 1
+    out = bytearray(k * max(0, n))
+    for i in range(k):
+        out[i::k] = b[i : i + n]
+    return bytes(out)
+
+
 def groups(text: str, k: int) -> bytes:
     """The overlapping groups of k letters of a text's words, one after the other; a word's ends count as letters."""
-    t = " " + "  ".join(_LETTERS.findall(text.lower())) + " "
-    return "".join([t[i : i + k] for i in range(len(t) - k + 1)]).encode()
+    return _packed(_joined(_LETTERS.findall(text.lower())), k)
 
 
 def _trigrams(text: str) -> Counter:
@@ -221,12 +235,14 @@ class Identifier:
             return got
         if len(self.memo) > MEMO:
             self.memo.clear()
-        two, three = groups(text, 2), groups(text, 3)
+        words = _LETTERS.findall(text.lower())
+        t = _joined(words)
+        two, three = _packed(t, 2), _packed(t, 3)
         sizes = sorted((len(self.raw[k](two)), k) for k in _candidates(text))[:FINALISTS]
         sizes = sorted((n + len(self.trained[k](three)) - 2 * _FRAME, k) for n, k in sizes)
         code = len(self.raw["code"](two)) + len(self.trained["code"](three)) - 2 * _FRAME
         best = sizes[0][1]
-        links = 1 if best in ("ja", "zh", "ko") else min(LINKS, len(_links(best).intersection(_LETTERS.findall(text.lower()))))
+        links = 1 if best in ("ja", "zh", "ko") else min(LINKS, len(_links(best).intersection(words)))
         got = self.memo[text] = (best, sizes[0][0] / code - LINK_MARGIN * links, sizes[0][0] / sizes[1][0])
         return got
 
