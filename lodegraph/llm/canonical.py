@@ -1,7 +1,7 @@
 """Visually identical text in one form (problem 8).
 
 A quick-check class holds every character whose presence can make a text unstable: those that NFC may change, width forms,
-joined letters, invisible characters and kinds of space. Stable texts never leave the JVM. In the others each run of such
+joined letters, invisible characters and kinds of space. Stable texts are told by a quick check. In the others each run of such
 characters is taken with the one character before it (the only context that composition can reach), normalised alone and
 spliced back; all other text is copied.
 
@@ -98,7 +98,7 @@ def _run() -> re.Pattern:
     return re.compile(f"[{unstable_class()}]+")
 
 
-#: Characters that are stable in any context, in few ranges: the quick check of the JVM. A text of these alone isn't sent to Python.
+#: Characters that are stable in any context, in few ranges: the quick check of a text.
 SURE = (
     r"\x00-\x9f\u00a1-\u00ac\u00ae-\u00b2\u00b6-\u0131\u0134-\u01c3\u01cd-\u01f0\u01f4-\u02af\u0370-\u0373\u0384-\u0386\u0388-\u0482\u048a-\u058f"
     r"\u2010-\u2027\u2030-\u205e\u20a0-\u20cf\u2190-\u21ff\u3001-\u3029\u3041-\u3096\u309d-\u30ff\u3131-\u3163\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3"
@@ -168,9 +168,13 @@ def _unmix(m: re.Match) -> str:
     return turned if not re.search("[A-Za-zÀ-ɏ]", turned) else w
 
 
+#: What a text that changes holds: a character that isn't surely stable, or a letter of a script with look-alikes.
+_CHANGEABLE = re.compile(f"[^{SURE}]|[Ͱ-֏]")
+
+
 def canonical(text: str | None) -> str | None:
     """The consistent form of one text."""
-    if not text or text.isascii():
+    if not text or text.isascii() or not _CHANGEABLE.search(text):
         return text
     text = _plain_run().sub(lambda m: m[0].translate(_plain()), normalise(text))
     return unicodedata.normalize("NFC", _mixed()[0].sub(_unmix, text))
@@ -184,15 +188,15 @@ def _udf(f):
     return run
 
 
-def _where(text: Column, needs: str, f) -> Column:
-    """f only over the texts that hold a character of the class; the others aren't sent to Python."""
-    hit = text.rlike(needs)
-    return F.when(hit, _udf(f)(F.when(hit, text))).otherwise(text)
+def _wide(text: Column, f) -> Column:
+    """f over the texts that are not ASCII, told by their bytes; the others never leave the JVM."""
+    wide = F.octet_length(text) != F.length(text)
+    return F.when(wide, _udf(f)(F.when(wide, text))).otherwise(text)
 
 
 def canonical_text(text: Column) -> Column:
     """The consistent form of a text column."""
-    return _where(text, f"[^{SURE}]|[Ͱ-֏]", canonical)
+    return _wide(text, canonical)
 
 
 @cache
@@ -220,8 +224,7 @@ def _look(text: str) -> str:
 
 def look_key(text: Column) -> Column:
     """Equal for texts that look the same; only for comparison. ASCII texts, told by their bytes, are their own keys."""
-    wide = F.octet_length(text) != F.length(text)
-    return F.when(wide, _udf(_look)(F.when(wide, text))).otherwise(text)
+    return _wide(text, _look)
 
 
 def _settled(text: str) -> str:
