@@ -145,10 +145,12 @@ def _mixed() -> tuple[re.Pattern, dict[int, str], dict[str, dict[int, str]]]:
     for script, (theirs, ours) in LOOK_ALIKES.items():
         back[script] = {ord(y): x for x, y in reversed([*zip(theirs, ours)])}
     other = "Ͱ-֏ἀ-῿Ꭰ-Ᏼꓐ-ꓽⲀ-ⳮ"
-    word = re.compile(f"(?=[^\\W\\d_]*[{other}])(?=[{other}]*[A-Za-zÀ-ɏ])[^\\W\\d_]+")
+    # whole words with such a letter; from their starts alone, so that a long word is read once
+    word = re.compile(f"(?<![^\\W\\d_])(?:(?![{other}])[^\\W\\d_])*+[{other}][^\\W\\d_]*+")
     return word, to_latin, back
 
 
+_LATIN = re.compile("[A-Za-zÀ-ɏ]")
 _BLOCKS = [
     ("Greek", 0x370, 0x400), ("Cyrillic", 0x400, 0x530), ("Armenian", 0x530, 0x590), ("Cherokee", 0x13A0, 0x1400), ("Greek", 0x1F00, 0x2000), ("Coptic", 0x2C80, 0x2D00), ("Lisu", 0xA4D0, 0xA500),
 ]
@@ -157,6 +159,8 @@ _BLOCKS = [
 def _unmix(m: re.Match) -> str:
     _, to_latin, back = _mixed()
     w = m[0]
+    if not _LATIN.search(w):
+        return w
     odd = [c for c in w if ord(c) >= 0x370 and ord(c) not in to_latin]
     if not odd:
         return w.translate(to_latin)
@@ -165,7 +169,7 @@ def _unmix(m: re.Match) -> str:
     if script is None:
         return w
     turned = w.translate(back[script])
-    return turned if not re.search("[A-Za-zÀ-ɏ]", turned) else w
+    return turned if not _LATIN.search(turned) else w
 
 
 #: What a text that changes holds: a character that isn't surely stable, or a letter of a script with look-alikes.

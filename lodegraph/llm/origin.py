@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm.code import code_files, per_text
-from lodegraph.llm.spans import _pattern
+from lodegraph.llm.spans import without
 from lodegraph.llm.syntax import LANGUAGES
 from lodegraph.session import cut
 
@@ -138,7 +138,7 @@ def footer(text: str) -> str:
 
 def bare(ext: str, text: str) -> str:
     """The text without comments and literals."""
-    return _pattern(ext).sub(" ", text)
+    return without(ext, text)
 
 
 def names_of(ext: str, text: str) -> list[str]:
@@ -213,7 +213,7 @@ def _style(name: str) -> str:
     return "snake" if "_" in n and n.islower() else "camel" if n[0].islower() and not n.islower() and "_" not in n else "pascal" if n[0].isupper() and not n.isupper() and "_" not in n else ""
 
 
-_REMARKS = re.compile(r"(?m)^[ \t]*(?://|#(?!include))[^\n]*$|(?s:/\*.*?\*/)")
+_REMARKS = re.compile(r"(?m)^[ \t]*(?://|#(?!include))[^\n]*$|(?s:/\*.*?(?:\*/|\Z))")
 
 
 def _is_data(ext: str, text: str) -> bool:
@@ -222,7 +222,7 @@ def _is_data(ext: str, text: str) -> bool:
     body = body.strip()
     if len(body) < DATA_CHARS:
         return False
-    if re.search(r"\b(?:def|func|function|fn|return|if|for|while|switch|=>)\b|=>", _pattern(ext).sub(" ", body)):
+    if re.search(r"\b(?:def|func|function|fn|return|if|for|while|switch|=>)\b|=>", without(ext, body)):
         return False
     values = sum(m.end() - m.start() for m in re.finditer(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|\b0[xX][0-9a-fA-F]+\b|-?\b\d[\d_.]*\b|\b(?:true|false|null|None|True|False)\b|[\s,:;\[\]{}()]", body))
     return values / len(body) >= DATA_SHARE

@@ -7,6 +7,7 @@ Files that do not parse are read as far as they go: an open literal ends with it
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import cache
 from typing import NamedTuple
 
@@ -31,9 +32,9 @@ _PATTERNS = {
     "c": f"{_LINE}|{_BLOCK}|{_DQ}|{_CHAR}",
     "java": f'{_LINE}|{_BLOCK}|"""(?P<tq>.*?)(?:"""|\\Z)|{_DQ}|{_CHAR}',
     "go": f"{_LINE}|{_BLOCK}|{_DQ}|`(?P<tp>[^`]*)(?:`|\\Z)|{_CHAR}",
-    "rs": f'{_LINE}|{_BLOCK}|r(?P<h>#+)"(?P<rw>.*?)"(?P=h)|"(?P<dq>(?:[^"\\\\]|\\\\.)*)(?:"|\\Z)|{_CHAR}',
+    "rs": f'{_LINE}|{_BLOCK}|r(?P<h>#+)"(?P<rw>.*?)(?:"(?P=h)|\\Z)|"(?P<dq>(?:[^"\\\\]|\\\\.)*)(?:"|\\Z)|{_CHAR}',
     "py": rf"#(?P<lc>[^\n]*)|'''(?P<t1>(?:[^\\]|\\.)*?)(?:'''|\Z)|\"\"\"(?P<t2>(?:[^\\]|\\.)*?)(?:\"\"\"|\Z)|{_DQ}|{_SQ}",
-    "sh": r"(?:(?<=[\s;(])|\A)#(?P<lc>[^\n]*)|\\.|\"(?P<dq>(?:[^\"\\]|\\.)*)(?:\"|\Z)|'(?P<sq>[^']*)(?:'|\Z)|<<-?[ \t]*(?P<q>['\"]?)(?P<hw>\w+)(?P=q)[^\n]*\n(?P<hd>.*?)\n[ \t]*(?P=hw)(?=\s*?\n|\Z)",
+    "sh": r"(?:(?<=[\s;(])|\A)#(?P<lc>[^\n]*)|\\.|\"(?P<dq>(?:[^\"\\]|\\.)*)(?:\"|\Z)|'(?P<sq>[^']*)(?:'|\Z)|<<-?[ \t]*(?P<q>['\"]?)(?P<hw>\w+)(?P=q)[^\n]*\n",
 }
 _LIKE = {"ts": "js", "tsx": "js", "mjs": "js", "cjs": "js", "jsx": "js", "h": "c"}
 
@@ -43,7 +44,38 @@ def _pattern(ext: str) -> re.Pattern:
     return re.compile(_PATTERNS[_LIKE.get(ext, ext)], re.S)
 
 
+_ALONE = re.compile(r"^[ \t]*(\w+)[^\S\n]*$", re.M)
+
+
+def _shell(text: str) -> list[Span]:
+    """Shell: a here-document ends at the next line of its word alone; without such a line it is none."""
+    rx, out, pos = _pattern("sh"), [], 0
+    ends: dict[str, list[int]] | None = None
+    while m := rx.search(text, pos):
+        pos = m.end()
+        g = m.lastgroup
+        if g == "hw":
+            if ends is None:
+                ends = {}
+                for a in _ALONE.finditer(text):
+                    ends.setdefault(a[1], []).append(a.start())
+            at = ends.get(m["hw"], [])
+            i = bisect_left(at, m.end() + 1)
+            if i < len(at):
+                pos = text.find("\n", at[i])
+                pos = len(text) if pos < 0 else pos
+                out.append(Span("s", m.start(), pos, m.end(), at[i] - 1))
+            else:
+                pos = m.start() + 2
+        elif g is not None:
+            a, b = m.span(g)
+            out.append(Span("c" if g in ("lc", "bc") else "s", m.start(), m.end(), a, b))
+    return out
+
+
 def spans(ext: str, text: str) -> list[Span]:
+    if ext == "sh":
+        return _shell(text)
     out = []
     for m in _pattern(ext).finditer(text):
         g = m.lastgroup
@@ -56,6 +88,17 @@ def spans(ext: str, text: str) -> list[Span]:
     return out
 
 
+def without(ext: str, text: str) -> str:
+    """The text with a space for each comment and literal."""
+    if ext != "sh":
+        return _pattern(ext).sub(" ", text)
+    out, done = [], 0
+    for x in _shell(text):
+        out += text[done : x.start], " "
+        done = x.end
+    return "".join(out) + text[done:]
+
+
 # a patch stored as a file has a sign before each line
 _GAP = re.compile(r"[ \t\r]*\n[+-]?[ \t]*\Z")
 _STAR = re.compile(r"\n[+-]?[ \t]*\*?[ \t]*")

@@ -99,3 +99,12 @@ def test_tables_are_not_chained():
         assert not {ord(c) for v in table.values() for c in v} & set(table)
     text = "pаypаl ρ 𝐩 ⅣЅ plain"
     assert C._folded(text, C._look_map()) == text.translate(C._look_map()) and C._folded(text, C._plain()) == text.translate(C._plain())
+
+
+@pytest.mark.parametrize("part", ["é", "ﬁ", "аa", "́", "ρ", "a​"])
+def test_long_words_in_linear_time(part):
+    import time
+
+    began = time.time()
+    C.canonical(part * 60_000), C._look(part * 60_000)
+    assert time.time() - began < 5

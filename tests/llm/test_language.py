@@ -91,3 +91,17 @@ def test_distance_does_not_matter():
     far = " " * 500
     assert passages("py", f"{far}# one line\n{far}# and the next\n") == [("c", " one line\n and the next")]
     assert passages("py", "x = 1 # one\ny = 2 # two\n") == [("c", " one"), ("c", " two")]
+
+
+def test_here_documents():
+    text = "x=$((1 << y))\ncat <<EOT\n# inside\nwords\n  EOT\necho # outside\ncat <<'B'\nnever ended\n"
+    assert passages("sh", text) == [("s", "# inside\nwords"), ("c", " outside"), ("s", "B")]
+
+
+def test_long_texts_in_linear_time():
+    import time
+
+    for ext, part in (("sh", "<<EOT\n"), ("ts", "/* "), ("py", '"""'), ("ts", "`"), ("c", '"'), ("rs", 'r#"')):
+        began = time.time()
+        passages(ext, part * 40_000)
+        assert time.time() - began < 5, ext
