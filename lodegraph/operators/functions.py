@@ -136,14 +136,66 @@ def extract_calls(files: DataFrame) -> DataFrame:
     return own.where(~F.col("callee").isin(*D.NO_CALLS) & (F.col("callee") != "")).distinct()
 
 
+_OPENING = re.compile(r"""//|/\*|["']""")
+_LITERAL = {q: re.compile(rf"(?s)(?:[^{q}\\\n]++|\\.)*+") for q in "\"'"}
+
+
+def _without_remarks(text: str) -> str:
+    """A text with a space for each match of REMARK, in linear time and without recursion: what was seen not to close is not tried again.
+
+    From a quote that is never closed up to where its literal breaks off, each further quote of its kind is an escaped one and breaks off there too.
+    """
+    kept, done, at, vain = [], 0, 0, {}
+    while m := _OPENING.search(text, at):
+        start, mark = m.start(), m[0]
+        at = start + 1
+        if start < vain.get(mark, 0):
+            continue
+        if mark == "//":
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+        elif mark == "/*":
+            end = text.find("*/", start + 2) + 2
+            if end < 2:
+                vain[mark] = len(text)
+                continue
+        else:
+            end = _LITERAL[mark].match(text, at).end()
+            if not text.startswith(mark, end):
+                vain[mark] = end
+                continue
+            end += 1
+        kept.append(text[done:start])
+        done = at = end
+    return " ".join([*kept, text[done:]])
+
+
+#: As the SQL's engine has white space, without the vertical tab.
+_SPACE = r"[\t\n\f\r ]"
+_DEFINITION = re.compile(D.DEFINITION.replace(r"\s", _SPACE), re.A)
+#: What CALLED matches, read backwards from the parenthesis, and with the digits that its name may follow.
+_BEFORE = re.compile(rf"\({_SPACE}*+([\w$]++(?:(?<=[A-Za-z_$])\.)?+)", re.A)
+
+
+def _called(text: str) -> list[str]:
+    """The names before parentheses with their dot, last to first."""
+    code = _DEFINITION.sub(" (", _without_remarks(text))
+    return [name for x in _BEFORE.findall(code[::-1]) if (name := x[::-1].lstrip("0123456789"))]
+
+
 def syntax_calls(files: DataFrame) -> DataFrame:
     """(repo_id, path, callee, is_method, calls): each call once by its last name, outside comments and literals.
 
     Names after `function`, `func`, `fn` or `def` are definitions. For languages with braces and their variants.
+    Java's expressions recurse at each character of a literal, until the stack ends at some thousands; so texts are read in Arrow batches.
     """
+
+    @F.pandas_udf("array<string>")
+    def called(texts: pd.Series) -> pd.Series:
+        return texts.map(_called)
+
     own = files.where(extension(F.col("path")).isin(*D.BRACES) & F.col("content").isNotNull())
-    code = F.regexp_replace(F.regexp_replace("content", D.REMARK, " "), D.DEFINITION, " (")
-    rows = own.select("repo_id", "path", F.regexp_extract_all(code, F.lit(D.CALLED), F.lit(1)).alias("f")).distinct().select("repo_id", "path", F.explode("f").alias("f"))
+    rows = own.select("repo_id", "path", called("content").alias("f")).distinct().select("repo_id", "path", F.explode("f").alias("f"))
     rows = rows.select("repo_id", "path", F.ltrim(F.col("f"), F.lit(".")).alias("callee"), F.col("f").startswith(".").alias("is_method"))
     return rows.where(~F.col("callee").isin(*D.NO_CALLS)).groupBy("repo_id", "path", "callee", "is_method").agg(F.count("*").alias("calls"))
 
